@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def normalise_text(name: str, strip: bool = True) -> str:
@@ -20,13 +21,13 @@ def normalise_text(name: str, strip: bool = True) -> str:
     return unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode("ascii").lower()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _normalise_stripped(s: pd.Series) -> pd.Series:
     uniq = s.dropna().unique()
     return s.map({v: normalise_text(v, True) for v in uniq})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _normalise_raw(s: pd.Series) -> pd.Series:
     uniq = s.dropna().unique()
     return s.map({v: normalise_text(v, False) for v in uniq})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions.columns import first_non_null, sum0
+from basketlens.functions.quantiles import exact_quantiles
 from basketlens.operators.periods import trailing_days
 from basketlens.operators.ranking import head_with_remainder
 from basketlens.schema import Params
@@ -21,28 +22,26 @@ def item_sales(lines: DataFrame, params: Params = Params()) -> DataFrame:
     return agg.withColumn("daily_avg", F.col("quantity") / F.lit(float(params.trailing_days)))
 
 
-def _quantile(c: str, q: float, params: Params) -> Column:
-    if params.approx_quantiles:
-        return F.percentile_approx(c, q, params.approx_accuracy)
-    return F.percentile(c, F.lit(q))
-
-
 def stock_thresholds(items: DataFrame, params: Params = Params()) -> DataFrame:
     """High and low quantile of the daily average (linear interpolation, nulls skipped).
 
-    Exact ``percentile`` merges value -> count maps, so its final buffer is
-    bounded by the number of distinct daily averages, not by rows; set
-    ``approx_quantiles`` for a fixed-size sketch instead.
+    Exact by default, with the reference's (numpy's) interpolation arithmetic;
+    ``approx_quantiles`` switches to Spark's fixed-size quantile sketch.
     """
-    return items.agg(_quantile("daily_avg", params.high_quantile, params).alias("q_high"),
-                     _quantile("daily_avg", params.low_quantile, params).alias("q_low"))
+    if params.approx_quantiles:
+        return items.agg(
+            F.percentile_approx("daily_avg", params.high_quantile, params.approx_accuracy).alias("q_high"),
+            F.percentile_approx("daily_avg", params.low_quantile, params.approx_accuracy).alias("q_low"))
+    return exact_quantiles(items, "daily_avg", {"q_high": params.high_quantile, "q_low": params.low_quantile})
 
 
 def stock_flags(items: DataFrame, params: Params = Params()) -> DataFrame:
-    """F7/F8 as boolean columns. Thresholds are scalar subqueries: computed once,
-    inlined as values, no join. Comparisons with null count as false."""
-    q_high = items.select(_quantile("daily_avg", params.high_quantile, params)).scalar()
-    q_low = items.select(_quantile("daily_avg", params.low_quantile, params)).scalar()
+    """F7/F8 as boolean columns. The thresholds are scalar subqueries (one row,
+    computed once and inlined as values), so there is no join. Comparisons
+    with null count as false."""
+    th = stock_thresholds(items, params)
+    q_high = th.select("q_high").scalar()
+    q_low = th.select("q_low").scalar()
     d, s = F.col("daily_avg"), F.col("stock_quantity")
     low = (d > q_high) & (s < d * F.lit(params.low_stock_days))
     excess = (d <= q_low) & (s > d * F.lit(params.excess_stock_days))
