@@ -22,19 +22,21 @@ from pyspark.sql import functions as F
 def exact_quantiles(df: DataFrame, col: str, qs: dict[str, float]) -> DataFrame:
     """One row with one column per name in ``qs``: the ``q`` quantile of ``col`` (nulls skipped)."""
     vals = df.select(F.col(col).cast("double").alias("v")).dropna()
-    n = vals.select(F.count(F.lit(1))).scalar()
     hist = vals.groupBy("v").agg(F.count(F.lit(1)).alias("k"))
     run = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = hist.withColumn("upto", F.sum("k").over(run))           # value covers ranks [upto-k, upto)
+    whole = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # value v covers the 0-based ranks [upto - k, upto); n = number of values
+    hist = hist.withColumns({"upto": F.sum("k").over(run), "n": F.sum("k").over(whole)})
     aggs: list[Column] = []
     for name, q in qs.items():
+        n = F.col("n")
         vi = (n - F.lit(1)).cast("double") * F.lit(float(q))
         prev = F.least(F.greatest(F.floor(vi), F.lit(0)), n - 1)
         nxt = F.least(prev + 1, n - 1)
-        covers = lambda i: (F.col("upto") - F.col("k") <= i) & (i < F.col("upto"))
-        aggs += [F.min(F.when(covers(prev), F.col("v"))).alias(f"{name}__lo"),
-                 F.min(F.when(covers(nxt), F.col("v"))).alias(f"{name}__hi"),
-                 F.first(vi - F.floor(vi)).alias(f"{name}__t")]
+        lo_rank = F.col("upto") - F.col("k")
+        aggs += [F.min(F.when((lo_rank <= prev) & (prev < F.col("upto")), F.col("v"))).alias(f"{name}__lo"),
+                 F.min(F.when((lo_rank <= nxt) & (nxt < F.col("upto")), F.col("v"))).alias(f"{name}__hi"),
+                 F.min(vi - F.floor(vi)).alias(f"{name}__t")]
     row = hist.agg(*aggs)
     out = []
     for name in qs:

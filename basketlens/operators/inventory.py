@@ -39,9 +39,8 @@ def stock_flags(items: DataFrame, params: Params = Params()) -> DataFrame:
     """F7/F8 as boolean columns. The thresholds are scalar subqueries (one row,
     computed once and inlined as values), so there is no join. Comparisons
     with null count as false."""
-    th = stock_thresholds(items, params)
-    q_high = th.select("q_high").scalar()
-    q_low = th.select("q_low").scalar()
+    th = stock_thresholds(items, params).select(F.struct("q_high", "q_low")).scalar()
+    q_high, q_low = th.getField("q_high"), th.getField("q_low")
     d, s = F.col("daily_avg"), F.col("stock_quantity")
     low = (d > q_high) & (s < d * F.lit(params.low_stock_days))
     excess = (d <= q_low) & (s > d * F.lit(params.excess_stock_days))
@@ -62,17 +61,21 @@ def excess_stock(flags: DataFrame) -> DataFrame:
     return flags.filter("excess_stock").select(*_COLS)
 
 
-LOW_ORDER = [F.desc("daily_avg"), F.asc("item_id"), F.asc("item_name")]
-EXCESS_ORDER = [F.asc("daily_avg"), F.asc("item_id"), F.asc("item_name")]
+def low_order() -> list[Column]:
+    return [F.desc("daily_avg"), F.asc("item_id"), F.asc("item_name")]
+
+
+def excess_order() -> list[Column]:
+    return [F.asc("daily_avg"), F.asc("item_id"), F.asc("item_name")]
 
 
 def low_stock_head(flags: DataFrame, params: Params = Params()) -> DataFrame:
     """K5: first rows of the low-stock list and how many more there are."""
-    return head_with_remainder(low_stock(flags), LOW_ORDER, params.head_rows)
+    return head_with_remainder(low_stock(flags), low_order(), params.head_rows)
 
 
 def excess_stock_head(flags: DataFrame, params: Params = Params()) -> DataFrame:
-    return head_with_remainder(excess_stock(flags), EXCESS_ORDER, params.head_rows)
+    return head_with_remainder(excess_stock(flags), excess_order(), params.head_rows)
 
 
 def stock_risk_counts(flags: DataFrame) -> DataFrame:

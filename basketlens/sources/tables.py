@@ -71,8 +71,16 @@ NAME_COLUMNS = ["first_name", "last_name", "first_name_shipping", "last_name_shi
                 "phone_billing", "address_billing", "postcode_billing", "country_code_billing"]
 
 
+_READ_CACHE: dict[tuple[int, str, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The parquet table ``name``; the DataFrame (listing + footers) is reused per session."""
+    key = (id(spark._jsparkSession), sf_dir, name)  # noqa: SLF001
+    df = _READ_CACHE.get(key)
+    if df is None:
+        df = _READ_CACHE[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df
 
 
 def _pick(values: list, key) -> F.Column:
@@ -135,39 +143,43 @@ def order_line_table(spark: SparkSession, sf_dir: str, columns: list[str] | None
         df = df.join(customer_totals(read_table(spark, sf_dir, "orders")),
                      F.col("o_custkey") == F.col("t_custkey"), "left")
 
-    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    def price():
+        return F.col("l_extendedprice").cast("decimal(18,2)")
+
     exprs = {
-        "order_number": F.col("l_orderkey"),
-        LINE_ORDINAL: F.col("l_orderkey") * F.lit(8) + F.col("l_linenumber"),
-        "order_date": F.col("o_orderdate"),
-        "order_status": F.col("o_orderstatus"),
-        "city": F.when(F.col("n_nationkey") % 7 != 0, F.col("n_name")) if "nation" in need else None,
-        "email": F.concat(F.col("c_name"), F.lit("@example.com")) if "customer" in need else None,
+        "order_number": lambda: F.col("l_orderkey"),
+        LINE_ORDINAL: lambda: F.col("l_orderkey") * F.lit(8) + F.col("l_linenumber"),
+        "order_date": lambda: F.col("o_orderdate"),
+        "order_status": lambda: F.col("o_orderstatus"),
+        "city": lambda: F.when(F.col("n_nationkey") % 7 != 0, F.col("n_name")),
+        "email": lambda: F.concat(F.col("c_name"), F.lit("@example.com")),
         "line_total": price,
-        "refund_amount": F.when(F.col("o_orderpriority") == "1-URGENT",
-                                F.col("o_totalprice").cast("decimal(18,2)") * F.lit(0.05).cast("decimal(3,2)"))
-                          .otherwise(F.lit(0).cast("decimal(3,2)")),
-        "discount_amount": price * F.col("l_discount").cast("decimal(4,2)"),
-        "item_id": F.col("l_partkey"),
-        "item_name": F.col("p_name") if "part" in need else None,
-        "quantity": F.col("l_quantity"),
-        "stock_quantity": (F.col("p_size") % 10).cast("double") if "part" in need else None,
-        "category_path": F.concat(F.lit("Shop > "), F.col("p_type"), F.lit(" > "), F.col("p_brand"), F.lit(" "))
-                         if "part" in need else None,
-        "gender": F.col("c_mktsegment") if "customer" in need else None,
-        "origin": F.col("o_orderpriority"),
+        "refund_amount": lambda: F.when(
+            F.col("o_orderpriority") == "1-URGENT",
+            F.col("o_totalprice").cast("decimal(18,2)") * F.lit(0.05).cast("decimal(3,2)"))
+            .otherwise(F.lit(0).cast("decimal(3,2)")),
+        "discount_amount": lambda: price() * F.col("l_discount").cast("decimal(4,2)"),
+        "item_id": lambda: F.col("l_partkey"),
+        "item_name": lambda: F.col("p_name"),
+        "quantity": lambda: F.col("l_quantity"),
+        "stock_quantity": lambda: (F.col("p_size") % 10).cast("double"),
+        "category_path": lambda: F.concat(F.lit("Shop > "), F.col("p_type"), F.lit(" > "),
+                                          F.col("p_brand"), F.lit(" ")),
+        "gender": lambda: F.col("c_mktsegment"),
+        "origin": lambda: F.col("o_orderpriority"),
     }
-    if "totals" in need:
-        for c in ("customer_total_orders", "customer_total_spent", "customer_first_order", "customer_last_order"):
-            exprs[c] = F.col(c)
-    if "customer" in need:
-        exprs.update(customer_names(df))
+    for c in ("customer_total_orders", "customer_total_spent", "customer_first_order", "customer_last_order"):
+        exprs[c] = (lambda name: lambda: F.col(name))(c)
+    names = [c for c in want if c in NAME_COLUMNS]
+    named = customer_names(df) if names else {}
     out = []
     for c in want:
-        e = exprs.get(c)
-        if e is None:
+        if c in named:
+            out.append(named[c].alias(c))
+        elif c in exprs:
+            out.append(exprs[c]().alias(c))
+        else:
             raise KeyError(f"no binding for column {c!r}")
-        out.append(e.alias(c))
     return df.select(*out)
 
 
