@@ -2,7 +2,7 @@
 
 Spark has no Unicode NFKD function, so this is the one Python step of the
 library: an Arrow-batched ``pandas_udf``. Each batch maps only its distinct
-values, since names repeat heavily in order exports.
+values (a per-batch cache), since names repeat heavily in order exports.
 """
 
 from __future__ import annotations
@@ -21,16 +21,28 @@ def normalise_text(name: str, strip: bool = True) -> str:
     return unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode("ascii").lower()
 
 
+def _normalise_series(s: pd.Series, strip: bool) -> pd.Series:
+    cache: dict[str, str] = {}
+    out = []
+    for v in s.tolist():
+        if not isinstance(v, str):
+            out.append(None)
+            continue
+        r = cache.get(v)
+        if r is None:
+            r = cache[v] = normalise_text(v, strip)
+        out.append(r)
+    return pd.Series(out, index=s.index, dtype=object)
+
+
 @F.pandas_udf(T.StringType())
 def _normalise_stripped(s: pd.Series) -> pd.Series:
-    uniq = s.dropna().unique()
-    return s.map({v: normalise_text(v, True) for v in uniq})
+    return _normalise_series(s, True)
 
 
 @F.pandas_udf(T.StringType())
 def _normalise_raw(s: pd.Series) -> pd.Series:
-    uniq = s.dropna().unique()
-    return s.map({v: normalise_text(v, False) for v in uniq})
+    return _normalise_series(s, False)
 
 
 def normalise_name(c: str | Column, strip: bool = True) -> Column:

