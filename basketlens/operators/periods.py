@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions.columns import timestamp_literal
@@ -24,6 +24,22 @@ def in_latest_years(df: DataFrame, n: int = 2, source: DataFrame | None = None)
     return df.join(F.broadcast(years), "year", "left_semi")
 
 
+def keep_latest_years(grouped: DataFrame, n: int = 2, eligible: Column | None = None) -> DataFrame:
+    """F2 applied *after* aggregation: keep the groups of the last ``n`` years.
+
+    ``grouped`` is an aggregated frame (one row per year and report key) that
+    still holds the groups of null keys, so every year present in the lines
+    is present here; ``eligible`` restricts which groups count as "present"
+    (e.g. groups holding an order number). The year set is a window over the
+    small grouped frame, so the lines are read once, with no second scan for
+    the year list.
+    """
+    cand = F.when(eligible, F.col("year")) if eligible is not None else F.col("year")
+    years = F.slice(F.sort_array(F.collect_set(cand).over(Window.partitionBy()), asc=False), 1, n)
+    return (grouped.withColumn("_years", years)
+            .filter(F.array_contains(F.col("_years"), F.col("year"))).drop("_years"))
+
+
 def trailing_days(df: DataFrame, as_of, days: int = 365, ts_col: str = "order_date") -> DataFrame:
     """rows at or after ``as_of - days``; pushed to the scan as a range filter."""
     start = timestamp_literal(as_of) - F.make_dt_interval(F.lit(days))

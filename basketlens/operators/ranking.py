@@ -46,11 +46,11 @@ def with_rest_row(top: DataFrame, totals: DataFrame, group_cols: list[str], key:
 def value_shares(df: DataFrame, key: str, share_col: str = "share", count_col: str = "n") -> DataFrame:
     """``value_counts(normalize=True) * 100``: share of rows per non-null key.
 
-    Counting is a map-side-combined group-by; the denominator is a scalar
-    subquery over the (small) grouped frame, so no single-partition window.
+    Counting is a map-side-combined group-by; the denominator is a window
+    sum over the grouped frame (one row per key), so the input is read once.
     """
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(count_col))
-    total = counts.select(F.sum(count_col)).scalar()
+    total = F.sum(count_col).over(Window.partitionBy())
     return counts.withColumn(share_col, pct(F.col(count_col), total))
 
 
@@ -59,20 +59,18 @@ def fold_small_shares(shares: DataFrame, key: str, threshold: float = 1.0, label
     """Keys with share < threshold collapse into one ``label`` row.
 
     The folded row exists only when something folds; its share is computed
-    from the summed counts (exact) rather than by summing rounded shares.
-    A major key that equals ``label`` is replaced by the folded row, as a
-    dictionary assignment would do.
+    from the summed counts (exact) rather than by adding rounded shares. A
+    major key equal to ``label`` is replaced by the folded row, as the
+    reference's dictionary assignment does. One pass over the shares frame.
     """
-    total = shares.select(F.sum(count_col)).scalar()
+    whole = Window.partitionBy()
     small = F.col(share_col) < F.lit(threshold)
-    minors = (shares.filter(small).groupBy()
-              .agg(F.sum(count_col).alias(count_col), F.count(F.lit(1)).alias("_k"))
-              .filter(F.col("_k") > 0)
-              .select(F.lit(label).alias(key), F.col(count_col),
-                      pct(F.col(count_col), total).alias(share_col)))
-    has_minor = shares.filter(small).exists()
-    majors = shares.filter(~small & ~(has_minor & (F.col(key) == F.lit(label))))
-    return majors.select(key, count_col, share_col).unionByName(minors)
+    s = shares.withColumns({"_total": F.sum(count_col).over(whole),
+                            "_minor": F.max(small.cast("int")).over(whole)})
+    s = s.filter(small | (F.col(key) != F.lit(label)) | (F.col("_minor") == 0))
+    folded = F.when(small, F.lit(label)).otherwise(F.col(key))
+    out = s.groupBy(folded.alias(key)).agg(F.sum(count_col).alias(count_col), F.max("_total").alias("_total"))
+    return out.select(key, count_col, pct(F.col(count_col), F.col("_total")).alias(share_col))
 
 
 def head_with_remainder(df: DataFrame, order_cols: list[Column], n: int = 10,

@@ -3,12 +3,12 @@ category shares (R2) and top products (R3)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions.columns import as_double, first_non_null, format_amount, last_category, pct, sum0
-from basketlens.operators.periods import in_latest_years
-from basketlens.operators.ranking import top_n_per_group, with_rest_row
+from basketlens.operators.periods import in_latest_years, keep_latest_years
+from basketlens.operators.ranking import top_n_per_group
 from basketlens.schema import Params
 
 
@@ -59,26 +59,43 @@ def aov_matrix(aov: DataFrame, years: list[int] | None = None) -> DataFrame:
 
 
 def category_revenue(lines: DataFrame, params: Params = Params()) -> DataFrame:
-    """P8 + A6 on the last ``recent_years`` years: Σ line revenue per (year, last category)."""
-    recent = in_latest_years(lines, params.recent_years)
-    return (recent.select("year", last_category("category_path").alias("last_category"), "line_revenue")
-            .filter(F.col("last_category").isNotNull() & F.col("year").isNotNull())
-            .groupBy("year", "last_category").agg(sum0("line_revenue").alias("revenue")))
+    """P8 + A6 on the last ``recent_years`` years: Σ line revenue per (year, last category).
+
+    One aggregation over all years (null categories kept as a group so the
+    year list is exact), then the latest years are picked on the small
+    grouped frame.
+    """
+    g = (lines.filter(F.col("year").isNotNull())
+         .groupBy("year", last_category("category_path").alias("last_category"))
+         .agg(sum0("line_revenue").alias("revenue")))
+    return keep_latest_years(g, params.recent_years).filter(F.col("last_category").isNotNull())
 
 
 def category_shares(lines: DataFrame, params: Params = Params()) -> DataFrame:
     """R2: top categories per year with their share, plus the 'everything else' row.
 
-    Totals per year come from the grouped frame (at most ``recent_years``
-    rows, broadcast); the top-k is a row_number filter with a partial
-    per-partition limit; shares use double arithmetic, then half-even
-    rounding (revenue to whole units, share to 0.1).
+    A single linear plan over the (year, category) frame: window totals and
+    ranks per year; rows past the top k are relabelled as the rest row, and
+    each year's first row is doubled into a zero rest seed, so the rest row
+    exists even when a year has k categories or fewer. Shares use double
+    arithmetic, then half-even rounding (revenue to whole units, share to 0.1).
     """
+    k = params.top_categories
     cat = category_revenue(lines, params)
-    totals = cat.groupBy("year").agg(F.sum("revenue").alias("total"))
-    top = top_n_per_group(cat, ["year"], [F.desc("revenue"), F.asc("last_category")], params.top_categories)
-    top = top.join(F.broadcast(totals), "year")
-    full = with_rest_row(top, totals, ["year"], "last_category", "revenue", params.rest_label)
+    w = Window.partitionBy("year")
+    ranked = cat.withColumns({
+        "total": F.sum("revenue").over(w),
+        "n_cat": F.count(F.lit(1)).over(w),
+        "rank": F.row_number().over(w.orderBy(F.desc("revenue"), F.asc("last_category"))),
+    })
+    copies = F.when(F.col("rank") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = ranked.withColumn("_copy", F.explode(copies))
+    top = (F.col("_copy") == 0) & (F.col("rank") <= k)
+    label = F.when(top, F.col("last_category")).otherwise(F.lit(params.rest_label))
+    out_rank = F.when(top, F.col("rank")).otherwise(F.least(F.col("n_cat"), F.lit(k)) + 1)
+    value = F.when(F.col("_copy") == 1, F.lit(0)).otherwise(F.col("revenue"))
+    full = (rows.groupBy("year", label.alias("last_category"), out_rank.cast("int").alias("rank"))
+            .agg(F.sum(value).alias("revenue"), F.max("total").alias("total")))
     return full.select(
         "year", "rank", "last_category",
         F.bround("revenue", 0).cast("long").alias("revenue"),
@@ -87,7 +104,13 @@ def category_shares(lines: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def recent_order_years(lines: DataFrame, params: Params) -> DataFrame:
-    """Lines of the last years present among orders (lines with an order number)."""
+    """Lines of the last years present among orders (lines with an order number).
+
+    The year list is a separate narrow aggregation (at most ``recent_years``
+    rows, broadcast into a semi-join): restricting before the (year, item)
+    aggregation keeps that aggregation to the recent years, which matters
+    because its output grows with the item count.
+    """
     return in_latest_years(lines, params.recent_years, source=lines.filter(F.col("order_number").isNotNull()))
 
 
