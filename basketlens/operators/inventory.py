@@ -40,12 +40,13 @@ def stock_flags(items: DataFrame, params: Params = Params()) -> DataFrame:
     computed once and inlined as values), so there is no join. Comparisons
     with null count as false."""
     th = stock_thresholds(items, params).select(F.struct("q_high", "q_low")).scalar()
-    q_high, q_low = th.getField("q_high"), th.getField("q_low")
+    items = items.withColumn("_th", th)     # one subquery, read twice below
+    q_high, q_low = F.col("_th.q_high"), F.col("_th.q_low")
     d, s = F.col("daily_avg"), F.col("stock_quantity")
     low = (d > q_high) & (s < d * F.lit(params.low_stock_days))
     excess = (d <= q_low) & (s > d * F.lit(params.excess_stock_days))
     return items.withColumns({"low_stock": F.coalesce(low, F.lit(False)),
-                              "excess_stock": F.coalesce(excess, F.lit(False))})
+                              "excess_stock": F.coalesce(excess, F.lit(False))}).drop("_th")
 
 
 _COLS = ["item_id", "item_name", "quantity", "daily_avg", "stock_quantity"]

@@ -50,16 +50,19 @@ def customer_features(lines: DataFrame, params: Params = Params(), variant: str
 def scale_features(features: DataFrame, cols: list[str], suffix: str = "_z") -> DataFrame:
     """M1: (x - mean) / population std per column; constant (or single) -> 0.
 
-    Means and deviations are scalar subqueries over the feature frame (Spark
-    merges them into one aggregate job), so nothing is collected.
+    All means and deviations come from one aggregate, inlined as a single
+    struct-valued scalar subquery (computed once), so nothing is collected.
     """
+    stats = []
+    for c in cols:
+        stats += [F.avg(as_double(c)).alias(f"m_{c}"), F.stddev_pop(as_double(c)).alias(f"s_{c}")]
+    sq = features.agg(*stats).select(F.struct(*[F.col(f"{p}_{c}") for c in cols for p in "ms"])).scalar()
+    df = features.withColumn("_st", sq)     # one subquery (one job), read per column below
     out = {}
     for c in cols:
-        x = as_double(c)
-        mean = features.select(F.avg(x)).scalar()
-        std = features.select(F.stddev_pop(x)).scalar()
+        x, mean, std = as_double(c), F.col(f"_st.m_{c}"), F.col(f"_st.s_{c}")
         out[c + suffix] = F.when(std > 0, (x - mean) / std).otherwise(F.lit(0.0))
-    return features.withColumns(out)
+    return df.withColumns(out).drop("_st")
 
 
 def segment_label(orders: Column, spent: Column, recency: Column, params: Params = Params()) -> Column:

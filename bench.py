@@ -52,10 +52,16 @@ def main() -> None:
 
     spark = session()
 
-    def report_runner(names):
+    from basketlens.plans.reports import bound_reports
+
+    def report_runner(make):
         def run():
-            for n in names:
-                run_noop(C.QUERIES[n](spark, SF_DIR))
+            rep = make()
+            try:
+                for df in rep.outputs.values():
+                    run_noop(df)
+            finally:
+                rep.release()
         return run
 
     def run_bundle():
@@ -70,7 +76,7 @@ def main() -> None:
         finally:
             B.release(b)
 
-    runners = {name: report_runner(qs) for name, qs in C.REPORTS.items()}
+    runners = {name: report_runner(make) for name, make in bound_reports(spark, SF_DIR).items()}
     runners["R13_report_bundle"] = run_bundle
     order = sorted(runners, key=lambda k: int(k.split("_")[0][1:]))
 
