@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -47,6 +48,20 @@ def customer_features(lines: DataFrame, params: Params = Params(), variant: str
     return out
 
 
+def spark_tolerance(rel_tol: float, n_varying: int, n_features: int, k: int) -> float:
+    """Map a scikit-learn style k-means tolerance to Spark's.
+
+    scikit-learn stops when the *sum* of squared centre shifts is at most
+    ``tol * mean feature variance``; Spark stops when *every* centre moved
+    at most ``tol``. With per-centre shift <= sqrt(tol * var / k) the sum is
+    bounded by the scikit-learn threshold, so Spark never stops earlier.
+    Standardised features have variance 1 (0 when constant).
+    """
+    if n_features == 0 or k == 0:
+        return 0.0
+    return math.sqrt(rel_tol * (n_varying / n_features) / k)
+
+
 def scale_features(features: DataFrame, cols: list[str], suffix: str = "_z") -> DataFrame:
     """M1: (x - mean) / population std per column; constant (or single) -> 0.
 
@@ -122,21 +137,30 @@ def segment(features: DataFrame, cols: list[str], params: Params = Params()) ->
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    complete = features.dropna(subset=cols)
-    scaled = scale_features(complete, cols)
+    complete_flag = F.lit(True)
+    for c in cols:
+        complete_flag = complete_flag & F.col(c).isNotNull()
+    # One materialisation of the features (the only pass over the lines);
+    # fixed partitioning and order so a rerun gives the same k-means start.
+    base = _reliable(features.withColumn("_complete", complete_flag)
+                     .repartition("email").sortWithinPartitions("email"))
+    done = F.col("_complete")
+    counts = base.agg(F.count_if(done).alias("n"), F.count_if(~done).alias("dropped"),
+                      *[F.stddev_pop(F.when(done, F.col(c).cast("double"))).alias(c) for c in cols]).first()
+    n, dropped = counts["n"], counts["dropped"]
+    n_varying = sum(1 for c in cols if (counts[c] or 0) > 0)
+    complete = base.filter(F.col("_complete")).drop("_complete")
     zcols = [c + "_z" for c in cols]
-    vec = VectorAssembler(inputCols=zcols, outputCol="features").transform(scaled)
-    vec = _reliable(vec.repartition("email").sortWithinPartitions("email"))
-    n = vec.count()
-    dropped = features.count() - n
+    vec = VectorAssembler(inputCols=zcols, outputCol="features").transform(scale_features(complete, cols))
     k = min(params.k, n)
     if k < 1:
         empty = features.sparkSession.createDataFrame([], _summary_schema(cols))
-        return Segmentation(vec.withColumn("cluster", F.lit(None).cast("int")), empty, dropped, 0)
+        return Segmentation(complete.withColumn("cluster", F.lit(None).cast("int")), empty, dropped, 0)
     if k == 1:
         assigned = vec.withColumn("cluster", F.lit(0))
     else:
-        model = KMeans(k=k, seed=params.seed, maxIter=params.max_iter, tol=params.tol,
+        tol = spark_tolerance(params.tol, n_varying, len(cols), k)
+        model = KMeans(k=k, seed=params.seed, maxIter=params.max_iter, tol=tol,
                        featuresCol="features", predictionCol="cluster").fit(vec)
         assigned = model.transform(vec)
     assigned = assigned.drop("features", *zcols)

@@ -72,13 +72,13 @@ def region_report(lines: DataFrame, cities: DataFrame, params: Params) -> Report
 def stock_report(lines: DataFrame, params: Params) -> Report:
     """Item sales of the trailing year (persisted), thresholds, risk lists, heads, counts."""
     items = inventory.item_sales(lines, params).persist(MEM_DISK)
-    flags = inventory.stock_flags(items, params)
+    flags = inventory.stock_flags(items, params).persist(MEM_DISK)
     return Report({"stock_thresholds": inventory.stock_thresholds(items, params),
                    "low_stock": inventory.low_stock(flags),
                    "excess_stock": inventory.excess_stock(flags),
                    "low_stock_head": inventory.low_stock_head(flags, params),
                    "excess_stock_head": inventory.excess_stock_head(flags, params),
-                   "stock_risk_counts": inventory.stock_risk_counts(flags)}, [items])
+                   "stock_risk_counts": inventory.stock_risk_counts(flags)}, [flags, items])
 
 
 def gender_report(lines: DataFrame) -> Report:

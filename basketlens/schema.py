@@ -136,7 +136,7 @@ class Params:
     k: int = 4
     seed: int = 42
     max_iter: int = 300
-    tol: float = 1e-4
+    tol: float = 1e-4                   # scikit-learn style (relative), see segments.spark_tolerance
     loyal_min_orders: float = 5
     loyal_min_spent: float = 50_000
     vip_min_spent: float = 100_000
