@@ -16,10 +16,9 @@ from pyspark.sql import types as T
 
 from basketlens.schema import LINE_ORDINAL, MASK_DOMAIN, MONEY_TYPE
 
-# Python's str.strip() removes every char with isspace(): Java's \s plus the
-# Unicode separators (\p{Z}) plus the four ASCII information separators and NEL.
-_WS = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]"
-_STRIP_RE = rf"^{_WS}+|{_WS}+$"
+# Python's str.strip() removes every character with isspace(); the set is
+# generated by that rule (about 30 code points) and handed to Spark's trim.
+PY_WHITESPACE = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 
 MICROS_PER_DAY = 86_400_000_000
 
@@ -29,8 +28,9 @@ def col(c: str | Column) -> Column:
 
 
 def strip_ws(c: str | Column) -> Column:
-    """Strip leading/trailing Unicode white space (Spark's trim strips only ' ')."""
-    return F.regexp_replace(col(c), _STRIP_RE, "")
+    """Python ``str.strip()``: trim every Unicode white-space character (plain
+    ``trim`` strips only ' ')."""
+    return F.trim(col(c), F.lit(PY_WHITESPACE))
 
 
 def sum0(c: str | Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions.columns import mask_email
-from basketlens.functions.names import normalise_name
+from basketlens.functions.names import normalise_columns
 from basketlens.schema import (
     FEMALE_NAME_MARK, GENDER_FEMALE, GENDER_MALE, GENDER_UNKNOWN, PII_COLUMNS, Params,
 )
@@ -27,15 +27,29 @@ def name_flags(male: DataFrame, female: DataFrame) -> DataFrame:
 
 def normalised_names(raw: DataFrame, first: str = "first_name", last: str = "last_name") -> DataFrame:
     """N1 on the two name columns (absent column -> null)."""
-    def norm(c: str):
-        return normalise_name(c) if c in raw.columns else F.lit(None).cast("string")
-    return raw.withColumns({"first_name_norm": norm(first), "last_name_norm": norm(last)})
+    present = {o: c for o, c in (("first_name_norm", first), ("last_name_norm", last)) if c in raw.columns}
+    df = normalise_columns(raw, present) if present else raw
+    absent = {o: F.lit(None).cast("string") for o in ("first_name_norm", "last_name_norm") if o not in present}
+    return df.withColumns(absent) if absent else df
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast a lookup only after checking its size; above the bound the
+    planner keeps a shuffle join (AQE splits skewed keys). The check is one
+    count of the lookup, never of the fact data."""
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def infer_gender(raw: DataFrame, flags: DataFrame, first: str = "first_name", last: str = "last_name",
-                 out: str = "gender") -> DataFrame:
-    """Gender from the first, then the last name; '-né' marks a woman; else unknown."""
+                 out: str = "gender", max_broadcast_rows: int = 2_000_000) -> DataFrame:
+    """Gender from the first, then the last name; '-né' marks a woman; else unknown.
+
+    The name lookup is broadcast when it has at most ``max_broadcast_rows``
+    names (a national name list has tens of thousands), so the order lines
+    are never shuffled by name.
+    """
     df = normalised_names(raw, first, last)
+    flags = bounded_broadcast(flags, max_broadcast_rows)
     f1 = flags.select(F.col("name").alias("_n1"), F.col("is_male").alias("_m1"), F.col("is_female").alias("_f1"))
     f2 = flags.select(F.col("name").alias("_n2"), F.col("is_male").alias("_m2"), F.col("is_female").alias("_f2"))
     df = (df.join(f1, F.col("first_name_norm") == F.col("_n1"), "left")
