@@ -1,4 +1,4 @@
-"""Reusable ranking/share operators (K1-K5, U1, A17/A19 shares, A20 folding).
+"""Reusable ranking/share operators (K1-K5, A17/A19 shares, A20 folding).
 
 All windows here run on already-aggregated frames. Top-k uses
 ``row_number() <= k`` so Spark inserts a WindowGroupLimit: each partition
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.functions.columns import as_double, pct
+from basketlens.functions.columns import pct
 
 
 def top_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list[Column], n: int,
@@ -21,28 +21,6 @@ def top_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list[Colum
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= n)
 
 
-def group_totals(df: DataFrame, group_cols: list[str], value: str, total_col: str = "total") -> DataFrame:
-    """Σ value per group as its own (small) frame."""
-    return df.groupBy(*group_cols).agg(F.sum(value).alias(total_col))
-
-
-def with_rest_row(top: DataFrame, totals: DataFrame, group_cols: list[str], key: str, value: str,
-                  label: str, rank_col: str = "rank", total_col: str = "total") -> DataFrame:
-    """Append one row per group carrying total - Σ top values, labelled ``label``.
-
-    The row is appended even when it is 0 (a group with fewer than k keys).
-    ``totals`` has one row per group; both inputs are small.
-    """
-    top_sum = top.groupBy(*group_cols).agg(F.sum(value).alias("_top"), F.max(rank_col).alias("_r"))
-    rest = (totals.join(top_sum, group_cols, "left")
-            .select(*group_cols,
-                    F.lit(label).alias(key),
-                    (F.col(total_col) - F.coalesce(F.col("_top"), F.lit(0))).alias(value),
-                    (F.coalesce(F.col("_r"), F.lit(0)) + 1).cast("int").alias(rank_col),
-                    F.col(total_col)))
-    return top.unionByName(rest)
-
-
 def value_shares(df: DataFrame, key: str, share_col: str = "share", count_col: str = "n") -> DataFrame:
     """``value_counts(normalize=True) * 100``: share of rows per non-null key.
 
@@ -87,7 +65,4 @@ def head_with_remainder(df: DataFrame, order_cols: list[Column], n: int = 10,
             .withColumn(rest_col, F.greatest(total - F.lit(n), F.lit(0)).cast("long")))
 
 
-__all__ = [
-    "as_double", "fold_small_shares", "group_totals", "head_with_remainder",
-    "top_n_per_group", "value_shares", "with_rest_row",
-]
+__all__ = ["fold_small_shares", "head_with_remainder", "top_n_per_group", "value_shares"]

@@ -321,7 +321,8 @@ ORACLES: dict[str, str] = {
   WHERE rank <= 10""",
 
     "stock_risk_counts": _with(*L, ITEMS)
-    + "SELECT count_if(low_stock) AS low_stock_items, count_if(excess_stock) AS excess_stock_items FROM flags",
+    + "SELECT CAST(count_if(low_stock) AS BIGINT) AS low_stock_items, "
+    "CAST(count_if(excess_stock) AS BIGINT) AS excess_stock_items FROM flags",
 
     "discount_summary": _with(*L) + """SELECT year, CAST(sum(discount_amount) AS DOUBLE) AS discount_total,
     count(DISTINCT order_number) AS discounted_orders
@@ -349,7 +350,7 @@ ORACLES: dict[str, str] = {
     "origin_folded": _with(EVENT_LINES, SHARES) + """SELECT origin, n, share FROM shares
   WHERE share >= 20.0 AND NOT (origin = 'Egyéb' AND EXISTS (SELECT 1 FROM shares WHERE share < 20.0))
   UNION ALL
-  SELECT 'Egyéb' AS origin, sum(n) AS n,
+  SELECT 'Egyéb' AS origin, CAST(sum(n) AS BIGINT) AS n,
          CAST(sum(n) AS DOUBLE) / CAST((SELECT sum(n) FROM shares) AS DOUBLE) * 100.0 AS share
   FROM shares WHERE share < 20.0 HAVING count(*) > 0""",
 
