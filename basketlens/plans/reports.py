@@ -28,6 +28,12 @@ from basketlens.sources import tables
 MEM_DISK = StorageLevel.MEMORY_AND_DISK
 
 
+def small_sorted(df: DataFrame, *order) -> DataFrame:
+    """Display order for a bounded output (top-k, per year/month rows): one
+    partition sorted locally, with no range-partitioning sample job."""
+    return df.coalesce(1).sortWithinPartitions(*order)
+
+
 @dataclass
 class Report:
     outputs: dict[str, DataFrame]
@@ -44,10 +50,10 @@ def monthly_report(lines: DataFrame) -> Report:
     years = revenue.years_of(monthly)          # first action: fills the cache
     matrix = revenue.revenue_matrix(monthly, years)
     return Report({
-        "monthly_revenue": C.finalize(monthly),
-        "revenue_matrix": C.finalize(matrix),
-        "revenue_matrix_text": revenue.formatted(matrix, [str(y) for y in years]),
-        "yearly_totals": C.finalize(revenue.yearly_totals(monthly)),
+        "monthly_revenue": small_sorted(C.finalize(monthly), "year", "month"),
+        "revenue_matrix": small_sorted(C.finalize(matrix), "month"),
+        "revenue_matrix_text": small_sorted(revenue.formatted(matrix, [str(y) for y in years]), "month"),
+        "yearly_totals": small_sorted(C.finalize(revenue.yearly_totals(monthly)), "year"),
     }, [monthly])
 
 
@@ -55,18 +61,21 @@ def aov_report(lines: DataFrame) -> Report:
     """Average order value per month, long and as a matrix."""
     aov = revenue.average_order_value(clean.order_totals(lines)).persist(MEM_DISK)
     years = revenue.years_of(aov)
-    return Report({"average_order_value": aov, "aov_matrix": revenue.aov_matrix(aov, years),
-                   "aov_matrix_text": revenue.formatted(revenue.aov_matrix(aov, years),
-                                                        [str(y) for y in years], " Ft")}, [aov])
+    return Report({"average_order_value": small_sorted(aov, "year", "month"),
+                   "aov_matrix": small_sorted(revenue.aov_matrix(aov, years), "month"),
+                   "aov_matrix_text": small_sorted(revenue.formatted(revenue.aov_matrix(aov, years),
+                                                                     [str(y) for y in years], " Ft"), "month")},
+                  [aov])
 
 
 def region_report(lines: DataFrame, cities: DataFrame, params: Params) -> Report:
     """Regional revenue, top counties and cities per year, county totals."""
     regional = region.regional_revenue(lines, cities, params).persist(MEM_DISK)
     return Report({"regional_revenue": C.finalize(regional),
-                   "top_counties": region.top_counties(regional, params),
-                   "top_cities": region.top_cities(regional, params),
-                   "county_totals": region.county_totals(regional)}, [regional])
+                   "top_counties": small_sorted(region.top_counties(regional, params), F.desc("year"), "rank"),
+                   "top_cities": small_sorted(region.top_cities(regional, params), F.desc("year"), "rank"),
+                   "county_totals": small_sorted(region.county_totals(regional), F.desc("revenue"), "county")},
+                  [regional])
 
 
 def stock_report(lines: DataFrame, params: Params) -> Report:
@@ -74,10 +83,10 @@ def stock_report(lines: DataFrame, params: Params) -> Report:
     items = inventory.item_sales(lines, params).persist(MEM_DISK)
     flags = inventory.stock_flags(items, params).persist(MEM_DISK)
     return Report({"stock_thresholds": inventory.stock_thresholds(items, params),
-                   "low_stock": inventory.low_stock(flags),
-                   "excess_stock": inventory.excess_stock(flags),
-                   "low_stock_head": inventory.low_stock_head(flags, params),
-                   "excess_stock_head": inventory.excess_stock_head(flags, params),
+                   "low_stock": inventory.low_stock(flags).orderBy(*inventory.low_order()),
+                   "excess_stock": inventory.excess_stock(flags).orderBy(*inventory.excess_order()),
+                   "low_stock_head": small_sorted(inventory.low_stock_head(flags, params), "rank"),
+                   "excess_stock_head": small_sorted(inventory.excess_stock_head(flags, params), "rank"),
                    "stock_risk_counts": inventory.stock_risk_counts(flags)}, [flags, items])
 
 
@@ -92,23 +101,25 @@ def gender_report(lines: DataFrame) -> Report:
         as_double(F.coalesce(F.sum("revenue"), F.lit(0))).alias("revenue"))
     from pyspark.sql import Window
     share = per_gender.select("gender", "n", pct(F.col("n"), F.sum("n").over(Window.partitionBy())).alias("share"))
-    return Report({"gender_share": share, "gender_summary": per_gender.select("gender", "orders", "revenue")},
+    return Report({"gender_share": small_sorted(share, F.desc("share"), "gender"),
+                   "gender_summary": small_sorted(per_gender.select("gender", "orders", "revenue"), "gender")},
                   [per_order])
 
 
 def origin_report(lines: DataFrame, params: Params) -> Report:
     """Origin shares since ``origin_min_year`` and the folded view."""
     shares = audience.origin_share(lines, params).persist(MEM_DISK)
-    return Report({"origin_share": shares,
-                   "origin_folded": fold_small_shares(shares, "origin", params.share_threshold,
-                                                      params.other_label)}, [shares])
+    folded = fold_small_shares(shares, "origin", params.share_threshold, params.other_label)
+    return Report({"origin_share": small_sorted(shares, F.desc("share"), "origin"),
+                   "origin_folded": small_sorted(folded, F.desc("share"), "origin")}, [shares])
 
 
 def segment_report(lines: DataFrame, params: Params, variant: str) -> Report:
     """Features, k-means segments, summary with names, assignment table."""
     cols = segments.ACTIVE_FEATURES if variant == "active" else segments.ALL_FEATURES
     seg = segments.segment(segments.customer_features(lines, params, variant), cols, params)
-    return Report({"cluster_summary": seg.summary, "assignments": segments.assignments_view(seg.assignments)},
+    return Report({"cluster_summary": small_sorted(seg.summary, "cluster"),
+                   "assignments": segments.assignments_view(seg.assignments)},
                   [seg.assignments])
 
 
@@ -118,18 +129,19 @@ def _bound(spark: SparkSession, d: str) -> dict[str, Callable[[], Report]]:
     P = C.P
     return {
         "R1_monthly_revenue": lambda: monthly_report(C.lines(spark, d)),
-        "R2_category_shares": lambda: Report({"category_shares": revenue.category_shares(
-            C.lines(spark, d, "category_path"), P)}),
-        "R3_top_products": lambda: Report({"top_products": revenue.top_products(
-            C.lines(spark, d, "item_id", "item_name"), P)}),
+        "R2_category_shares": lambda: Report({"category_shares": small_sorted(revenue.category_shares(
+            C.lines(spark, d, "category_path"), P), F.desc("year"), "rank")}),
+        "R3_top_products": lambda: Report({"top_products": small_sorted(revenue.top_products(
+            C.lines(spark, d, "item_id", "item_name"), P), F.desc("year"), "rank")}),
         "R4_average_order_value": lambda: aov_report(C.lines(spark, d)),
         "R5_regions": lambda: region_report(C.lines(spark, d, "city"), tables.city_county_table(spark, d), P),
         "R6_stock_risks": lambda: stock_report(
             C.lines(spark, d, "item_id", "item_name", "quantity", "stock_quantity"), P),
-        "R7_discounts": lambda: Report({"discount_summary": discounts.discount_summary(C.lines(spark, d))}),
+        "R7_discounts": lambda: Report({"discount_summary": small_sorted(
+            discounts.discount_summary(C.lines(spark, d)), "year")}),
         "R8_purchase_timing": lambda: Report({
-            "weekday_revenue": timing.weekday_revenue(C.lines(spark, d), P),
-            "hourly_revenue": timing.hourly_revenue(C.event_lines(spark, d), P)}),
+            "weekday_revenue": small_sorted(timing.weekday_revenue(C.lines(spark, d), P), "year", "weekday_no"),
+            "hourly_revenue": small_sorted(timing.hourly_revenue(C.event_lines(spark, d), P), "year", "hour")}),
         "R9_gender": lambda: gender_report(C.lines(spark, d, "gender")),
         "R10_origin": lambda: origin_report(C.event_lines(spark, d),
                                             P.with_(share_threshold=C.ORIGIN_FOLD_THRESHOLD)),

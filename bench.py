@@ -19,6 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+ONLY = [x for x in os.environ.get("BENCH_ONLY", "").split(",") if x]   # e.g. "R1,R6"
 
 
 def session():
@@ -30,7 +31,7 @@ def session():
                .config("spark.sql.adaptive.enabled", "true")
                .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
                .config("spark.sql.adaptive.skewJoin.enabled", "true")
-               .config("spark.sql.shuffle.partitions", str(max(CPUS * 2, 8)))
+               .config("spark.sql.shuffle.partitions", os.environ.get("BENCH_SHUFFLE", str(max(CPUS * 2, 8))))
                .config("spark.driver.memory", "16g")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     spark = builder.getOrCreate()
@@ -79,6 +80,8 @@ def main() -> None:
     runners = {name: report_runner(make) for name, make in bound_reports(spark, SF_DIR).items()}
     runners["R13_report_bundle"] = run_bundle
     order = sorted(runners, key=lambda k: int(k.split("_")[0][1:]))
+    if ONLY:
+        order = [k for k in order if k.split("_")[0] in ONLY]
 
     times: dict[str, list[float]] = {k: [] for k in order}
     for rep in range(RUNS + 1):
