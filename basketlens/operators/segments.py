@@ -114,7 +114,11 @@ def _reliable(df: DataFrame) -> DataFrame:
     disk, which Spark recomputes from lineage if an executor is lost.
     """
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None):
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        sc = spark.sparkContext
+        if sc.getCheckpointDir() is None:      # set at runtime, after the context started
+            sc.setCheckpointDir(path)
         return df.checkpoint(eager=True)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -160,8 +164,12 @@ def segment(features: DataFrame, cols: list[str], params: Params = Params()) ->
         assigned = vec.withColumn("cluster", F.lit(0))
     else:
         tol = spark_tolerance(params.tol, n_varying, len(cols), k)
-        model = KMeans(k=k, seed=params.seed, maxIter=params.max_iter, tol=tol,
-                       featuresCol="features", predictionCol="cluster").fit(vec)
+        cached = vec.persist(StorageLevel.MEMORY_AND_DISK)   # every iteration re-reads it
+        try:
+            model = KMeans(k=k, seed=params.seed, maxIter=params.max_iter, tol=tol,
+                           featuresCol="features", predictionCol="cluster").fit(cached)
+        finally:
+            cached.unpersist()
         assigned = model.transform(vec)
     assigned = assigned.drop("features", *zcols)
     return Segmentation(assigned, cluster_summary(assigned, cols, params), dropped, k)

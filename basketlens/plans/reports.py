@@ -155,5 +155,65 @@ def bound_reports(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], Re
     return _bound(spark, sf_dir)
 
 
-__all__ = ["Report", "aov_report", "bound_reports", "gender_report", "monthly_report", "origin_report",
-           "privacy", "region_report", "segment_report", "stock_report"]
+
+
+
+# --- user entry points over canonical order lines ---------------------------
+
+def all_reports(lines: DataFrame, cities: DataFrame | None = None, params: Params = Params(),
+                segments_too: bool = True) -> dict[str, Report]:
+    """Every report of the analyser (R1-R12) over cleaned order lines (``clean.order_lines``).
+
+    Reports are built lazily; each one persists its own shared aggregate when
+    its outputs run, and ``Report.release`` frees it.
+    """
+    have = set(lines.columns)
+
+    def has(*cols: str) -> bool:       # F11: a report runs only when its columns exist
+        return set(cols) <= have
+
+    out: dict[str, Report] = {
+        "R1_monthly_revenue": monthly_report(lines),
+        "R4_average_order_value": aov_report(lines),
+        "R7_discounts": Report({"discount_summary": small_sorted(discounts.discount_summary(lines), "year")}),
+        "R8_purchase_timing": Report({
+            "weekday_revenue": small_sorted(timing.weekday_revenue(lines, params), "year", "weekday_no"),
+            "hourly_revenue": small_sorted(timing.hourly_revenue(lines, params), "year", "hour")}),
+    }
+    if has("category_path"):
+        out["R2_category_shares"] = Report({"category_shares": small_sorted(
+            revenue.category_shares(lines, params), F.desc("year"), "rank")})
+    if has("item_id", "item_name"):
+        out["R3_top_products"] = Report({"top_products": small_sorted(
+            revenue.top_products(lines, params), F.desc("year"), "rank")})
+    if has("item_id", "item_name", "quantity", "stock_quantity"):
+        out["R6_stock_risks"] = stock_report(lines, params)
+    if cities is not None and has("city"):
+        out["R5_regions"] = region_report(lines, cities, params)
+    if has("gender"):
+        out["R9_gender"] = gender_report(lines)
+    if has("origin"):
+        out["R10_origin"] = origin_report(lines, params)
+    if segments_too and has("email", "customer_total_orders", "customer_first_order", "customer_last_order"):
+        out["R11_segments_active"] = segment_report(lines, params, "active")
+        if has("customer_total_spent"):
+            out["R12_segments_all"] = segment_report(lines, params, "all")
+    return out
+
+
+def anonymise_file(spark: SparkSession, path: str, male_names: str, female_names: str,
+                   params: Params = Params(), fmt: str = "parquet", out_path: str | None = None) -> str:
+    """R14 end to end (S1 -> Q1 -> S4): read an export, anonymise it, write it next to
+    the input as ``<stem>_anonymized`` (or to ``out_path``); returns the output path."""
+    from basketlens.sources.readers import read_name_list, read_order_lines, write_table
+    raw = read_order_lines(spark, path, fmt=fmt)
+    if "line_no" in raw.columns and "line_no" not in spark.read.format(fmt).load(path).columns:
+        raw = raw.drop("line_no")
+    anon = privacy.anonymise(raw, read_name_list(spark, male_names), read_name_list(spark, female_names), params)
+    target = out_path or path.rstrip("/").rsplit(".", 1)[0] + "_anonymized"
+    write_table(anon, target, fmt=fmt)
+    return target
+
+
+__all__ = ["Report", "all_reports", "anonymise_file", "aov_report", "bound_reports", "gender_report",
+           "monthly_report", "origin_report", "region_report", "segment_report", "stock_report"]

@@ -67,3 +67,27 @@ def test_streaming_anonymiser(spark, tmpdir_run):
     assert "first_name" not in out.columns and "phone_billing" not in out.columns
     assert rows["1"]["gender"] == "Férfi" and rows["2"]["gender"] == "Nő"
     assert rows["1"]["email"] == "5e1e7445a5@masked.com"
+
+
+def test_anonymise_file_and_all_reports(spark, tmpdir_run):
+    from basketlens.plans.reports import all_reports, anonymise_file
+    src = f"{tmpdir_run}/export"
+    write_csv(src)
+    with open(f"{tmpdir_run}/m.txt", "w", encoding="utf-8") as fh:
+        fh.write("Győző\n")
+    with open(f"{tmpdir_run}/f.txt", "w", encoding="utf-8") as fh:
+        fh.write("Anna\n")
+    out = anonymise_file(spark, src, f"{tmpdir_run}/m.txt", f"{tmpdir_run}/f.txt", fmt="csv")
+    assert out.endswith("export_anonymized")
+    back = spark.read.csv(out, header=True)
+    assert back.count() == len(ROWS) and "First Name (Billing)" not in back.columns
+    assert {r["gender"] for r in back.collect()} == {"Férfi", "Nő"}
+    lines = clean.order_lines(readers.read_order_lines(spark, src, fmt="csv"), Params())
+    reps = all_reports(lines, segments_too=False)
+    try:
+        got = reps["R1_monthly_revenue"].outputs["monthly_revenue"].collect()
+        assert [(r["year"], r["month"]) for r in got] == [(2024, 1), (2024, 2)]
+        assert reps["R7_discounts"].outputs["discount_summary"].count() == 1
+    finally:
+        for r in reps.values():
+            r.release()
