@@ -38,17 +38,19 @@ def sum0(c: str | Column) -> Column:
     return F.coalesce(F.sum(col(c)), F.lit(0))
 
 
-def first_non_null(c: str | Column, df: DataFrame | None = None, ordinal: str = LINE_ORDINAL) -> Column:
-    """First non-null value of ``c`` in line order.
+def first_non_null(c: str | Column, df: DataFrame | None = None, ordinal: str = LINE_ORDINAL,
+                   present: Column | None = None) -> Column:
+    """First value of ``c`` in line order among rows where it is present (default: non-null).
 
     Uses the line ordinal when the frame has one; ``min_by`` skips rows whose
-    ordering key is null, so masking the key where ``c`` is null yields the
-    first non-null value. Without an ordinal, falls back to ``first(ignorenulls)``.
+    ordering key is null, so masking the key where ``c`` is absent yields the
+    first present value. Without an ordinal, falls back to ``first(ignorenulls)``.
     """
     x = col(c)
+    cond = x.isNotNull() if present is None else present
     if df is not None and ordinal in df.columns:
-        return F.min_by(x, F.when(x.isNotNull(), F.col(ordinal)))
-    return F.first(x, ignorenulls=True)
+        return F.min_by(x, F.when(cond, F.col(ordinal)))
+    return F.first(F.when(cond, x), ignorenulls=True)
 
 
 def days_between(later: str | Column, earlier: str | Column) -> Column:

@@ -83,9 +83,7 @@ def order_totals(lines: DataFrame) -> DataFrame:
         .agg(
             sum0("line_revenue").alias("line_revenue"),
             first_non_null("refund_amount", lines).alias("refund_amount"),
-            (F.min_by(dated, F.when(F.col("order_date").isNotNull(), F.col(LINE_ORDINAL)))
-             if LINE_ORDINAL in lines.columns else F.first(
-                 F.when(F.col("order_date").isNotNull(), dated), ignorenulls=True)).alias("d"),
+            first_non_null(dated, lines, present=F.col("order_date").isNotNull()).alias("d"),
         )
     )
     return agg.select(

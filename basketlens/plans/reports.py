@@ -164,8 +164,9 @@ def all_reports(lines: DataFrame, cities: DataFrame | None = None, params: Param
                 segments_too: bool = True) -> dict[str, Report]:
     """Every report of the analyser (R1-R12) over cleaned order lines (``clean.order_lines``).
 
-    Reports are built lazily; each one persists its own shared aggregate when
-    its outputs run, and ``Report.release`` frees it.
+    Reports are lazy except the segment reports, which fit k-means when built;
+    each report persists its own shared aggregate when its outputs run, and
+    ``Report.release`` frees it.
     """
     have = set(lines.columns)
 
