@@ -24,6 +24,15 @@ def in_latest_years(df: DataFrame, n: int = 2, source: DataFrame | None = None)
     return df.join(F.broadcast(years), "year", "left_semi")
 
 
+def prune_to_latest_years(df: DataFrame, n: int = 2, source: DataFrame | None = None) -> DataFrame:
+    """F2 for year-partitioned input: resolve the last ``n`` years first (one
+    tiny job returning at most ``n`` values; on a partition column it reads
+    no data columns) and filter with them as literals, which Spark turns into
+    a static partition filter, so only those years' files are read."""
+    years = [r["year"] for r in latest_years(source if source is not None else df, n).collect()]
+    return df.filter(F.col("year").isin(years))
+
+
 def keep_latest_years(grouped: DataFrame, n: int = 2, eligible: Column | None = None) -> DataFrame:
     """F2 applied *after* aggregation: keep the groups of the last ``n`` years.
 
@@ -41,9 +50,17 @@ def keep_latest_years(grouped: DataFrame, n: int = 2, eligible: Column | None =
 
 
 def trailing_days(df: DataFrame, as_of, days: int = 365, ts_col: str = "order_date") -> DataFrame:
-    """rows at or after ``as_of - days``; pushed to the scan as a range filter."""
+    """rows at or after ``as_of - days``; pushed to the scan as a range filter.
+
+    When the frame has the ``year`` of ``ts_col`` (cleaned lines do), the
+    implied ``year >= year(start)`` is added too: it changes no result and
+    lets a year-partitioned table skip whole partitions.
+    """
     start = timestamp_literal(as_of) - F.make_dt_interval(F.lit(days))
-    return df.filter(F.col(ts_col) >= start)
+    cond = F.col(ts_col) >= start
+    if "year" in df.columns:
+        cond = cond & (F.col("year") >= F.year(start))
+    return df.filter(cond)
 
 
 def from_year(df: DataFrame, min_year: int, year_col: str = "year") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from basketlens.functions.columns import as_double, sum0
 from basketlens.operators.ranking import top_n_per_group
-from basketlens.operators.periods import keep_latest_years
+from basketlens.operators.periods import keep_latest_years, prune_to_latest_years
 from basketlens.schema import Params
 
 
@@ -21,6 +21,9 @@ def regional_revenue(lines: DataFrame, cities: DataFrame, params: Params = Param
     picked on the grouped frame, so the lines are read once. Lines without a
     city, or whose city has no county, drop out.
     """
+    if params.prune_years:
+        lines = prune_to_latest_years(lines, params.recent_years,
+                                      source=lines.filter(F.col("order_number").isNotNull()))
     g = (lines.filter(F.col("year").isNotNull())
          .groupBy("year", "city")
          .agg(sum0("line_revenue").alias("revenue"),

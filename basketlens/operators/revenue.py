@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions.columns import as_double, first_non_null, format_amount, last_category, pct, sum0
-from basketlens.operators.periods import in_latest_years, keep_latest_years
+from basketlens.operators.periods import in_latest_years, keep_latest_years, prune_to_latest_years
 from basketlens.operators.ranking import top_n_per_group
 from basketlens.schema import Params
 
@@ -65,6 +65,11 @@ def category_revenue(lines: DataFrame, params: Params = Params()) -> DataFrame:
     year list is exact), then the latest years are picked on the small
     grouped frame.
     """
+    if params.prune_years:
+        recent = prune_to_latest_years(lines, params.recent_years)
+        return (recent.select("year", last_category("category_path").alias("last_category"), "line_revenue")
+                .filter(F.col("last_category").isNotNull())
+                .groupBy("year", "last_category").agg(sum0("line_revenue").alias("revenue")))
     g = (lines.filter(F.col("year").isNotNull())
          .groupBy("year", last_category("category_path").alias("last_category"))
          .agg(sum0("line_revenue").alias("revenue")))
@@ -109,8 +114,12 @@ def recent_order_years(lines: DataFrame, params: Params) -> DataFrame:
     The year list is a separate narrow aggregation (at most ``recent_years``
     rows, broadcast into a semi-join): restricting before the (year, item)
     aggregation keeps that aggregation to the recent years, which matters
-    because its output grows with the item count.
+    because its output grows with the item count. With ``prune_years`` the
+    years become literals, so a year-partitioned table is pruned statically.
     """
+    if params.prune_years:
+        return prune_to_latest_years(lines, params.recent_years,
+                                     source=lines.filter(F.col("order_number").isNotNull()))
     return in_latest_years(lines, params.recent_years, source=lines.filter(F.col("order_number").isNotNull()))
 
 

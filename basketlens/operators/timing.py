@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions.columns import as_double, sum0, weekday_name, weekday_no
-from basketlens.operators.periods import keep_latest_years
+from basketlens.operators.periods import keep_latest_years, prune_to_latest_years
 from basketlens.schema import Params
 
 
 def weekday_revenue(lines: DataFrame, params: Params = Params()) -> DataFrame:
     """P9 + A15 + K7: Σ line revenue per (year, weekday); ``weekday_no`` 1 = Monday sorts it."""
+    if params.prune_years:
+        lines = prune_to_latest_years(lines, params.recent_years)
     dated = lines.filter(F.col("order_date").isNotNull() & F.col("year").isNotNull())
     g = (dated.groupBy("year", weekday_no("order_date").alias("weekday_no"),
                        weekday_name("order_date").alias("weekday"))
@@ -24,6 +26,8 @@ def weekday_revenue(lines: DataFrame, params: Params = Params()) -> DataFrame:
 
 def hourly_revenue(lines: DataFrame, params: Params = Params()) -> DataFrame:
     """P9 + A16: Σ line revenue per (year, hour of day)."""
+    if params.prune_years:
+        lines = prune_to_latest_years(lines, params.recent_years)
     dated = lines.filter(F.col("order_date").isNotNull() & F.col("year").isNotNull())
     g = (dated.groupBy("year", F.hour("order_date").alias("hour"))
          .agg(as_double(sum0("line_revenue")).alias("revenue")))
