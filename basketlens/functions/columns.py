@@ -70,11 +70,17 @@ def money(c: str | Column) -> Column:
     return F.coalesce(col(c).try_cast(MONEY_TYPE), F.lit(0).cast(MONEY_TYPE))
 
 
-def to_timestamp_ntz(df: DataFrame, name: str) -> Column:
-    """Parse a date column to ``timestamp_ntz``; bad values become null."""
+def to_timestamp_ntz(df: DataFrame, name: str, fmt: str | None = None) -> Column:
+    """Parse a date column to ``timestamp_ntz``; bad values become null.
+
+    Text is parsed with ``fmt`` (a Spark datetime pattern) when given, else as
+    ISO-like text (``2024-03-05``, ``2024-03-05 14:20[:ss]``).
+    """
     dtype = df.schema[name].dataType
     c = F.col(name)
     if isinstance(dtype, T.StringType):
+        if fmt:
+            return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
         return c.try_cast("timestamp_ntz")
     if isinstance(dtype, (T.TimestampType, T.DateType)):
         return c.cast("timestamp_ntz")

@@ -52,10 +52,10 @@ def order_lines(raw: DataFrame, params: Params = Params()) -> DataFrame:
     df = keep_known_columns(raw)
     df = df.filter(F.col("order_status") == F.lit(params.completed_status))
     casts = {c: money(c) for c in MONEY_COLUMNS}
-    casts["order_date"] = to_timestamp_ntz(df, "order_date")
+    casts["order_date"] = to_timestamp_ntz(df, "order_date", params.date_format)
     for c in ("customer_first_order", "customer_last_order"):
         if c in df.columns:
-            casts[c] = to_timestamp_ntz(df, c)
+            casts[c] = to_timestamp_ntz(df, c, params.date_format)
     for c in ("quantity", "stock_quantity"):
         if c in df.columns:
             casts[c] = _numeric(df, c, "double")

@@ -55,3 +55,12 @@ def test_missing_columns_and_required(spark):
 def test_keep_known_columns_drops_unlisted(spark):
     df = export(spark, []).withColumn("junk", F.lit(1))
     assert "junk" not in clean.keep_known_columns(df).columns
+
+
+def test_stated_date_format(spark):
+    ok = "Teljesítve"
+    rows = [("1", "2024.03.05 14:20", ok, "1", "0", "0", "1", "A", "1", 1),
+            ("2", "2024-03-05 14:20", ok, "1", "0", "0", "1", "A", "1", 2)]
+    lines = clean.order_lines(export(spark, rows), Params(date_format="yyyy.MM.dd HH:mm"))
+    got = {r["order_number"]: r["order_date"] for r in lines.collect()}
+    assert got == {"1": dt.datetime(2024, 3, 5, 14, 20), "2": None}
