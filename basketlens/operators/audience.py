@@ -35,4 +35,4 @@ def origin_folded(lines: DataFrame, params: Params = Params()) -> DataFrame:
     return fold_small_shares(origin_share(lines, params), "origin", params.share_threshold, params.other_label)
 
 
-__all__ = ["as_double", "gender_share", "gender_summary", "origin_folded", "origin_share"]
+__all__ = ["gender_share", "gender_summary", "origin_folded", "origin_share"]

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.functions.columns import as_double, first_non_null, format_amount, last_category, pct, sum0
+from basketlens.functions.columns import first_non_null, format_amount, last_category, pct, sum0
 from basketlens.operators.periods import in_latest_years, keep_latest_years, prune_to_latest_years
 from basketlens.operators.ranking import top_n_per_group
 from basketlens.schema import Params
