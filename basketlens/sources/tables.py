@@ -15,6 +15,10 @@ Stand-in columns (no natural counterpart in the test tables):
   stock_quantity p_size % 10
   gender         c_mktsegment;  origin: o_orderpriority
   names          fixed lists indexed by c_custkey % 10
+  line_no        l_orderkey * 8 + l_linenumber: the export is taken to list lines
+                 by order and line number (l_linenumber <= 7), so "first" means
+                 the lowest line of an order; SQL oracles can rebuild it from
+                 the registered views, which a physical row index would not allow
 """
 
 from __future__ import annotations
