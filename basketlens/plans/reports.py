@@ -206,12 +206,13 @@ def anonymise_file(spark: SparkSession, path: str, male_names: str, female_names
                    params: Params = Params(), fmt: str = "parquet", out_path: str | None = None) -> str:
     """R14 end to end (S1 -> Q1 -> S4): read an export, anonymise it, write it next to
     the input as ``<stem>_anonymized`` (or to ``out_path``); returns the output path."""
+    import os
+
     from basketlens.sources.readers import read_name_list, read_order_lines, write_table
-    raw = read_order_lines(spark, path, fmt=fmt)
-    if "line_no" in raw.columns and "line_no" not in spark.read.format(fmt).load(path).columns:
-        raw = raw.drop("line_no")
+    raw = read_order_lines(spark, path, fmt=fmt, with_ordinal=False)
     anon = privacy.anonymise(raw, read_name_list(spark, male_names), read_name_list(spark, female_names), params)
-    target = out_path or path.rstrip("/").rsplit(".", 1)[0] + "_anonymized"
+    head, name = os.path.split(path.rstrip("/"))
+    target = out_path or os.path.join(head, os.path.splitext(name)[0] + "_anonymized")
     write_table(anon, target, fmt=fmt)
     return target
 

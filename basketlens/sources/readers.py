@@ -22,7 +22,7 @@ def canonical_names(df: DataFrame) -> DataFrame:
 
 
 def read_order_lines(spark: SparkSession, path: str | list[str], fmt: str = "parquet",
-                     schema: str | None = None, **options) -> DataFrame:
+                     schema: str | None = None, with_ordinal: bool = True, **options) -> DataFrame:
     """Order lines with canonical names and a line ordinal when the format has one.
 
     Parquet: ``line_no`` = (file path, row index in file), i.e. file order,
@@ -41,7 +41,7 @@ def read_order_lines(spark: SparkSession, path: str | list[str], fmt: str = "par
         reader = reader.option(k, v)
     df = (reader.schema(schema) if schema else reader).format(fmt).load(paths)
     df = canonical_names(df)
-    if fmt == "parquet" and LINE_ORDINAL not in df.columns:
+    if with_ordinal and fmt == "parquet" and LINE_ORDINAL not in df.columns:
         df = df.withColumn(LINE_ORDINAL, F.struct(F.col("_metadata.file_path").alias("file"),
                                                   F.col("_metadata.row_index").alias("row")))
     return df
