@@ -32,7 +32,7 @@ def test_category_shares_rest_row_even_when_zero(spark):
     assert by[(2024, "z")][1] == 50.0
 
 
-def test_category_shares_top8_plus_rest_sums_to_total(spark):
+def test_category_shares_top_eight_and_rest_sum_to_total(spark):
     rows = [(2024, f"c{i:02d}", i + 1) for i in range(12)]
     got = revenue.category_shares(_lines(spark, rows), Params()).collect()
     assert len(got) == 9
