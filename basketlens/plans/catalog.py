@@ -76,6 +76,12 @@ def q_revenue_formatted(spark, d):
     return revenue.revenue_formatted(revenue.monthly_revenue(orders(spark, d)))
 
 
+def q_revenue_matrix_text(spark, d):
+    monthly = revenue.monthly_revenue(orders(spark, d))
+    years = revenue.years_of(monthly)
+    return revenue.formatted(revenue.revenue_matrix(monthly, years), [str(y) for y in years])
+
+
 def q_average_order_value(spark, d):
     return revenue.average_order_value(orders(spark, d))
 
@@ -84,6 +90,12 @@ def q_aov_matrix(spark, d):
     return revenue.aov_matrix(revenue.average_order_value(orders(spark, d)))
 
 
+def q_aov_matrix_text(spark, d):
+    aov = revenue.average_order_value(orders(spark, d))
+    years = revenue.years_of(aov)
+    return revenue.formatted(revenue.aov_matrix(aov, years), [str(y) for y in years], " Ft")
+
+
 def q_category_revenue(spark, d):
     return finalize(revenue.category_revenue(lines(spark, d, "category_path"), P))
 
@@ -144,6 +156,10 @@ def q_low_stock_head(spark, d):
     return inventory.low_stock_head(_flags(spark, d), P)
 
 
+def q_excess_stock_head(spark, d):
+    return inventory.excess_stock_head(_flags(spark, d), P)
+
+
 def q_stock_risk_counts(spark, d):
     return inventory.stock_risk_counts(_flags(spark, d))
 

@@ -240,6 +240,12 @@ ORACLES: dict[str, str] = {
     "revenue_matrix": _with(*L, ORDERS, MONTHLY, "m2 AS (SELECT year, month, CAST(net_revenue AS DOUBLE) AS v FROM monthly)")
     + "SELECT * FROM (PIVOT m2 ON year USING first(v) GROUP BY month)",
 
+    "revenue_matrix_text": _with(*L, ORDERS, MONTHLY, """grid AS (
+  SELECT m.month, y.year, coalesce(format('{:,.2f}', CAST(v.net_revenue AS DOUBLE)), '') AS txt
+  FROM (SELECT DISTINCT month FROM monthly) m CROSS JOIN (SELECT DISTINCT year FROM monthly) y
+  LEFT JOIN monthly v ON v.month = m.month AND v.year = y.year)""")
+    + "SELECT * FROM (PIVOT grid ON year USING first(txt) GROUP BY month)",
+
     "yearly_totals": _with(*L, ORDERS, MONTHLY)
     + "SELECT year, CAST(sum(net_revenue) AS DOUBLE) AS net_revenue FROM monthly GROUP BY year",
 
@@ -255,6 +261,14 @@ ORACLES: dict[str, str] = {
   FROM order_totals WHERE year IS NOT NULL AND month IS NOT NULL GROUP BY year, month)""")
     + "SELECT * FROM (PIVOT aov ON year USING first(v) GROUP BY month)",
 
+    "aov_matrix_text": _with(*L, ORDERS, """aov AS (SELECT year, month,
+    CAST(round_even(CAST(sum(net_revenue) AS DECIMAL(38,4)) / count(*), 2) AS DOUBLE) AS v
+  FROM order_totals WHERE year IS NOT NULL AND month IS NOT NULL GROUP BY year, month)""", """grid AS (
+  SELECT m.month, y.year, coalesce(format('{:,.2f}', a.v) || ' Ft', '') AS txt
+  FROM (SELECT DISTINCT month FROM aov) m CROSS JOIN (SELECT DISTINCT year FROM aov) y
+  LEFT JOIN aov a ON a.month = m.month AND a.year = y.year)""")
+    + "SELECT * FROM (PIVOT grid ON year USING first(txt) GROUP BY month)",
+
     "category_revenue": _with(*L, RECENT) + f"""SELECT year, last_category, CAST(sum(line_revenue) AS DOUBLE) AS revenue
   FROM (SELECT year, {_strip("string_split(category_path, '>')[-1]")} AS last_category, line_revenue FROM recent)
   WHERE last_category IS NOT NULL AND year IS NOT NULL GROUP BY year, last_category""",
@@ -320,6 +334,13 @@ ORACLES: dict[str, str] = {
     FROM flags WHERE low_stock)
   WHERE rank <= 10""",
 
+    "excess_stock_head": _with(*L, ITEMS) + """SELECT item_id, item_name, quantity, daily_avg, stock_quantity,
+    CAST(rank AS INTEGER) AS rank, CAST(greatest(total - 10, 0) AS BIGINT) AS more FROM (
+    SELECT *, row_number() OVER (ORDER BY daily_avg, item_id, item_name) AS rank,
+           count(*) OVER () AS total
+    FROM flags WHERE excess_stock)
+  WHERE rank <= 10""",
+
     "stock_risk_counts": _with(*L, ITEMS)
     + "SELECT CAST(count_if(low_stock) AS BIGINT) AS low_stock_items, "
     "CAST(count_if(excess_stock) AS BIGINT) AS excess_stock_items FROM flags",
