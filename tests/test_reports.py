@@ -37,3 +37,23 @@ def test_segment_reports_run(spark, report):
         assert sum(r["customers"] for r in summary) == rep.outputs["assignments"].count()
     finally:
         rep.release()
+
+
+def test_bundle_matches_catalog(spark):
+    from basketlens.plans.bundle import release, report_bundle
+    from basketlens.sources import tables
+    lines = C.lines(spark, SF, "city", "category_path", "item_id", "item_name", "quantity", "stock_quantity",
+                    "email", "customer_total_orders", "customer_total_spent", "customer_first_order",
+                    "customer_last_order")
+    b = report_bundle(lines, tables.city_county_table(spark, SF), C.P)
+    try:
+        pairs = {"revenue_matrix": "revenue_matrix", "revenue_matrix_text": "revenue_matrix_text",
+                 "yearly_totals": "yearly_totals", "aov_matrix": "aov_matrix", "top_products": "top_products",
+                 "top_categories": "category_shares", "county_totals": "county_totals",
+                 "stock_risk_counts": "stock_risk_counts"}
+        for out, query in pairs.items():
+            assert rows(C.finalize(b[out])) == rows(C.QUERIES[query](spark, SF)), out
+        summary = b["cluster_summary"].collect()
+        assert 1 <= len(summary) <= 4
+    finally:
+        release(b)
