@@ -91,3 +91,19 @@ def test_anonymise_file_and_all_reports(spark, tmpdir_run):
     finally:
         for r in reps.values():
             r.release()
+
+
+def test_cli_report_and_anonymise(spark, tmpdir_run):
+    from basketlens.__main__ import main
+    src = f"{tmpdir_run}/export"
+    write_csv(src)
+    out = f"{tmpdir_run}/reports"
+    assert main(["report", src, "--out", out, "--format", "csv", "--as-of", "2024-06-01", "--no-segments"]) == 0
+    got = spark.read.parquet(f"{out}/R1_monthly_revenue/monthly_revenue").collect()
+    assert sorted((r["year"], r["month"]) for r in got) == [(2024, 1), (2024, 2)]
+    for name, text in (("m.txt", "Győző\n"), ("f.txt", "Anna\n")):
+        with open(f"{tmpdir_run}/{name}", "w", encoding="utf-8") as fh:
+            fh.write(text)
+    assert main(["anonymise", src, "--male", f"{tmpdir_run}/m.txt", "--female", f"{tmpdir_run}/f.txt",
+                 "--format", "csv", "--out", f"{tmpdir_run}/anon"]) == 0
+    assert spark.read.csv(f"{tmpdir_run}/anon", header=True).count() == len(ROWS)
