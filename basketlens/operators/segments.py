@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions.columns import as_double, days_between, sum0, timestamp_literal
+from basketlens.functions.materialise import reliable
 from basketlens.schema import (
     SEGMENT_INACTIVE, SEGMENT_LOYAL, SEGMENT_NEW, SEGMENT_OCCASIONAL, SEGMENT_VIP, Params,
 )
@@ -106,23 +107,6 @@ def customer_activity(lines: DataFrame, params: Params = Params()) -> DataFrame:
                                                         F.col("recency_days"), params))
 
 
-def _reliable(df: DataFrame) -> DataFrame:
-    """Cut lineage before iterative fitting.
-
-    With ``spark.checkpoint.dir`` set (a shared folder on a cluster) the
-    frame is checkpointed there; otherwise it is persisted to memory and
-    disk, which Spark recomputes from lineage if an executor is lost.
-    """
-    spark = df.sparkSession
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        sc = spark.sparkContext
-        if sc.getCheckpointDir() is None:      # set at runtime, after the context started
-            sc.setCheckpointDir(path)
-        return df.checkpoint(eager=True)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 @dataclass
 class Segmentation:
     assignments: DataFrame     # one row per customer with its cluster
@@ -146,7 +130,7 @@ def segment(features: DataFrame, cols: list[str], params: Params = Params()) ->
         complete_flag = complete_flag & F.col(c).isNotNull()
     # One materialisation of the features (the only pass over the lines);
     # fixed partitioning and order so a rerun gives the same k-means start.
-    base = _reliable(features.withColumn("_complete", complete_flag)
+    base = reliable(features.withColumn("_complete", complete_flag)
                      .repartition("email").sortWithinPartitions("email"))
     done = F.col("_complete")
     counts = base.agg(F.count_if(done).alias("n"), F.count_if(~done).alias("dropped"),
