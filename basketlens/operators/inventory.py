@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions.columns import first_non_null, sum0
+from basketlens.functions.materialise import reliable
 from basketlens.functions.quantiles import exact_quantiles
 from basketlens.operators.periods import trailing_days
 from basketlens.operators.ranking import head_with_remainder
@@ -71,12 +72,18 @@ def excess_order() -> list[Column]:
 
 
 def low_stock_head(flags: DataFrame, params: Params = Params()) -> DataFrame:
-    """K5: first rows of the low-stock list and how many more there are."""
-    return head_with_remainder(low_stock(flags), low_order(), params.head_rows)
+    """K5: first rows of the low-stock list and how many more there are.
+
+    The risk list is materialised once (``reliable``: checkpoint or persist),
+    because the head and the remainder count both read it; otherwise each
+    would recompute the item sales and the thresholds.
+    """
+    return head_with_remainder(reliable(low_stock(flags)), low_order(), params.head_rows)
 
 
 def excess_stock_head(flags: DataFrame, params: Params = Params()) -> DataFrame:
-    return head_with_remainder(excess_stock(flags), excess_order(), params.head_rows)
+    """K5 for the excess-stock list (see ``low_stock_head``)."""
+    return head_with_remainder(reliable(excess_stock(flags)), excess_order(), params.head_rows)
 
 
 def stock_risk_counts(flags: DataFrame) -> DataFrame:
