@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.functions.columns import first_non_null, format_amount, last_category, pct, sum0
+from basketlens.functions.materialise import reliable
 from basketlens.operators.periods import in_latest_years, keep_latest_years, prune_to_latest_years
 from basketlens.operators.ranking import top_n_per_group
 from basketlens.schema import Params
@@ -32,9 +33,13 @@ def pivot_years(df: DataFrame, value: str, years: list[int] | None = None, index
     """A3/A5: ``index`` x year matrix; absent cells are null. Columns are named by year.
 
     (index, year) is unique in the input, so ``max`` just places the one value.
+    Without ``years`` the (small, aggregated) input is materialised first, so
+    the year list and the pivot read it instead of recomputing it.
     """
-    yrs = years if years is not None else years_of(df)
-    return df.groupBy(index).pivot("year", yrs).agg(F.max(value))
+    if years is None:
+        df = reliable(df)
+        years = years_of(df)
+    return df.groupBy(index).pivot("year", years).agg(F.max(value))
 
 
 def revenue_matrix(monthly: DataFrame, years: list[int] | None = None) -> DataFrame:

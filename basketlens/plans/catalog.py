@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basketlens.functions.materialise import reliable
 from basketlens.operators import (
     audience, clean, discounts, inventory, privacy, region, revenue, segments, timing,
 )
@@ -77,7 +78,7 @@ def q_revenue_formatted(spark, d):
 
 
 def q_revenue_matrix_text(spark, d):
-    monthly = revenue.monthly_revenue(orders(spark, d))
+    monthly = reliable(revenue.monthly_revenue(orders(spark, d)))
     years = revenue.years_of(monthly)
     return revenue.formatted(revenue.revenue_matrix(monthly, years), [str(y) for y in years])
 
@@ -91,7 +92,7 @@ def q_aov_matrix(spark, d):
 
 
 def q_aov_matrix_text(spark, d):
-    aov = revenue.average_order_value(orders(spark, d))
+    aov = reliable(revenue.average_order_value(orders(spark, d)))
     years = revenue.years_of(aov)
     return revenue.formatted(revenue.aov_matrix(aov, years), [str(y) for y in years], " Ft")
 
