@@ -57,3 +57,12 @@ def test_trailing_window_excludes_old_orders(spark):
         data, "order_date timestamp_ntz, item_id string, item_name string, quantity double, stock_quantity double, line_no int")
     r = inventory.item_sales(df, Params(as_of=dt.datetime(2001, 8, 1))).first()
     assert r["quantity"] == 2.0
+
+
+def test_approx_thresholds_close_to_exact(spark):
+    from basketlens.plans import catalog as C
+    items = C.q_item_sales(spark, "/root/testdata/sf0.01")
+    exact = inventory.stock_thresholds(items, C.P).first()
+    approx = inventory.stock_thresholds(items, C.P.with_(approx_quantiles=True)).first()
+    step = 1 / 365    # daily averages are whole quantities / 365
+    assert abs(exact["q_high"] - approx["q_high"]) <= step and abs(exact["q_low"] - approx["q_low"]) <= step
