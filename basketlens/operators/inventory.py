@@ -76,14 +76,21 @@ def low_stock_head(flags: DataFrame, params: Params = Params()) -> DataFrame:
 
     The risk list is materialised once (``reliable``: checkpoint or persist),
     because the head and the remainder count both read it; otherwise each
-    would recompute the item sales and the thresholds.
+    would recompute the item sales and the thresholds. Already cached flags
+    (as in the R6 report) are read directly.
     """
-    return head_with_remainder(reliable(low_stock(flags)), low_order(), params.head_rows)
+    return head_with_remainder(_shared(low_stock(flags), flags), low_order(), params.head_rows)
 
 
 def excess_stock_head(flags: DataFrame, params: Params = Params()) -> DataFrame:
     """K5 for the excess-stock list (see ``low_stock_head``)."""
-    return head_with_remainder(reliable(excess_stock(flags)), excess_order(), params.head_rows)
+    return head_with_remainder(_shared(excess_stock(flags), flags), excess_order(), params.head_rows)
+
+
+def _shared(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """``rows`` materialised for two readers, unless its ``source`` is cached already."""
+    cached = source.storageLevel.useMemory or source.storageLevel.useDisk
+    return rows if cached else reliable(rows)
 
 
 def stock_risk_counts(flags: DataFrame) -> DataFrame:
