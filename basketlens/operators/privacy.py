@@ -81,7 +81,8 @@ def infer_gender(raw: DataFrame, flags: DataFrame, first: str = "first_name", la
     (checked by a count of the lookup, never of the lines), so the lines are
     not shuffled by name; beyond that a shuffle join with AQE skew splitting
     takes over. Batch input runs one small job here to build the distinct-name
-    lookup; streaming input normalises per row.
+    lookup (checkpointed to ``spark.checkpoint.dir``, or kept cached for the
+    session when none is set); streaming input normalises per row.
     """
     roles = {"1": first, "2": last}
     present = {k: c for k, c in roles.items() if c in raw.columns}
