@@ -24,6 +24,7 @@ Stand-in columns (no natural counterpart in the test tables):
 from __future__ import annotations
 
 import datetime as dt
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,15 +76,15 @@ NAME_COLUMNS = ["first_name", "last_name", "first_name_shipping", "last_name_shi
                 "phone_billing", "address_billing", "postcode_billing", "country_code_billing"]
 
 
-_READ_CACHE: dict[tuple[int, str, str], DataFrame] = {}
+_READ_CACHE: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name``; the DataFrame (listing + footers) is reused per session."""
-    key = (id(spark._jsparkSession), sf_dir, name)  # noqa: SLF001
-    df = _READ_CACHE.get(key)
+    per_session = _READ_CACHE.setdefault(spark, {})
+    df = per_session.get((sf_dir, name))
     if df is None:
-        df = _READ_CACHE[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        df = per_session[(sf_dir, name)] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df
 
 

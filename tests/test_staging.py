@@ -36,7 +36,12 @@ def test_staged_results_equal(spark, staged, prune):
 
 
 def _plan(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    return buf.getvalue()
 
 
 def test_partition_pruning(spark, staged):

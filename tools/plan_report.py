@@ -8,6 +8,8 @@ checked lookups). Usage: python tools/plan_report.py [sf_dir] > PLANS.md
 
 from __future__ import annotations
 
+import contextlib
+import io
 import os
 import re
 import sys
@@ -59,7 +61,10 @@ def main(argv):
             if name in SKIP:
                 continue
             df = QUERIES[name](spark, sf)
-            plan = df._jdf.queryExecution().executedPlan().toString()
+            buf = io.StringIO()
+            with contextlib.redirect_stdout(buf):
+                df.explain()
+            plan = buf.getvalue()
             s = summary(plan)
             print(f"| {name} | {s[0]} | {s[1]} | {s[2]} | {s[3]} |")
         print()
