@@ -52,13 +52,13 @@ def keep_latest_years(grouped: DataFrame, n: int = 2, eligible: Column | None =
 def trailing_days(df: DataFrame, as_of, days: int = 365, ts_col: str = "order_date") -> DataFrame:
     """rows at or after ``as_of - days``; pushed to the scan as a range filter.
 
-    When the frame has the ``year`` of ``ts_col`` (cleaned lines do), the
-    implied ``year >= year(start)`` is added too: it changes no result and
-    lets a year-partitioned table skip whole partitions.
+    On cleaned lines, whose ``year`` is the year of ``order_date``, the implied
+    ``year >= year(start)`` is added too: it changes no result and lets a
+    year-partitioned table skip whole partitions.
     """
     start = timestamp_literal(as_of) - F.make_dt_interval(F.lit(days))
     cond = F.col(ts_col) >= start
-    if "year" in df.columns:
+    if ts_col == "order_date" and "year" in df.columns:
         cond = cond & (F.col("year") >= F.year(start))
     return df.filter(cond)
 
