@@ -42,6 +42,15 @@ def session():
     return spark
 
 
+def calibration_seconds(n: int = 5_000_000) -> float:
+    """Host-speed reference: a fixed pure-Python loop (compare runs by this)."""
+    t0 = time.perf_counter()
+    x = 0
+    for i in range(n):
+        x += i
+    return round(time.perf_counter() - t0, 3)
+
+
 def run_noop(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
@@ -97,7 +106,8 @@ def main() -> None:
     except ValueError:
         sf_val = sf
     print(json.dumps({"metric": "sum_of_report_medians", "value": round(sum(med.values()), 3),
-                      "unit": "sec", "queries": med, "sf": sf_val, "cpus": CPUS, "runs": RUNS}))
+                      "unit": "sec", "queries": med, "sf": sf_val, "cpus": CPUS, "runs": RUNS,
+                      "host_calibration_sec": calibration_seconds()}))
     spark.stop()
 
 
