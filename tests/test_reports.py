@@ -57,3 +57,11 @@ def test_bundle_matches_catalog(spark):
         assert 1 <= len(summary) <= 4
     finally:
         release(b)
+
+
+def test_display_headers(spark):
+    from basketlens.plans.display import for_display
+    df = for_display(C.QUERIES["discount_summary"](spark, SF), "discount_summary")
+    assert df.columns == ["Year", "Elengedett Összeg (Ft)", "Kedvezményes Rendelések Száma"]
+    same = for_display(C.QUERIES["monthly_revenue"](spark, SF), "no_such_table")
+    assert same.columns == ["year", "month", "net_revenue"]
