@@ -107,3 +107,26 @@ def test_cli_report_and_anonymise(spark, tmpdir_run):
     assert main(["anonymise", src, "--male", f"{tmpdir_run}/m.txt", "--female", f"{tmpdir_run}/f.txt",
                  "--format", "csv", "--out", f"{tmpdir_run}/anon"]) == 0
     assert spark.read.csv(f"{tmpdir_run}/anon", header=True).count() == len(ROWS)
+
+
+def test_streaming_restart_processes_new_files_once(spark, tmpdir_run):
+    src = f"{tmpdir_run}/incoming"
+    write_csv(src)
+    male = name_list(spark.createDataFrame([("Győző",)], "value string"))
+    female = name_list(spark.createDataFrame([("Anna",)], "value string"))
+    schema = ", ".join(f"`{h}` string" for h in HEAD)
+    out, chk = f"{tmpdir_run}/out", f"{tmpdir_run}/chk"
+
+    def run_once():
+        q = write_stream(anonymised_stream(spark, src, schema, male, female, Params(), fmt="csv"), out, chk)
+        q.awaitTermination(120)
+
+    run_once()
+    with open(f"{src}/part-1.csv", "w", newline="", encoding="utf-8") as fh:
+        w = csv.writer(fh)
+        w.writerow(HEAD)
+        w.writerow(["9", "2024-03-01 09:00", "Teljesítve", "10", "0", "0", "z@z.hu", "Anna", "Kiss", "+36", "Pécs"])
+    run_once()                      # restart from the checkpoint: only the new file is read
+    run_once()                      # nothing new: nothing appended
+    got = sorted(r["order_number"] for r in spark.read.parquet(out).collect())
+    assert got == sorted([r[0] for r in ROWS] + ["9"])
