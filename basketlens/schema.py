@@ -155,5 +155,18 @@ class Params:
     mask_salt: str = ""
     extra: dict = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        positive = {"recent_years": self.recent_years, "top_categories": self.top_categories,
+                    "top_products": self.top_products, "top_regions": self.top_regions,
+                    "head_rows": self.head_rows, "k": self.k, "max_iter": self.max_iter,
+                    "trailing_days": self.trailing_days, "mask_digits": self.mask_digits}
+        bad = [name for name, v in positive.items() if v < 1]
+        bad += [name for name in ("high_quantile", "low_quantile") if not 0.0 <= getattr(self, name) <= 1.0]
+        bad += [name for name in ("low_stock_days", "excess_stock_days", "tol") if getattr(self, name) < 0]
+        if self.mask_digits > 64:
+            bad.append("mask_digits")
+        if bad:
+            raise ValueError(f"invalid report parameters: {sorted(bad)}")
+
     def with_(self, **kw) -> "Params":
         return replace(self, **kw)

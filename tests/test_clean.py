@@ -64,3 +64,10 @@ def test_stated_date_format(spark):
     lines = clean.order_lines(export(spark, rows), Params(date_format="yyyy.MM.dd HH:mm"))
     got = {r["order_number"]: r["order_date"] for r in lines.collect()}
     assert got == {"1": dt.datetime(2024, 3, 5, 14, 20), "2": None}
+
+
+def test_params_validation():
+    assert Params(k=2).k == 2
+    for bad in ({"k": 0}, {"recent_years": 0}, {"high_quantile": 1.5}, {"mask_digits": 65}, {"tol": -1.0}):
+        with pytest.raises(ValueError):
+            Params(**bad)
