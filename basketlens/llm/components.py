@@ -11,21 +11,28 @@ from basketlens.llm.common import cut
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, comp) for every node of ``edges(u, v)``; comp is the smallest node of its component.
 
-    Each round takes the smallest label among a node's neighbours and then the
-    label of its label, so a chain of n nodes needs about log n rounds. A hub's
-    edges are combined before the shuffle and its join rows can be split.
+    Each round gives every node that still has edges the smallest node next to
+    it (or itself), then that one's, and contracts the edges to those parents.
+    Edges shrink from round to round: a star vanishes in one, a chain of n
+    nodes in about log n. A hub's edges are combined before the shuffle, and
+    its rows can be split in the joins.
     """
-    both = cut(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    label = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
-                .select("node", F.least("node", "m").alias("comp")))
+    left = cut(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u != v").distinct())
+    ends = left.select("u", "v").union(left.select("v", "u"))
+    label = None
     for _ in range(rounds):
-        near = (both.join(label.select(F.col("node").alias("v"), "comp"), "v")
-                .groupBy(F.col("u").alias("node")).agg(F.min("comp").alias("m")))
-        step = label.join(near, "node", "left").select("node", F.col("comp").alias("was"), F.least("comp", "m").alias("comp"))
-        up = step.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
-        new = cut(step.join(up, "comp", "left").select("node", "was", F.least("comp", "above").alias("comp")))
-        moved = new.where(F.col("comp") != F.col("was")).limit(1).count()
-        label = new.select("node", "comp")
-        if not moved:
+        near = ends.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m")).select("node", F.least("node", "m").alias("up"))
+        near = cut(near)
+        over = near.select(F.col("node").alias("up"), F.col("up").alias("upper"))
+        parent = cut(near.join(over, "up").select("node", F.col("upper").alias("parent")))
+        if label is None:
+            label = parent.select("node", F.col("parent").alias("comp"))
+        else:
+            label = cut(label.join(parent.withColumnsRenamed({"node": "comp"}), "comp", "left").select("node", F.coalesce("parent", "comp").alias("comp")))
+        a, b = parent.withColumnsRenamed({"node": "u", "parent": "a"}), parent.withColumnsRenamed({"node": "v", "parent": "b"})
+        left = left.join(a, "u").join(b, "v").where("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+        left = cut(left.distinct())
+        if not left.limit(1).count():
             return label
+        ends = left.select("u", "v").union(left.select("v", "u"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
