@@ -36,6 +36,17 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once a row, however often later expressions use them.
+
+    The optimizer may otherwise paste a column's expression into every place
+    that reads it, into the body of a lambda too, where it runs per element. A
+    generated column (one row from one struct) stays as it is.
+    """
+    one = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))).alias("__once")
+    return df.select("*", one).select(*df.columns, *[F.col(f"__once.{k}").alias(k) for k in columns])
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark ``df`` for broadcast only if a count shows at most ``max_rows`` rows; else the planner's shuffle join stays."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -4,16 +4,105 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from basketlens.llm.common import table
+from basketlens.llm import chat, language, line_templates, lm, mixing, nearest, shards
+from basketlens.llm.common import table, text_key
+from basketlens.llm.decontaminate import mark_contamination
 from basketlens.llm.jaccard_join import jaccard_join
+from basketlens.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, _WORD, block_words, need, scan
+
+
+def op1_nearest(spark, sf_dir):
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, k=20)
+
+
+def op2_line_templates(spark, sf_dir):
+    return line_templates.drop_recurring(table(spark, sf_dir, "documents"))
+
+
+def op3_decontaminate(spark, sf_dir):
+    return mark_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_lm_scores(spark, sf_dir):
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op5_licenses(spark, sf_dir):
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op6_chat_windows(spark, sf_dir):
+    marked = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", marked), (-1, 1, "assistant", marked)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    return chat.digest(chat.format_windows(turns.unionByName(extra)))
+
+
+def op7_shards(spark, sf_dir):
+    return shards.assignment(table(spark, sf_dir, "documents"))
 
 
 def op8_jaccard_join(spark, sf_dir):
     return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "n_copies", "kept")
 
 
-QUERIES = {
-    "op8_jaccard_join": op8_jaccard_join,
-}
+def op9_mixture(spark, sf_dir):
+    rows = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_tokens", *[F.col("post")[k].alias(f"p_{x}") for k, x in enumerate(mixing.DOMAINS)], "rate", "copies")
+
+
+def op10_language(spark, sf_dir):
+    model = language.train(table(spark, sf_dir, "documents"))
+    return language.identify(language.page_evidence(table(spark, sf_dir, "pages")), model)
+
+
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_line_templates, op3_decontaminate, op4_lm_scores, op5_licenses, op6_chat_windows,
+                                   op7_shards, op8_jaccard_join, op9_mixture, op10_language)}
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = rf"regexp_extract_all({LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
+
+_OP3 = f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+b AS (SELECT item_id, {WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+own AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS run
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM own),
+places AS (
+  SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS run
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lens WHERE len(w) >= n)),
+hits AS (SELECT doc_id, i, n, run FROM places WHERE run IN (SELECT run FROM own)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, item_id FROM hits JOIN own USING (run)) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def _op5() -> str:
+    sets = [sorted(set(_WORD.findall(t))) for _, t in TEMPLATES]
+    rows = ", ".join(f"('{label}', {s}, {need(len(s), THRESHOLD)})" for (label, _), s in zip(TEMPLATES, sets))
+    size = block_words(TEMPLATES)
+    phrases = ", ".join(f"('{label}', {p.split()})" for p, label in PHRASES)
+    return f"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+t(label, s, need) AS (VALUES {rows}),
+blocks AS (SELECT doc_id, list_distinct(w[b * {size // 2} + 1 : b * {size // 2} + {size}]) AS s
+  FROM (SELECT doc_id, w, unnest(range(0, greatest(0, CAST(ceil((len(w) - {size}) / {size // 2}.0) AS BIGINT)) + 1)) AS b FROM d)),
+found AS (SELECT doc_id, label, len(list_intersect(blocks.s, t.s)) / len(t.s) AS c FROM blocks, t WHERE len(list_intersect(blocks.s, t.s)) >= need),
+p(label, words) AS (VALUES {phrases}),
+places AS (SELECT doc_id, label, i - 1 AS place FROM (SELECT doc_id, w, label, words, unnest(range(1, len(w) - len(words) + 2)) AS i FROM d, p WHERE len(w) >= len(words) AND list_has_all(w, words))
+  WHERE w[i : i + len(words) - 1] = words),
+base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM found UNION SELECT doc_id, label FROM places) GROUP BY doc_id),
+best AS (SELECT doc_id, max(c) AS c FROM found GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(c, 0) END AS DOUBLE) AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
+
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_decontaminate": _OP3, "op5_licenses": _op5()}
