@@ -12,8 +12,9 @@ document's rate is replayed from the few vectors of the steps so far, so no
 state is kept per document and a lost executor costs a recomputation only.
 
 The classifier counts, over all labelled documents, how many of each domain
-hold a feature (hashed tokens, shape of the text). Features whose split
-differs from chance (chi-square) get log-odds weights; the rest none.
+hold a feature (hashed tokens, shape of the text). The features whose split
+differs most from chance (chi-square) get weights by softmax regression on a
+bounded sample of the labelled documents.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ TARGETS = {"good": 0.9, "low": 0.1, "toxic": 0.0}
 FEATURES = 1 << 18
 SHAPES = 64               # the last features: shape of a text
 CHI_SQUARE = 30.0
-MOST_ODDS = 40.0          # bound of a document's summed log odds
+MOST_FEATURES = 512       # features that get weights
+SAMPLE_ROWS = 8192        # labelled rows that the weights are fitted on
 MAX_BROADCAST_LABELS = 500_000
 
 
@@ -79,58 +81,94 @@ def _count(batches):
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, -1 - np.arange(len(DOMAINS))])), pa.array(np.concatenate([total[at], classes]))], names=["cell", "n"])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """Weights (domains x features + 1, the last column the prior) from every labelled row of ``docs``.
+def _chosen(table: np.ndarray):
+    """The chosen features of each row, as their places in ``table`` (sorted feature numbers)."""
+    def pick(batches):
+        for batch in batches:
+            for part in _pieces(batch):
+                rows, features, _ = _features(part.column("text"))
+                at = np.minimum(np.searchsorted(table, features), len(table) - 1)
+                hit = table[at] == features
+                ends = np.zeros(part.num_rows + 1, np.int32)
+                np.cumsum(np.bincount(rows[hit], minlength=part.num_rows), out=ends[1:])
+                yield pa.RecordBatch.from_arrays([part.column("domain"), pa.ListArray.from_arrays(pa.array(ends), pa.array(at[hit].astype(np.int32)))], names=["domain", "x"])
+    return pick
+
+
+def choose(counts: np.ndarray, classes: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` features whose split over the domains is furthest from chance (chi-square), if far enough; sorted."""
+    total = max(classes.sum(), 1.0)
+    held = counts.sum(0)
+    expected = np.outer(classes / total, held)
+    chi = ((counts - expected) ** 2 / np.maximum(expected, 1e-9)).sum(0) * np.minimum(total / np.maximum(total - held, 1e-9), 100.0)
+    chi[held < 5] = 0.0
+    best = np.argsort(-chi, kind="stable")[:most]
+    return np.sort(best[chi[best] >= CHI_SQUARE])
+
+
+def softmax(score: np.ndarray) -> np.ndarray:
+    e = np.exp(score - score.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def regress(domain: np.ndarray, rows: np.ndarray, at: np.ndarray, width: int, steps: int = 300, ridge: float = 1e-4) -> np.ndarray:
+    """Softmax regression on 0/1 features, (row, feature) pairs; weights (domains x features + 1, the last the intercept), by Adam."""
+    k, n = len(DOMAINS), max(len(domain), 1)
+    w, first, second = (np.zeros((k, width + 1)) for _ in range(3))
+    if not len(domain):
+        return w
+    target = np.eye(k)[domain]
+    for t in range(1, steps + 1):
+        score = np.stack([np.bincount(rows, weights=w[j][at], minlength=n) for j in range(k)], 1) + w[:, -1]
+        g = (softmax(score) - target) / n
+        grad = np.stack([np.append(np.bincount(at, weights=g[rows, j], minlength=width), g[:, j].sum()) for j in range(k)]) + ridge * np.hstack([w[:, :-1], np.zeros((k, 1))])
+        first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
+        w -= 0.1 * (1 - t / (steps + 1)) * (first / (1 - 0.9 ** t)) / (np.sqrt(second / (1 - 0.999 ** t)) + 1e-9)
+    return w
+
+
+def train(docs: DataFrame, labels: DataFrame, most_features: int = MOST_FEATURES, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """(features, weights) learnt from ``labels``. Features are chosen by counts over every labelled row of ``docs``; the
+    weights are fitted on at most ``sample_rows`` labelled rows, the first in the order of a hash of doc_id.
 
     A label without quality or toxic counts for nothing; of several for one
     document the worst holds. Without labels all domains are alike.
     """
     domain = F.when(F.col("toxic") != 0, 2).when(F.col("quality") == 0, 1).otherwise(0)
     known = (labels.where("doc_id is not null and quality is not null and toxic is not null")
-             .groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(domain).alias("domain")))
+             .groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max(domain).cast("long").alias("domain")))
+    known = cut(known)
     base = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text"))
     cells = (base.join(broadcast_if_small(known, MAX_BROADCAST_LABELS), "__id").select("text", "domain")
-             .mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(f"cell < 0 or n >= 1").toPandas())
+             .mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("cell < 0 or n >= 2").toPandas())     # a fixed number of cells
     cell, n = cells["cell"].to_numpy(), cells["n"].to_numpy(np.float64)
     classes = np.zeros(len(DOMAINS))
     classes[-1 - cell[cell < 0]] = n[cell < 0]
     counts = np.zeros(len(DOMAINS) * FEATURES)
     counts[cell[cell >= 0]] = n[cell >= 0]
-    return weights(counts.reshape(len(DOMAINS), FEATURES), classes)
-
-
-def weights(counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    k = len(classes)
-    total = classes.sum()
-    if total == 0:
-        return np.zeros((k, counts.shape[1] + 1))
-    held = counts.sum(0)
-    expected = np.outer((classes + 0.5) / (total + 0.5 * k), held)
-    odds = np.log((counts + 0.5 * held / total + 1e-3) / (np.maximum(classes, 1)[:, None] + 0.5)) - np.log((held + 1e-3) / (total + 0.5))
-    rest = total - held
-    chi = ((counts - expected) ** 2 / np.maximum(expected, 1e-9)).sum(0) * np.where(rest > 0, total / np.maximum(rest, 1e-9), 1.0)
-    odds[:, (chi < CHI_SQUARE) | (held < 5)] = 0.0
-    prior = np.log((classes + 0.5) / (total + 0.5 * k))
-    return np.hstack([odds, prior[:, None]])
-
+    table = choose(counts.reshape(len(DOMAINS), FEATURES), classes, most_features)
+    if not len(table):
+        return table, np.hstack([np.zeros((len(DOMAINS), 0)), np.log((classes + 0.5) / (classes.sum() + 0.5 * len(DOMAINS)))[:, None]])
+    some = known.join(base.select("__id").distinct(), "__id", "left_semi").orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
+    drawn = base.join(F.broadcast(cut(some)), "__id").select("text", "domain").mapInArrow(_chosen(table), "domain long, x array<int>").toPandas()
+    rows = np.repeat(np.arange(len(drawn)), [len(x) for x in drawn["x"]])
+    at = np.concatenate([np.asarray(x, np.int64) for x in drawn["x"]]) if len(rows) else np.zeros(0, np.int64)
+    return table, regress(drawn["domain"].to_numpy(np.int64), rows, at, len(table))
 
-def _classifier(table: np.ndarray):
-    used = np.flatnonzero(np.abs(table[:, :-1]).sum(0) > 0)
-    small, index = table[:, used], np.full(FEATURES, -1, np.int64)
-    index[used] = np.arange(len(used))
-    prior = table[:, -1]
 
+def _classifier(table: np.ndarray, weights: np.ndarray):
     def classify(batches):
         for batch in batches:
             for part in _pieces(batch):
                 rows, features, n_words = _features(part.column("text"))
-                at = index[features]
-                rows, at = rows[at >= 0], at[at >= 0]
-                score = np.stack([np.bincount(rows, weights=small[k][at], minlength=part.num_rows) for k in range(len(prior))], 1)
-                score = np.clip(score, -MOST_ODDS, MOST_ODDS) + prior
-                post = np.exp(score - score.max(1, keepdims=True))
-                post /= post.sum(1, keepdims=True)
-                ends = pa.array(np.arange(0, post.size + 1, len(prior), dtype=np.int32))
+                if len(table):
+                    at = np.minimum(np.searchsorted(table, features), len(table) - 1)
+                    hit = table[at] == features
+                    rows, at = rows[hit], at[hit]
+                else:
+                    rows, at = rows[:0], rows[:0]
+                post = softmax(np.stack([np.bincount(rows, weights=w[at], minlength=part.num_rows) for w in weights[:, :-1]], 1) + weights[:, -1])
+                ends = pa.array(np.arange(0, post.size + 1, len(weights), dtype=np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("text_key"), pa.array(n_words.astype(np.int64)), pa.ListArray.from_arrays(ends, pa.array(post.ravel()))],
                     names=["doc_id", "text_key", "n_tokens", "post"])
@@ -202,10 +240,10 @@ def fit(memberships: DataFrame, targets: dict[str, float], total: float | None =
     return done, {"wanted": dict(zip(names, wanted)), "reached": dict(zip(names, now)), "natural": dict(zip(names, natural))}
 
 
-def memberships(docs: DataFrame, table: np.ndarray) -> DataFrame:
+def memberships(docs: DataFrame, table: np.ndarray, weights: np.ndarray) -> DataFrame:
     """doc_id, text_key, n_tokens and post (the posteriors, in the order of DOMAINS) of each row of ``docs``."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("text_key"))
-    return cut(base.mapInArrow(_classifier(table), "doc_id long, text_key long, n_tokens long, post array<double>"))
+    return cut(base.mapInArrow(_classifier(table, weights), "doc_id long, text_key long, n_tokens long, post array<double>"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, total: float | None = None,
@@ -221,7 +259,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     if set(targets) != set(DOMAINS):
         raise ValueError(f"targets must name {DOMAINS}")
     targets = {x: targets[x] for x in DOMAINS}
-    rows = memberships(docs, train(docs, labels))
+    rows = memberships(docs, *train(docs, labels))
     steps, _ = fit(rows, targets, total, max_rate)
 
     def rated(batches):
