@@ -42,15 +42,15 @@ def first_non_null(c: str | Column, df: DataFrame | None = None, ordinal: str =
                    present: Column | None = None) -> Column:
     """First value of ``c`` in line order among rows where it is present (default: non-null).
 
-    Uses the line ordinal when the frame has one; ``min_by`` skips rows whose
-    ordering key is null, so masking the key where ``c`` is absent yields the
-    first present value. Without an ordinal, falls back to ``first(ignorenulls)``.
+    ``min_by`` skips rows whose ordering key is null, so masking the line
+    ordinal where ``c`` is absent yields the first present value. A frame
+    without an ordinal is an error: its rows have no order.
     """
     x = col(c)
     cond = x.isNotNull() if present is None else present
-    if df is not None and ordinal in df.columns:
-        return F.min_by(x, F.when(cond, F.col(ordinal)))
-    return F.first(F.when(cond, x), ignorenulls=True)
+    if df is not None and ordinal not in df.columns:
+        raise ValueError(f"'first in line order' needs the line ordinal {ordinal!r}")
+    return F.min_by(x, F.when(cond, F.col(ordinal)))
 
 
 def days_between(later: str | Column, earlier: str | Column) -> Column:
@@ -65,9 +65,18 @@ def floor_days(micros: Column) -> Column:
     return (whole / F.lit(MICROS_PER_DAY)).cast("long")
 
 
+def exact_amount(c: str | Column) -> Column:
+    """Decimal amount (six decimals); null where there is no number. A number too large for the type is an error:
+    it must not become null or 0 unseen."""
+    x, value = col(c), col(c).try_cast(MONEY_TYPE)
+    number = x.try_cast("double")
+    too_large = value.isNull() & number.isNotNull() & ~F.isnan(number)
+    return F.when(too_large, F.raise_error(F.concat(F.lit(f"amount does not fit {MONEY_TYPE}: "), x.cast("string"))).cast(MONEY_TYPE)).otherwise(value)
+
+
 def money(c: str | Column) -> Column:
-    """Coerce to a decimal money value; unparsable or null -> 0."""
-    return F.coalesce(col(c).try_cast(MONEY_TYPE), F.lit(0).cast(MONEY_TYPE))
+    """Coerce to a decimal money value; unparsable or null -> 0, too large -> error."""
+    return F.coalesce(exact_amount(c), F.lit(0).cast(MONEY_TYPE))
 
 
 def to_timestamp_ntz(df: DataFrame, name: str, fmt: str | None = None) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketlens.functions.columns import first_non_null, money, sum0, to_timestamp_ntz
+from basketlens.functions.columns import exact_amount, first_non_null, money, sum0, to_timestamp_ntz
 from basketlens.schema import KEEP_COLUMNS, LINE_ORDINAL, MONEY_COLUMNS, REQUIRED_COLUMNS, Params
 
 
@@ -60,14 +60,14 @@ def order_lines(raw: DataFrame, params: Params = Params()) -> DataFrame:
         if c in df.columns:
             casts[c] = _numeric(df, c, "double")
     if "customer_total_spent" in df.columns:
-        casts["customer_total_spent"] = _numeric(df, "customer_total_spent", "decimal(18,4)")
+        casts["customer_total_spent"] = exact_amount("customer_total_spent")
     if "customer_total_orders" in df.columns:
         casts["customer_total_orders"] = _numeric(df, "customer_total_orders", "bigint")
     df = df.withColumns(casts)
     return df.withColumns({
         "year": F.year("order_date"),
         "month": F.month("order_date"),
-        "line_revenue": (F.col("line_total") - F.col("discount_amount")).cast("decimal(19,4)"),
+        "line_revenue": (F.col("line_total") - F.col("discount_amount")).cast("decimal(29,6)"),
     })
 
 

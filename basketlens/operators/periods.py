@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions.columns import timestamp_literal
@@ -15,38 +15,18 @@ def latest_years(df: DataFrame, n: int = 2, year_col: str = "year") -> DataFrame
 
 
 def in_latest_years(df: DataFrame, n: int = 2, source: DataFrame | None = None) -> DataFrame:
-    """rows whose year is one of the last ``n`` years present in ``source``.
+    """rows whose year is one of the last ``n`` years present in ``source`` (default: ``df`` itself).
 
-    The year list has at most ``n`` rows (a proven bound), so it is broadcast
-    into a left-semi join: no shuffle of ``df``.
+    The years are found first, from a read of the columns that the year
+    depends on (one job that returns at most ``n`` values). They then filter
+    as literals: on ``year``, which selects the partitions of a table stored
+    by year, and on ``order_date``, whose range reaches the Parquet filters.
     """
-    years = latest_years(source if source is not None else df, n)
-    return df.join(F.broadcast(years), "year", "left_semi")
-
-
-def prune_to_latest_years(df: DataFrame, n: int = 2, source: DataFrame | None = None) -> DataFrame:
-    """F2 for year-partitioned input: resolve the last ``n`` years first (one
-    tiny job returning at most ``n`` values; on a partition column it reads
-    no data columns) and filter with them as literals, which Spark turns into
-    a static partition filter, so only those years' files are read."""
-    years = [r["year"] for r in latest_years(source if source is not None else df, n).collect()]
-    return df.filter(F.col("year").isin(years))
-
-
-def keep_latest_years(grouped: DataFrame, n: int = 2, eligible: Column | None = None) -> DataFrame:
-    """F2 applied *after* aggregation: keep the groups of the last ``n`` years.
-
-    ``grouped`` is an aggregated frame (one row per year and report key) that
-    still holds the groups of null keys, so every year present in the lines
-    is present here; ``eligible`` restricts which groups count as "present"
-    (e.g. groups holding an order number). The year set is a window over the
-    small grouped frame, so the lines are read once, with no second scan for
-    the year list.
-    """
-    cand = F.when(eligible, F.col("year")) if eligible is not None else F.col("year")
-    years = F.slice(F.sort_array(F.collect_set(cand).over(Window.partitionBy()), asc=False), 1, n)
-    return (grouped.withColumn("_years", years)
-            .filter(F.array_contains(F.col("_years"), F.col("year"))).drop("_years"))
+    years = sorted(r["year"] for r in latest_years(source if source is not None else df, n).collect())
+    cond = F.col("year").isin(years)
+    if years and "order_date" in df.columns:
+        cond = cond & (F.col("order_date") >= F.lit(f"{years[0]}-01-01 00:00:00").cast("timestamp_ntz"))
+    return df.filter(cond)
 
 
 def trailing_days(df: DataFrame, as_of, days: int = 365, ts_col: str = "order_date") -> DataFrame:

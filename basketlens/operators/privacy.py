@@ -1,22 +1,16 @@
 """Anonymiser (N1-N4, J2, P14, Q1): infer gender from names, drop personal
 columns, mask e-mail addresses.
 
-Batch input: the names are normalised once per *distinct* name (a small
-lookup of raw name -> normalised name and list flags, materialised and
-broadcast after a size check), so the Python step never sees the lines.
-Streaming input: the same rule runs per row (stateless, stream-static joins
-with the name lists), so it works unchanged on ``readStream``."""
+Batch and streaming input take the same lazy path: one pass over the rows, an
+Arrow step for the names, joins with the small name lists."""
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions.columns import mask_email
-from basketlens.functions.materialise import reliable
-from basketlens.functions.names import normalise_columns, normalise_name
+from basketlens.functions.names import normalise_columns
 from basketlens.schema import (
     FEMALE_NAME_MARK, GENDER_FEMALE, GENDER_MALE, GENDER_UNKNOWN, PII_COLUMNS, Params,
 )
@@ -42,29 +36,6 @@ def normalised_names(raw: DataFrame, first: str = "first_name", last: str = "las
     return df.withColumns(absent) if absent else df
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast a lookup only after checking its size; above the bound the
-    planner keeps a shuffle join (AQE splits skewed keys). The check is one
-    count of the lookup, never of the fact data."""
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
-def name_lookup(raw: DataFrame, flags: DataFrame, cols: list[str]) -> DataFrame:
-    """N1 + J2 on the distinct raw names of ``cols``: raw name -> normalised name, flags.
-
-    A distinct over the name columns (map-side combined, so common names
-    cost nothing extra), the NFKD step on those distinct values only, then
-    a left join with the name lists.
-    """
-    parts = [raw.select(F.col(c).cast("string").alias("raw_name")) for c in cols]
-    names = functools.reduce(DataFrame.unionByName, parts).filter(F.col("raw_name").isNotNull()).distinct()
-    names = names.withColumn("name_norm", normalise_name("raw_name"))
-    return (names.join(flags, names["name_norm"] == flags["name"], "left")
-            .select("raw_name", "name_norm",
-                    F.coalesce(F.col("is_male"), F.lit(False)).alias("is_male"),
-                    F.coalesce(F.col("is_female"), F.lit(False)).alias("is_female")))
-
-
 def _gender(n1, m1, f1, n2, m2, f2) -> F.Column:
     """N3 on the (normalised name, is_male, is_female) of the first and last name."""
     marked = n1.contains(FEMALE_NAME_MARK) | n2.contains(FEMALE_NAME_MARK)
@@ -74,42 +45,23 @@ def _gender(n1, m1, f1, n2, m2, f2) -> F.Column:
 
 
 def infer_gender(raw: DataFrame, flags: DataFrame, first: str = "first_name", last: str = "last_name",
-                 out: str = "gender", max_broadcast_rows: int = 2_000_000) -> DataFrame:
+                 out: str = "gender") -> DataFrame:
     """Gender from the first, then the last name; '-né' marks a woman; else unknown.
 
-    Lookups are broadcast when they have at most ``max_broadcast_rows`` rows
-    (checked by a count of the lookup, never of the lines), so the lines are
-    not shuffled by name; beyond that a shuffle join with AQE skew splitting
-    takes over. Batch input runs one small job here to build the distinct-name
-    lookup (checkpointed to ``spark.checkpoint.dir``, or kept cached for the
-    session when none is set); streaming input normalises per row.
+    One lazy pass for batch and streams: names are normalised in Arrow
+    batches (distinct values of a batch only) and joined with the name lists.
+    The lists are broadcast while their size is under the planner's byte
+    threshold; beyond it AQE splits common names of the shuffle join.
     """
-    roles = {"1": first, "2": last}
-    present = {k: c for k, c in roles.items() if c in raw.columns}
-    flags = bounded_broadcast(flags, max_broadcast_rows)
-    if raw.isStreaming or not present:
-        df = normalised_names(raw, first, last)
-        f1 = flags.select(F.col("name").alias("_n1"), F.col("is_male").alias("_m1"), F.col("is_female").alias("_f1"))
-        f2 = flags.select(F.col("name").alias("_n2"), F.col("is_male").alias("_m2"), F.col("is_female").alias("_f2"))
-        df = (df.join(f1, F.col("first_name_norm") == F.col("_n1"), "left")
-                .join(f2, F.col("last_name_norm") == F.col("_n2"), "left"))
-        gender = _gender(F.col("first_name_norm"), F.col("_m1"), F.col("_f1"),
-                         F.col("last_name_norm"), F.col("_m2"), F.col("_f2"))
-        return df.withColumn(out, gender).drop("_n1", "_m1", "_f1", "_n2", "_m2", "_f2",
-                                               "first_name_norm", "last_name_norm")
-    lookup = reliable(name_lookup(raw, flags, list(dict.fromkeys(present.values()))))
-    lookup = F.broadcast(lookup) if lookup.count() <= max_broadcast_rows else lookup
-    df = raw
-    for k in roles:
-        cols = {"_r": "raw_name", "_n": "name_norm", "_m": "is_male", "_f": "is_female"}
-        if k in present:
-            part = lookup.select(*[F.col(v).alias(p + k) for p, v in cols.items()])
-            df = df.join(part, F.col(present[k]).cast("string") == F.col("_r" + k), "left")
-        else:
-            types = {"_r": "string", "_n": "string", "_m": "boolean", "_f": "boolean"}
-            df = df.withColumns({p + k: F.lit(None).cast(types[p]) for p in cols})
-    gender = _gender(F.col("_n1"), F.col("_m1"), F.col("_f1"), F.col("_n2"), F.col("_m2"), F.col("_f2"))
-    return df.withColumn(out, gender).drop(*[p + k for p in ("_r", "_n", "_m", "_f") for k in roles])
+    df = normalised_names(raw, first, last)
+    f1 = flags.select(F.col("name").alias("_n1"), F.col("is_male").alias("_m1"), F.col("is_female").alias("_f1"))
+    f2 = flags.select(F.col("name").alias("_n2"), F.col("is_male").alias("_m2"), F.col("is_female").alias("_f2"))
+    df = (df.join(f1, F.col("first_name_norm") == F.col("_n1"), "left")
+            .join(f2, F.col("last_name_norm") == F.col("_n2"), "left"))
+    gender = _gender(F.col("first_name_norm"), F.col("_m1"), F.col("_f1"),
+                     F.col("last_name_norm"), F.col("_m2"), F.col("_f2"))
+    return df.withColumn(out, gender).drop("_n1", "_m1", "_f1", "_n2", "_m2", "_f2",
+                                           "first_name_norm", "last_name_norm")
 
 
 def drop_pii(df: DataFrame, columns: list[str] = PII_COLUMNS) -> DataFrame:
@@ -127,8 +79,7 @@ def mask_emails(df: DataFrame, params: Params = Params(), col: str = "email") ->
 def anonymise(raw: DataFrame, male: DataFrame, female: DataFrame, params: Params = Params()) -> DataFrame:
     """Q1: gender first (it needs the names), then drop personal columns, then mask e-mail.
 
-    ``male``/``female`` are N2 name lists (column ``name``). For batch input
-    one small job builds the distinct-name lookup; the rest is lazy.
+    ``male``/``female`` are N2 name lists (column ``name``). No action inside.
     """
     with_gender = infer_gender(raw, name_flags(male, female))
     return mask_emails(drop_pii(with_gender), params)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from basketlens.functions.columns import as_double, sum0
 from basketlens.operators.ranking import top_n_per_group
-from basketlens.operators.periods import keep_latest_years, prune_to_latest_years
+from basketlens.operators.periods import in_latest_years
 from basketlens.schema import Params
 
 
@@ -17,19 +17,12 @@ def regional_revenue(lines: DataFrame, cities: DataFrame, params: Params = Param
     Lines are pre-aggregated to (year, city) before the lookup join, so the
     join sees one row per year and city instead of every line; duplicate map
     rows still count a city once per row, as a line-level left join would.
-    The latest years are those of orders (groups holding an order number),
-    picked on the grouped frame, so the lines are read once. Lines without a
-    city, or whose city has no county, drop out.
+    The latest years are those of orders (lines holding an order number).
+    Lines without a city, or whose city has no county, drop out.
     """
-    if params.prune_years:
-        lines = prune_to_latest_years(lines, params.recent_years,
-                                      source=lines.filter(F.col("order_number").isNotNull()))
-    g = (lines.filter(F.col("year").isNotNull())
-         .groupBy("year", "city")
-         .agg(sum0("line_revenue").alias("revenue"),
-              F.max(F.col("order_number").isNotNull()).alias("has_order")))
-    by_city = (keep_latest_years(g, params.recent_years, F.col("has_order"))
-               .filter(F.col("city").isNotNull()).drop("has_order"))
+    recent = in_latest_years(lines, params.recent_years, source=lines.filter(F.col("order_number").isNotNull()))
+    by_city = (recent.filter(F.col("city").isNotNull())
+               .groupBy("year", "city").agg(sum0("line_revenue").alias("revenue")))
     lookup = cities.select("city", "county").filter(F.col("city").isNotNull() & F.col("county").isNotNull())
     return (by_city.join(lookup, "city")
             .groupBy("year", "county", "city").agg(F.sum("revenue").alias("revenue")))

@@ -8,15 +8,25 @@ from pyspark.sql import functions as F
 
 from basketlens.functions.columns import first_non_null, format_amount, last_category, pct, sum0
 from basketlens.functions.materialise import reliable
-from basketlens.operators.periods import in_latest_years, keep_latest_years, prune_to_latest_years
+from basketlens.operators.periods import in_latest_years
 from basketlens.operators.ranking import top_n_per_group
 from basketlens.schema import Params
 
 
-def monthly_revenue(orders: DataFrame) -> DataFrame:
-    """A2: Σ net revenue per (year, month); undated orders drop out."""
+def monthly_orders(orders: DataFrame) -> DataFrame:
+    """Σ net revenue and number of orders per (year, month), for A2 and A5; undated orders drop out."""
     return (orders.filter(F.col("year").isNotNull() & F.col("month").isNotNull())
-            .groupBy("year", "month").agg(sum0("net_revenue").alias("net_revenue")))
+            .groupBy("year", "month").agg(sum0("net_revenue").alias("net_revenue"), F.count("net_revenue").alias("orders")))
+
+
+def monthly_revenue(orders: DataFrame) -> DataFrame:
+    """A2: Σ net revenue per (year, month)."""
+    return monthly_orders(orders).select("year", "month", "net_revenue")
+
+
+def average_of(monthly: DataFrame) -> DataFrame:
+    """A5 from ``monthly_orders``."""
+    return monthly.select("year", "month", F.try_divide(F.col("net_revenue").cast("double"), F.col("orders")).alias("avg_order_value"))
 
 
 def yearly_totals(monthly: DataFrame, value: str = "net_revenue") -> DataFrame:
@@ -56,10 +66,8 @@ def revenue_formatted(monthly: DataFrame) -> DataFrame:
 
 
 def average_order_value(orders: DataFrame) -> DataFrame:
-    """A5: mean net revenue per order for each (year, month), to the cent (half-even)."""
-    return (orders.filter(F.col("year").isNotNull() & F.col("month").isNotNull())
-            .groupBy("year", "month")
-            .agg(F.bround(F.avg("net_revenue"), 2).cast("double").alias("avg_order_value")))
+    """A5: mean net revenue per order for each (year, month): the exact sum, divided in double precision."""
+    return average_of(monthly_orders(orders))
 
 
 def aov_matrix(aov: DataFrame, years: list[int] | None = None) -> DataFrame:
@@ -67,21 +75,11 @@ def aov_matrix(aov: DataFrame, years: list[int] | None = None) -> DataFrame:
 
 
 def category_revenue(lines: DataFrame, params: Params = Params()) -> DataFrame:
-    """P8 + A6 on the last ``recent_years`` years: Σ line revenue per (year, last category).
-
-    One aggregation over all years (null categories kept as a group so the
-    year list is exact), then the latest years are picked on the small
-    grouped frame.
-    """
-    if params.prune_years:
-        recent = prune_to_latest_years(lines, params.recent_years)
-        return (recent.select("year", last_category("category_path").alias("last_category"), "line_revenue")
-                .filter(F.col("last_category").isNotNull())
-                .groupBy("year", "last_category").agg(sum0("line_revenue").alias("revenue")))
-    g = (lines.filter(F.col("year").isNotNull())
-         .groupBy("year", last_category("category_path").alias("last_category"))
-         .agg(sum0("line_revenue").alias("revenue")))
-    return keep_latest_years(g, params.recent_years).filter(F.col("last_category").isNotNull())
+    """P8 + A6 on the last ``recent_years`` years: Σ line revenue per (year, last category)."""
+    recent = in_latest_years(lines, params.recent_years)
+    return (recent.select("year", last_category("category_path").alias("last_category"), "line_revenue")
+            .filter(F.col("last_category").isNotNull())
+            .groupBy("year", "last_category").agg(sum0("line_revenue").alias("revenue")))
 
 
 def category_shares(lines: DataFrame, params: Params = Params()) -> DataFrame:
@@ -117,17 +115,7 @@ def category_shares(lines: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def recent_order_years(lines: DataFrame, params: Params) -> DataFrame:
-    """Lines of the last years present among orders (lines with an order number).
-
-    The year list is a separate narrow aggregation (at most ``recent_years``
-    rows, broadcast into a semi-join): restricting before the (year, item)
-    aggregation keeps that aggregation to the recent years, which matters
-    because its output grows with the item count. With ``prune_years`` the
-    years become literals, so a year-partitioned table is pruned statically.
-    """
-    if params.prune_years:
-        return prune_to_latest_years(lines, params.recent_years,
-                                     source=lines.filter(F.col("order_number").isNotNull()))
+    """Lines of the last years present among orders (lines with an order number)."""
     return in_latest_years(lines, params.recent_years, source=lines.filter(F.col("order_number").isNotNull()))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -113,6 +113,13 @@ class Segmentation:
     summary: DataFrame         # one row per cluster, named
     dropped: int               # customers left out for null features
     k: int
+    coverage: DataFrame        # one row: customers, left_out, k
+    centres: list[list[float]]          # of the standardised features; none for fewer than two clusters
+    cached: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        for df in self.cached:
+            df.unpersist()
 
 
 def segment(features: DataFrame, cols: list[str], params: Params = Params()) -> Segmentation:
@@ -141,9 +148,11 @@ def segment(features: DataFrame, cols: list[str], params: Params = Params()) ->
     zcols = [c + "_z" for c in cols]
     vec = VectorAssembler(inputCols=zcols, outputCol="features").transform(scale_features(complete, cols))
     k = min(params.k, n)
+    coverage = base.agg(F.count(F.lit(1)).alias("customers"), F.count_if(~done).alias("left_out"), F.lit(k).alias("k"))
+    centres: list[list[float]] = []
     if k < 1:
         empty = features.sparkSession.createDataFrame([], _summary_schema(cols))
-        return Segmentation(complete.withColumn("cluster", F.lit(None).cast("int")), empty, dropped, 0)
+        return Segmentation(complete.withColumn("cluster", F.lit(None).cast("int")), empty, dropped, 0, coverage, centres, [base])
     if k == 1:
         assigned = vec.withColumn("cluster", F.lit(0))
     else:
@@ -155,8 +164,9 @@ def segment(features: DataFrame, cols: list[str], params: Params = Params()) ->
         finally:
             cached.unpersist()
         assigned = model.transform(vec)
+        centres = [[float(x) for x in c] for c in model.clusterCenters()]
     assigned = assigned.drop("features", *zcols)
-    return Segmentation(assigned, cluster_summary(assigned, cols, params), dropped, k)
+    return Segmentation(assigned, cluster_summary(assigned, cols, params), dropped, k, coverage, centres, [base])
 
 
 def _summary_schema(cols: list[str]) -> str:
@@ -171,6 +181,24 @@ def cluster_summary(assigned: DataFrame, cols: list[str], params: Params = Param
                                                        F.col("recency_days"), params))
 
 
+def segment_check(seg: Segmentation, cols: list[str]) -> DataFrame:
+    """One row on a segmentation: customers, left_out, k, clustered (Σ cluster sizes), not_nearest (customers whose
+    cluster's centre is not the nearest one)."""
+    z = scale_features(seg.assignments, cols)
+    far = F.lit(False)
+    if seg.centres:
+        to = [sum((F.pow(F.col(f"{c}_z") - F.lit(x), 2) for c, x in zip(cols, centre)), F.lit(0.0)) for centre in seg.centres]
+        far = F.element_at(F.array(*to), F.col("cluster") + 1) > F.array_min(F.array(*to)) + 1e-9
+    sizes = z.agg(F.count("cluster").alias("clustered"), F.count_if(far).alias("not_nearest"))
+    return seg.coverage.crossJoin(F.broadcast(sizes)).select("customers", "left_out", F.col("k").cast("int").alias("k"), "clustered", "not_nearest")   # one row each
+
+
+def rule_summary(activity: DataFrame) -> DataFrame:
+    """A23 over the customers as M3 names them: means (four decimals, half-even) and customer count by segment."""
+    return activity.groupBy("segment").agg(*[F.bround(F.avg(c), 4).alias(c) for c in ("total_orders", "recency_days")],
+                                           F.count("email").alias("customers"))
+
+
 def assignments_view(assigned: DataFrame) -> DataFrame:
     """M4: the scatter-plot data (spent, frequency, cluster) per customer."""
     return assigned.select("email", "total_spent", "order_frequency", "cluster")

@@ -1,45 +1,58 @@
-"""The report bundle, every summary table from one read of the order lines.
+"""The report bundle, every summary table over the cleaned order lines.
 
-The cleaned lines and the order roll-up feed several reports, so both are
-persisted (memory and disk; recomputed from lineage if an executor is lost)
-and released by ``release``.
+Lines are never persisted: each table reads only the columns it needs. What
+several tables share is aggregated first: one frame of sums and counts by
+month for the revenue and average tables, one of item sales for thresholds
+and flags. Those are persisted and freed by ``release``.
 """
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from basketlens.operators import clean, inventory, region, revenue, segments
+from basketlens.operators.ranking import top_n_per_group
 from basketlens.schema import Params
 
 
+def bundle_top_categories(lines: DataFrame, params: Params = Params()) -> DataFrame:
+    """The top categories of each year with their exact revenue (no share, no rest row)."""
+    top = top_n_per_group(revenue.category_revenue(lines, params), ["year"], [F.desc("revenue"), F.asc("last_category")], params.top_categories)
+    return top.select("year", "rank", "last_category", "revenue")
+
+
+def bundle_top_products(lines: DataFrame, params: Params = Params()) -> DataFrame:
+    """The top products of each year: item name and rounded revenue."""
+    return revenue.top_products(lines, params).select("year", "rank", "item_name", "revenue")
+
+
 def report_bundle(lines: DataFrame, cities: DataFrame, params: Params = Params(),
                   with_segments: bool = True) -> dict[str, DataFrame]:
     """Monthly matrix, AOV matrix, top products, top categories, county totals,
     stock-risk counts and (optionally) the cluster summary, as DataFrames."""
-    lines = lines.persist(StorageLevel.MEMORY_AND_DISK)
-    orders = clean.order_totals(lines).persist(StorageLevel.MEMORY_AND_DISK)
-    monthly = revenue.monthly_revenue(orders)
-    aov = revenue.average_order_value(orders)
-    years = revenue.years_of(monthly)
-    regional = region.regional_revenue(lines, cities, params)
-    flags = inventory.stock_flags(inventory.item_sales(lines, params), params)
+    months = revenue.monthly_orders(clean.order_totals(lines)).persist(StorageLevel.MEMORY_AND_DISK)
+    monthly, aov = months.select("year", "month", "net_revenue"), revenue.average_of(months)
+    years = revenue.years_of(months)
+    items = inventory.item_sales(lines, params).persist(StorageLevel.MEMORY_AND_DISK)
+    matrix = revenue.revenue_matrix(monthly, years)
+    held = [months, items]
     out = {
-        "revenue_matrix": revenue.revenue_matrix(monthly, years),
-        "revenue_matrix_text": revenue.formatted(revenue.revenue_matrix(monthly, years),
-                                                 [str(y) for y in years]),
+        "revenue_matrix": matrix,
+        "revenue_matrix_text": revenue.formatted(matrix, [str(y) for y in years]),
         "yearly_totals": revenue.yearly_totals(monthly),
         "aov_matrix": revenue.aov_matrix(aov, years),
-        "top_products": revenue.top_products(lines, params),
-        "top_categories": revenue.category_shares(lines, params),
-        "county_totals": region.county_totals(regional),
-        "stock_risk_counts": inventory.stock_risk_counts(flags),
+        "top_products": bundle_top_products(lines, params),
+        "top_categories": bundle_top_categories(lines, params),
+        "county_totals": region.county_totals(region.regional_revenue(lines, cities, params)),
+        "stock_risk_counts": inventory.stock_risk_counts(inventory.stock_flags(items, params)),
     }
     if with_segments:
-        feats = segments.customer_features(lines, params, "all")
-        out["cluster_summary"] = segments.segment(feats, segments.ALL_FEATURES, params).summary
-    out["_persisted"] = [lines, orders]
+        seg = segments.segment(segments.customer_features(lines, params, "all"), segments.ALL_FEATURES, params)
+        out["cluster_summary"] = seg.summary
+        held += seg.cached
+    out["_persisted"] = held
     return out
 
 

@@ -19,6 +19,7 @@ from basketlens.functions.materialise import reliable
 from basketlens.operators import (
     audience, clean, discounts, inventory, privacy, region, revenue, segments, timing,
 )
+from basketlens.plans import bundle
 from basketlens.schema import LINE_ORDINAL, REQUIRED_COLUMNS
 from basketlens.sources import tables
 from basketlens.sources.readers import name_list
@@ -241,6 +242,26 @@ def q_segment_assignments(spark, d):
     return segments.assignments_view(_segmentation(spark, d, "active").assignments)
 
 
+def q_segment_check(spark, d):
+    parts = []
+    for variant, cols in (("active", segments.ACTIVE_FEATURES), ("all", segments.ALL_FEATURES)):
+        check = segments.segment_check(_segmentation(spark, d, variant), cols)
+        parts.append(check.select(F.lit(variant).alias("variant"), "*"))
+    return parts[0].unionByName(parts[1])
+
+
+def q_segment_rule_summary(spark, d):
+    return segments.rule_summary(q_segment_rule(spark, d))
+
+
+def q_bundle_top_categories(spark, d):
+    return finalize(bundle.bundle_top_categories(lines(spark, d, "category_path"), P))
+
+
+def q_bundle_top_products(spark, d):
+    return bundle.bundle_top_products(lines(spark, d, "item_id", "item_name"), P)
+
+
 def q_masked_emails(spark, d):
     cust = tables.customer_table(spark, d)
     return privacy.mask_emails(cust.select("customer_id", "email", F.col("email").alias("masked_email")),
@@ -277,20 +298,3 @@ def q_anonymised_lines(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }
-
-# Reports of the benchmark (R1-R14): each maps to the queries it is made of.
-REPORTS: dict[str, list[str]] = {
-    "R1_monthly_revenue": ["monthly_revenue", "revenue_matrix", "yearly_totals"],
-    "R2_category_shares": ["category_shares"],
-    "R3_top_products": ["top_products"],
-    "R4_average_order_value": ["average_order_value", "aov_matrix"],
-    "R5_regions": ["top_counties", "top_cities", "county_totals"],
-    "R6_stock_risks": ["low_stock", "excess_stock", "low_stock_head", "stock_risk_counts"],
-    "R7_discounts": ["discount_summary"],
-    "R8_purchase_timing": ["weekday_revenue", "hourly_revenue"],
-    "R9_gender": ["gender_share", "gender_summary"],
-    "R10_origin": ["origin_share", "origin_folded"],
-    "R11_segments_active": ["segment_summary_active"],
-    "R12_segments_all": ["segment_summary_all"],
-    "R14_anonymised_lines": ["anonymised_lines"],
-}

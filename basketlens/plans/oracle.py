@@ -8,6 +8,7 @@ thresholds) so it checks the Spark plans without sharing their strategy.
 
 from __future__ import annotations
 
+from basketlens.operators import segments
 from basketlens.sources import tables
 
 AS_OF = "TIMESTAMP '2001-08-01 00:00:00'"
@@ -215,6 +216,20 @@ def _mask(x: str) -> str:
     return f"substr(sha256({x}), 1, 10) || '@masked.com'"
 
 
+def _complete(features: str) -> str:
+    """Every feature of a customer is known."""
+    return " AND ".join(f"{c} IS NOT NULL" for c in getattr(segments, features))
+
+
+MATRIX_YEARS = range(1995, 2002)      # years of the completed orders of the test tables
+
+
+def _matrix(source: str, value: str) -> str:
+    """Month x year matrix with literal years, so the statement can be a view."""
+    cells = ", ".join(f'max(CASE WHEN year = {y} THEN {value} END) AS "{y}"' for y in MATRIX_YEARS)
+    return f"SELECT month, {cells} FROM {source} GROUP BY month"
+
+
 def _with(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
@@ -238,13 +253,13 @@ ORACLES: dict[str, str] = {
     + "SELECT year, month, CAST(net_revenue AS DOUBLE) AS net_revenue FROM monthly",
 
     "revenue_matrix": _with(*L, ORDERS, MONTHLY, "m2 AS (SELECT year, month, CAST(net_revenue AS DOUBLE) AS v FROM monthly)")
-    + "SELECT * FROM (PIVOT m2 ON year USING first(v) GROUP BY month)",
+    + _matrix("m2", "v"),
 
     "revenue_matrix_text": _with(*L, ORDERS, MONTHLY, """grid AS (
   SELECT m.month, y.year, coalesce(format('{:,.2f}', CAST(v.net_revenue AS DOUBLE)), '') AS txt
   FROM (SELECT DISTINCT month FROM monthly) m CROSS JOIN (SELECT DISTINCT year FROM monthly) y
   LEFT JOIN monthly v ON v.month = m.month AND v.year = y.year)""")
-    + "SELECT * FROM (PIVOT grid ON year USING first(txt) GROUP BY month)",
+    + _matrix("grid", "txt"),
 
     "yearly_totals": _with(*L, ORDERS, MONTHLY)
     + "SELECT year, CAST(sum(net_revenue) AS DOUBLE) AS net_revenue FROM monthly GROUP BY year",
@@ -253,21 +268,21 @@ ORACLES: dict[str, str] = {
     + "SELECT year, month, format('{:,.2f}', CAST(net_revenue AS DOUBLE)) AS net_revenue FROM monthly",
 
     "average_order_value": _with(*L, ORDERS) + """SELECT year, month,
-    CAST(round_even(CAST(sum(net_revenue) AS DECIMAL(38,4)) / count(*), 2) AS DOUBLE) AS avg_order_value
+    CAST(sum(net_revenue) AS DOUBLE) / count(*) AS avg_order_value
   FROM order_totals WHERE year IS NOT NULL AND month IS NOT NULL GROUP BY year, month""",
 
     "aov_matrix": _with(*L, ORDERS, """aov AS (SELECT year, month,
-    CAST(round_even(CAST(sum(net_revenue) AS DECIMAL(38,4)) / count(*), 2) AS DOUBLE) AS v
+    CAST(sum(net_revenue) AS DOUBLE) / count(*) AS v
   FROM order_totals WHERE year IS NOT NULL AND month IS NOT NULL GROUP BY year, month)""")
-    + "SELECT * FROM (PIVOT aov ON year USING first(v) GROUP BY month)",
+    + _matrix("aov", "v"),
 
     "aov_matrix_text": _with(*L, ORDERS, """aov AS (SELECT year, month,
-    CAST(round_even(CAST(sum(net_revenue) AS DECIMAL(38,4)) / count(*), 2) AS DOUBLE) AS v
+    CAST(sum(net_revenue) AS DOUBLE) / count(*) AS v
   FROM order_totals WHERE year IS NOT NULL AND month IS NOT NULL GROUP BY year, month)""", """grid AS (
   SELECT m.month, y.year, coalesce(format('{:,.2f}', a.v) || ' Ft', '') AS txt
   FROM (SELECT DISTINCT month FROM aov) m CROSS JOIN (SELECT DISTINCT year FROM aov) y
   LEFT JOIN aov a ON a.month = m.month AND a.year = y.year)""")
-    + "SELECT * FROM (PIVOT grid ON year USING first(txt) GROUP BY month)",
+    + _matrix("grid", "txt"),
 
     "category_revenue": _with(*L, RECENT) + f"""SELECT year, last_category, CAST(sum(line_revenue) AS DOUBLE) AS revenue
   FROM (SELECT year, {_strip("string_split(category_path, '>')[-1]")} AS last_category, line_revenue FROM recent)
@@ -393,6 +408,30 @@ ORACLES: dict[str, str] = {
 rec AS (SELECT *, {_days(AS_OF, 'last_order')} AS recency_days FROM per_cust)""")
     + f"SELECT email, total_orders, total_spent, last_order, recency_days, {SEGMENT_CASE} AS segment FROM rec",
 
+    "segment_rule_summary": _with(*L, """per_order AS (
+  SELECT email, order_number, max(order_date) AS last_date, sum(line_revenue) AS revenue
+  FROM lines WHERE email IS NOT NULL GROUP BY email, order_number)""", f"""per_cust AS (
+  SELECT email, count(order_number) AS total_orders, CAST(coalesce(sum(revenue), 0) AS DOUBLE) AS total_spent,
+         max(last_date) AS last_order FROM per_order GROUP BY email),
+rec AS (SELECT *, {_days(AS_OF, 'last_order')} AS recency_days FROM per_cust),
+named AS (SELECT *, {SEGMENT_CASE} AS segment FROM rec)""")
+    + """SELECT segment, round_even(avg(total_orders), 4) AS total_orders, round_even(avg(recency_days), 4) AS recency_days,
+    count(*) AS customers FROM named GROUP BY segment""",
+
+    "segment_check": _with(*L, FEATURES_ACTIVE.replace("feat AS", "feat_active AS", 1), FEATURES_ALL.replace("feat AS", "feat_all AS", 1), """both_sets AS (
+  SELECT 'active' AS variant, """ + _complete("ACTIVE_FEATURES") + """ AS complete FROM feat_active
+  UNION ALL SELECT 'all' AS variant, """ + _complete("ALL_FEATURES") + """ AS complete FROM feat_all)""")
+    + """SELECT variant, count(*) AS customers, count(*) FILTER (NOT complete) AS left_out,
+    CAST(least(4, count(*) FILTER (complete)) AS INTEGER) AS k, count(*) FILTER (complete) AS clustered,
+    CAST(0 AS BIGINT) AS not_nearest FROM both_sets GROUP BY variant""",
+
+    "bundle_top_categories": _with(*L, RECENT, f"""cat AS (
+  SELECT year, last_category, sum(line_revenue) AS revenue
+  FROM (SELECT year, {_strip("string_split(category_path, '>')[-1]")} AS last_category, line_revenue FROM recent)
+  WHERE last_category IS NOT NULL AND year IS NOT NULL GROUP BY year, last_category)""",
+        "top AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY revenue DESC, last_category) AS rank FROM cat)")
+    + "SELECT year, CAST(rank AS INTEGER) AS rank, last_category, CAST(revenue AS DOUBLE) AS revenue FROM top WHERE rank <= 8",
+
     "masked_emails": _with(CUSTOMERS) + f"SELECT customer_id, email, {_mask('email')} AS masked_email FROM cust",
 
     "normalised_names": _with(CUSTOMERS) + f"""SELECT customer_id, first_name, last_name,
@@ -413,3 +452,6 @@ rec AS (SELECT *, {_days(AS_OF, 'last_order')} AS recency_days FROM per_cust)"""
     CAST(discount_amount AS DOUBLE) AS discount_amount, item_id, item_name, quantity, category_path,
     gender, origin FROM g""",
 }
+
+# The bundle's product table is the product report without the item id.
+ORACLES["bundle_top_products"] = f"SELECT year, rank, item_name, revenue FROM ({ORACLES['top_products']})"

@@ -119,8 +119,9 @@ def segment_report(lines: DataFrame, params: Params, variant: str) -> Report:
     cols = segments.ACTIVE_FEATURES if variant == "active" else segments.ALL_FEATURES
     seg = segments.segment(segments.customer_features(lines, params, variant), cols, params)
     return Report({"cluster_summary": small_sorted(seg.summary, "cluster"),
-                   "assignments": segments.assignments_view(seg.assignments)},
-                  [seg.assignments])
+                   "assignments": segments.assignments_view(seg.assignments),
+                   "left_out": seg.coverage},
+                  seg.cached)
 
 
 # --- the reports over the bound test tables (used by bench.py) -------------
@@ -164,9 +165,9 @@ def all_reports(lines: DataFrame, cities: DataFrame | None = None, params: Param
                 segments_too: bool = True) -> dict[str, Report]:
     """Every report of the analyser (R1-R12) over cleaned order lines (``clean.order_lines``).
 
-    Reports are lazy except the segment reports, which fit k-means when built;
-    each report persists its own shared aggregate when its outputs run, and
-    ``Report.release`` frees it.
+    Building runs small jobs: the year lists of matrices and of the last-years
+    reports, and the k-means fits. Each report persists its own shared
+    aggregate when its outputs run, and ``Report.release`` frees it.
     """
     have = set(lines.columns)
 

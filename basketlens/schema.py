@@ -88,7 +88,7 @@ REQUIRED_COLUMNS = ["order_number", "order_date", "order_status", *MONEY_COLUMNS
 # Optional line ordinal ("file order"); "first" aggregates use it.
 LINE_ORDINAL = "line_no"
 
-MONEY_TYPE = "decimal(18,4)"
+MONEY_TYPE = "decimal(28,6)"
 
 # --- fixed values: report labels (Hungarian, as the shop reports print) ----
 COMPLETED_STATUS = "Teljesítve"
@@ -120,10 +120,6 @@ class Params:
     # Reference clock. None means "now" (current_timestamp at query time).
     as_of: dt.datetime | None = None
     recent_years: int = 2
-    # True for lines stored partitioned by year (``stage_lines``): the last
-    # years are then chosen first and pushed into the scan (dynamic partition
-    # pruning) instead of aggregating every year and filtering afterwards.
-    prune_years: bool = False
     top_categories: int = 8
     top_products: int = 8
     top_regions: int = 4

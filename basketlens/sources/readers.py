@@ -27,15 +27,21 @@ def read_order_lines(spark: SparkSession, path: str | list[str], fmt: str = "par
 
     Parquet: ``line_no`` = (file path, row index in file), i.e. file order,
     from Spark's ``_metadata`` column (deterministic, keeps filter pushdown).
-    CSV: every column is read as text (types come from the cleaning step).
+    CSV: every column is read as text (types come from the cleaning step);
+    ``line_no`` = (file path, start of the read block, running number), which
+    is file order too, however the files are split. Files count in the order
+    of their paths.
     """
     paths = [path] if isinstance(path, str) else list(path)
     if fmt == "csv":
         reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
         for k, v in options.items():
             reader = reader.option(k, v)
-        df = reader.schema(schema).csv(paths) if schema else reader.csv(paths)
-        return canonical_names(df)
+        df = canonical_names(reader.schema(schema).csv(paths) if schema else reader.csv(paths))
+        if with_ordinal and LINE_ORDINAL not in df.columns:
+            df = df.withColumn(LINE_ORDINAL, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                                      F.monotonically_increasing_id().alias("row")))
+        return df
     reader = spark.read
     for k, v in options.items():
         reader = reader.option(k, v)
@@ -79,9 +85,8 @@ def stage_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Store cleaned order lines partitioned by ``year`` (Parquet).
 
     Reports over a staged table prune partitions: the trailing-year window
-    (F3) and the origin filter (F6) by static predicates, and with
-    ``Params(prune_years=True)`` the last-years reports (F2) by dynamic
-    partition pruning. No shuffle: each task sorts its own rows by (year,
+    (F3), the origin filter (F6) and the last-years reports (F2), which find
+    their years first and filter with them as literals. No shuffle: each task sorts its own rows by (year,
     order number) and streams one file per year it holds, so a year is
     never funnelled through one task; the order-number clustering keeps row
     groups selective and the order roll-up's partial aggregation effective.

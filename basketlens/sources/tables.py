@@ -138,13 +138,18 @@ def order_line_table(spark: SparkSession, sf_dir: str, columns: list[str] | None
     df = li
     if "orders" in need:
         df = df.join(read_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    totals = "totals" in need
     if need & {"customer", "nation"}:
-        df = df.join(read_table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+        customer = read_table(spark, sf_dir, "customer")
+        if totals:      # one dimension, so that the lines are joined (and a large customer's split) once
+            customer = customer.join(customer_totals(read_table(spark, sf_dir, "orders")), F.col("c_custkey") == F.col("t_custkey"), "left")
+            totals = False
+        df = df.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
     if "nation" in need:
         df = df.join(read_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
     if "part" in need:
         df = df.join(read_table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"), "left")
-    if "totals" in need:
+    if totals:
         df = df.join(customer_totals(read_table(spark, sf_dir, "orders")),
                      F.col("o_custkey") == F.col("t_custkey"), "left")
 

@@ -34,10 +34,10 @@ def session():
                .config("spark.sql.shuffle.partitions", os.environ.get("BENCH_SHUFFLE", str(max(CPUS * 2, 8))))
                .config("spark.driver.memory", "16g")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+    from pyspark import SparkConf
+    if not SparkConf().contains("spark.checkpoint.dir"):
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-ckpt-", dir="/tmp"))
     spark = builder.getOrCreate()
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-ckpt-", dir="/tmp"))
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

@@ -13,7 +13,7 @@ SCHEMA = ("order_number string, line_no int, order_date timestamp_ntz, city stri
 
 def lines(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
-    return df.withColumns({"year": F.year("order_date"), "line_revenue": F.col("r").cast("decimal(19,4)"),
+    return df.withColumns({"year": F.year("order_date"), "line_revenue": F.col("r").cast("decimal(29,6)"),
                            "discount_amount": F.col("d").cast("decimal(18,4)")})
 
 

@@ -9,6 +9,7 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from basketlens.plans.catalog import QUERIES
 from tools.oracle_check import compare, duck
 
 SF = os.environ.get("BASKETLENS_ORACLE_SF", "/root/testdata/sf0.001")
@@ -20,13 +21,14 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    sdf = E.queries()[name](spark, SF).toPandas()
-    if name not in ORACLES:
-        assert len(sdf) >= 0
+    sdf = QUERIES[name](spark, SF).toPandas()
+    if name not in ORACLES:      # k-means outputs; test_segments and the query segment_check hold them to their rules
+        assert name in ("segment_assignments", "segment_summary_active", "segment_summary_all") and len(sdf) > 0
         return
-    ddf = con.execute(ORACLES[name]).df()
+    con.execute(f"CREATE OR REPLACE VIEW oracle_view AS {ORACLES[name]}")      # a statement that can be a view, as the driver needs
+    ddf = con.execute("SELECT * FROM oracle_view").df()
     msg = compare(sdf, ddf)
     assert msg.startswith("OK"), msg
 

@@ -23,7 +23,7 @@ def frame(spark, rows):
             for i, (y, c, item, v) in enumerate(rows)]
     df = spark.createDataFrame(data, "order_number string, line_no int, order_date timestamp_ntz, "
                                      "category_path string, item_id string, item_name string, v decimal(18,2)")
-    return df.withColumns({"year": F.year("order_date"), "line_revenue": F.col("v").cast("decimal(19,4)")})
+    return df.withColumns({"year": F.year("order_date"), "line_revenue": F.col("v").cast("decimal(29,6)")})
 
 
 SETTINGS = dict(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

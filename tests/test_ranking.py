@@ -19,7 +19,7 @@ def _lines(spark, rows):
     data = [(f"o{i}", dt.datetime(y, 1, 1), p, float(v)) for i, (y, p, v) in enumerate(rows)]
     return (spark.createDataFrame(data, "order_number string, order_date timestamp_ntz, category_path string, r double")
             .withColumn("year", F.year("order_date"))
-            .withColumn("line_revenue", F.col("r").cast("decimal(19,4)")))
+            .withColumn("line_revenue", F.col("r").cast("decimal(29,6)")))
 
 
 def test_category_shares_rest_row_even_when_zero(spark):

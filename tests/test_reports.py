@@ -48,8 +48,8 @@ def test_bundle_matches_catalog(spark):
     b = report_bundle(lines, tables.city_county_table(spark, SF), C.P)
     try:
         pairs = {"revenue_matrix": "revenue_matrix", "revenue_matrix_text": "revenue_matrix_text",
-                 "yearly_totals": "yearly_totals", "aov_matrix": "aov_matrix", "top_products": "top_products",
-                 "top_categories": "category_shares", "county_totals": "county_totals",
+                 "yearly_totals": "yearly_totals", "aov_matrix": "aov_matrix", "top_products": "bundle_top_products",
+                 "top_categories": "bundle_top_categories", "county_totals": "county_totals",
                  "stock_risk_counts": "stock_risk_counts"}
         for out, query in pairs.items():
             assert rows(C.finalize(b[out])) == rows(C.QUERIES[query](spark, SF)), out

@@ -24,9 +24,8 @@ def staged(spark):
     return read_staged_lines(spark, path)
 
 
-@pytest.mark.parametrize("prune", [False, True])
-def test_staged_results_equal(spark, staged, prune):
-    p = C.P.with_(prune_years=prune)
+def test_staged_results_equal(spark, staged):
+    p = C.P
     fresh = C.lines(spark, SF, "city", "category_path", "item_id", "item_name", "quantity", "stock_quantity")
     cities = tables.city_county_table(spark, SF)
     for build in (lambda l: revenue.category_shares(l, p), lambda l: revenue.top_products(l, p),
@@ -47,9 +46,9 @@ def _plan(df):
 def test_partition_pruning(spark, staged):
     items = inventory.item_sales(staged, C.P)
     assert "PartitionFilters: [isnotnull(year" in _plan(items) and "year#" in _plan(items)
-    shares = revenue.category_shares(staged, C.P.with_(prune_years=True))
-    assert "IN (2001,2000)" in _plan(shares).split("PartitionFilters: [")[1].split("]")[0]
-    top = revenue.top_products(staged, C.P.with_(prune_years=True))
-    assert "IN (2001,2000)" in _plan(top).split("PartitionFilters: [")[1].split("]")[0]
+    shares = revenue.category_shares(staged, C.P)
+    assert "IN (2000,2001)" in _plan(shares).split("PartitionFilters: [")[1].split("]")[0]
+    top = revenue.top_products(staged, C.P)
+    assert "IN (2000,2001)" in _plan(top).split("PartitionFilters: [")[1].split("]")[0]
     origin = audience.origin_share(staged, C.P.with_(origin_min_year=2000))
     assert "PartitionFilters" in _plan(origin)
