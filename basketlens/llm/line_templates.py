@@ -4,10 +4,10 @@ Every line of ``min_tokens`` tokens or more is parsed down a tree of fixed
 depth: its token count, then its first ``depth`` tokens. Tokens with digits
 are fields (``<*>``) from the start. Lines that reach one leaf with the same
 tokens are one template. In leaves of longer lines (``field_tokens``) with
-several token sequences, variable fields are generalised: the most frequent
-token of each position makes a template, and every sequence that agrees with
-it in ``similarity`` of the positions behind the leading ones belongs to it;
-what is left gets a template in the next of ``rounds`` rounds, and the rest
+several token sequences, variable fields are generalised: the sequence that
+holds most of the positions' most frequent tokens is taken for typical, and
+every sequence that agrees with it in ``similarity`` of the positions behind
+the leading ones belongs to its template; what is left gets a template in the next of ``rounds`` rounds, and the rest
 are templates by themselves. A template that occurs in two documents or more
 recurs, and all its lines are dropped; other lines stay as they are.
 
@@ -43,6 +43,12 @@ def _parsed(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
                        F.xxhash64(whole).alias("a"), F.xxhash64(F.reverse(whole), F.lit(1)).alias("b"))
 
 
+def _agree(other: str, skip: int) -> Column:
+    """Positions, the first ``skip`` aside, at which ``tokens`` and another array of the leaf hold the same token."""
+    pairs = F.arrays_zip(F.slice("tokens", skip + 1, F.size("tokens")).alias("x"), F.slice(other, skip + 1, F.size(other)).alias("y"))
+    return F.size(F.filter(pairs, lambda z: z["x"] == z["y"]))
+
+
 def templates(docs: DataFrame, depth: int = 3, min_tokens: int = 5, field_tokens: int = 8, similarity: float = 0.75, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
     """(lines, found). lines: doc_id, text_key, pos, leaf, a, b of each parsed line. found: leaf, a, b, template (the
     generalised tokens; null for a sequence that is a template by itself), round, recurs, a row per distinct sequence."""
@@ -59,14 +65,14 @@ def templates(docs: DataFrame, depth: int = 3, min_tokens: int = 5, field_tokens
         tokens = left.select("leaf", "times", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.sum("times").alias("times"))
         mode = tokens.groupBy("leaf", "at").agg(F.max(F.struct("times", "token")).alias("m"))
         mode = mode.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "m.token"))), lambda x: x["token"]).alias("mode"))
-        same = F.size(F.filter(F.arrays_zip(F.slice("tokens", depth + 1, F.size("tokens")).alias("x"), F.slice("mode", depth + 1, F.size("mode")).alias("y")), lambda z: z["x"] == z["y"]))
-        tried = cut(left.join(mode, "leaf").withColumn("fits", same >= similarity * (F.size("tokens") - depth)))
+        typical = left.join(mode, "leaf").groupBy("leaf").agg(F.max_by("tokens", F.struct(_agree("mode", 0), "times", "a", "b")).alias("seed"))
+        tried = cut(left.join(typical, "leaf").withColumn("fits", _agree("seed", depth) >= similarity * (F.size("tokens") - depth)).drop("seed"))
         mine = tried.where("fits")
         common = mine.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at").agg(F.min("token").alias("p"), F.max("token").alias("q"))
         common = common.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "p", "q"))), lambda x: F.when(x["p"] == x["q"], x["p"]).otherwise(FIELD)).alias("template"))
         spread = mine.groupBy("leaf").agg((F.min("low") < F.max("high")).alias("recurs"))
         found.append(mine.select("leaf", "a", "b").join(common.join(spread, "leaf"), "leaf").select("leaf", "a", "b", "template", F.lit(k).alias("round"), "recurs"))
-        left = tried.where("not fits").drop("mode", "fits")
+        left = tried.where("not fits").drop("fits")
     general = found[0]
     for f in found[1:]:
         general = general.unionByName(f)

@@ -1,0 +1,69 @@
+"""The pipeline on the smallest tables: what each stage must keep and drop, by plain Python where there is a plain form."""
+
+from collections import Counter
+
+import pytest
+
+import corpus_pipeline as P
+from helpers import words
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = [docs.collect()]
+    for name, stage in P.STAGES:
+        docs = stage(spark, docs, SF)
+        rows = docs.collect()
+        out.append(rows)
+        docs = spark.createDataFrame(rows, docs.schema)
+    return out
+
+
+def test_columns_and_subsets(stages):
+    for before, after in zip(stages, stages[1:-1]):
+        assert {tuple(r) for r in after} <= {tuple(r) for r in before}
+        assert not after or tuple(after[0].__fields__) == P.COLUMNS
+
+
+def test_language_keeps_clean_documents(stages):
+    gone = {r.doc_id for r in stages[0]} - {r.doc_id for r in stages[1]}
+    assert len(gone) <= 0.02 * len(stages[0])
+
+
+def test_near_duplicates_leave_one_of_each_class(stages):
+    sets = {}
+    for r in stages[1]:
+        w = words(r.text)
+        sets[r.doc_id] = {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    kept = {r.doc_id for r in stages[2]}
+    near = lambda a, b: bool(a) and len(a & b) >= 0.8 * len(a | b)
+    ids = sorted(sets)
+    for i in ids:
+        linked = [j for j in ids if j != i and near(sets[i], sets[j])]
+        if not linked:
+            assert i in kept
+        if i in kept:
+            assert not any(j in kept for j in linked)
+
+
+def test_decontamination_drops_exactly_the_contaminated(spark, stages):
+    runs = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = words(r.text)
+        runs |= {tuple(w[i:i + 10]) for i in range(len(w) - 9)}
+    clean = [r.doc_id for r in stages[2] if not any(tuple(words(r.text)[i:i + 10]) in runs for i in range(max(0, len(words(r.text)) - 9)))]
+    assert sorted(clean) == sorted(r.doc_id for r in stages[3])
+
+
+def test_shards_hold_every_row_once(stages):
+    assert Counter(r.doc_id for r in stages[5]) == Counter(r.doc_id for r in stages[4])
+    counts = Counter(r.shard for r in stages[5])
+    assert max(counts.values()) - min(counts.get(s, 0) for s in range(24)) <= 1
+
+
+def test_run_returns_the_last_stage(spark):
+    out = P.run(spark, SF)
+    assert tuple(out.columns) == (*P.COLUMNS, "shard", "slot") and out.count() > 100
