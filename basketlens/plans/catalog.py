@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketlens.functions.materialise import reliable
+from basketlens.functions.names import normalise_name
 from basketlens.operators import (
     audience, clean, discounts, inventory, privacy, region, revenue, segments, timing,
 )
@@ -273,6 +274,12 @@ def q_normalised_names(spark, d):
     return privacy.normalised_names(cust.select("customer_id", "first_name", "last_name"))
 
 
+def q_normalised_words(spark, d):
+    """N1 on text of the tables: every distinct word of the documents."""
+    words = tables.read_table(spark, d, "documents").select(F.explode(F.split("text", r"[ \t\n\x0B\f\r]+")).alias("word"))
+    return words.filter(F.col("word") != "").distinct().withColumn("word_norm", normalise_name("word"))
+
+
 def q_inferred_gender(spark, d):
     male, female = name_lookups(spark)
     cust = tables.customer_table(spark, d).select("customer_id", "first_name", "last_name")

@@ -60,7 +60,7 @@ LAST = _sql_list(tables.LAST_NAMES)
 RAW_LINES = f"""raw_lines AS (
   SELECT l.l_orderkey AS order_number, l.l_orderkey * 8 + l.l_linenumber AS line_no,
          o.o_orderdate AS order_date, o.o_orderstatus AS order_status,
-         CASE WHEN n.n_nationkey % 7 <> 0 THEN n.n_name END AS city,
+         n.n_name AS city,
          c.c_name || '@example.com' AS email,
          CAST(l.l_extendedprice AS DECIMAL(18,2)) AS line_total,
          CASE WHEN o.o_orderpriority = '1-URGENT'
@@ -106,8 +106,7 @@ RECENT_ORDERS = """recent AS (
     ORDER BY year DESC LIMIT 2))"""
 
 CITY_MAP = """city_map AS (
-  SELECT n.n_name AS city, r.r_name AS county FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey
-  WHERE n.n_nationkey % 5 <> 0)"""
+  SELECT n.n_name AS city, r.r_name AS county FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey)"""
 
 REGIONAL = """regional AS (
   SELECT l.year, m.county, l.city, sum(l.line_revenue) AS revenue
@@ -179,7 +178,7 @@ SEGMENT_CASE = """CASE WHEN total_orders > 5 AND total_spent > 50000
 
 CUSTOMERS = f"""cust AS (
   SELECT c.c_custkey AS customer_id, c.c_name || '@example.com' AS email,
-         CASE WHEN n.n_nationkey % 7 <> 0 THEN n.n_name END AS city,
+         n.n_name AS city,
          ({FIRST})[c.c_custkey % 10 + 1] AS first_name,
          ({LAST})[c.c_custkey % 10 + 1] AS last_name
   FROM customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey)"""
@@ -437,6 +436,9 @@ named AS (SELECT *, {SEGMENT_CASE} AS segment FROM rec)""")
     "normalised_names": _with(CUSTOMERS) + f"""SELECT customer_id, first_name, last_name,
     {_norm(_strip('first_name'))} AS first_name_norm, {_norm(_strip('last_name'))} AS last_name_norm FROM cust""",
 
+    "normalised_words": f"""SELECT word, {_norm('word')} AS word_norm FROM (
+  SELECT DISTINCT unnest(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+')) AS word FROM documents) WHERE word <> ''""",
+
     "inferred_gender": _with(CUSTOMERS, NAMES) + _gender_select("cust", "s.customer_id, s.first_name, s.last_name"),
 
     "anonymised_customers": _with(CUSTOMERS, NAMES, "g AS (" + _gender_select(

@@ -161,7 +161,7 @@ def order_line_table(spark: SparkSession, sf_dir: str, columns: list[str] | None
         LINE_ORDINAL: lambda: F.col("l_orderkey") * F.lit(8) + F.col("l_linenumber"),
         "order_date": lambda: F.col("o_orderdate"),
         "order_status": lambda: F.col("o_orderstatus"),
-        "city": lambda: F.when(F.col("n_nationkey") % 7 != 0, F.col("n_name")),
+        "city": lambda: F.col("n_name"),
         "email": lambda: F.concat(F.col("c_name"), F.lit("@example.com")),
         "line_total": price,
         "refund_amount": lambda: F.when(
@@ -194,11 +194,10 @@ def order_line_table(spark: SparkSession, sf_dir: str, columns: list[str] | None
 
 
 def city_county_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """City -> county stand-in: nation name -> region name, nation keys % 5 = 0 left out."""
+    """City -> county stand-in: nation name -> region name."""
     nation = read_table(spark, sf_dir, "nation")
     region = read_table(spark, sf_dir, "region")
-    return (nation.filter(F.col("n_nationkey") % 5 != 0)
-            .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return (nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
             .select(F.col("n_name").alias("city"), F.col("r_name").alias("county")))
 
 
@@ -210,7 +209,7 @@ def customer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(
         F.col("c_custkey").alias("customer_id"),
         F.concat(F.col("c_name"), F.lit("@example.com")).alias("email"),
-        F.when(F.col("n_nationkey") % 7 != 0, F.col("n_name")).alias("city"),
+        F.col("n_name").alias("city"),
         *[e.alias(k) for k, e in customer_names(df).items()],
     )
 
