@@ -182,7 +182,7 @@ def _scorer(states: States, table: np.ndarray, known: np.ndarray, counts: np.nda
                 ends = np.zeros(n + 1, np.int32)
                 np.cumsum(np.bincount(row[key], minlength=n), out=ends[1:])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(bounds)), pa.array(n_known.astype(np.int64)), pa.array(plain), pa.array(model),
+                    [part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(np.diff(bounds)), pa.array(n_known.astype(np.int64)), pa.array(plain.astype(np.float64)), pa.array(model.astype(np.float64)),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(h[key].view(np.int64))), pa.ListArray.from_arrays(pa.array(ends), pa.array((s[key] - 1).astype(np.int32)))],
                     names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "rare", "cls"])
     return score
