@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm import tokens as T
@@ -30,6 +30,7 @@ MOST_TRIGRAMS = 120      # a long text's evidence is scaled to this many trigram
 STRENGTH = 5.0           # pages that a level's parent weighs
 MAX_BROADCAST_KEYS = 20_000
 PIECE = 1 << 20          # bytes scored at a time
+KEYS = ("declared", "suffix", "domain", "host")
 
 
 def trigrams(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,45 +131,52 @@ def _sums(df: DataFrame, key: str, kinds: int) -> DataFrame:
         key, F.array(*[f"s{k}" for k in range(kinds)]).alias(f"{key}_n"))
 
 
+def _fuser(names: list[str], totals: np.ndarray, min_posterior: float, kept: list[str]):
+    kinds = len(names)
+    overall = (totals + np.append(np.full(kinds - 1, (1 - OTHER_PRIOR) / (kinds - 1)), OTHER_PRIOR)) / (totals.sum() + 1.0)
+    labels = np.array([*names, "und"], dtype=object)
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        out = np.zeros((len(column), kinds))
+        out[column.is_valid().to_numpy(zero_copy_only=False)] = column.flatten().to_numpy().reshape(-1, kinds)
+        return out
+
+    def fuse_batch(batches):
+        for batch in batches:
+            post, total = matrix(batch.column("post")), matrix(batch.column("fit"))
+            own = {key: np.maximum(matrix(batch.column(f"{key}_n")) - post, 0.0) for key in KEYS}        # posteriors of the key's other pages
+            for key in KEYS:
+                own[key][batch.column(f"{key}_n").is_null().to_numpy(zero_copy_only=False)] = 0.0
+            among = {key: x.sum(1, keepdims=True) for key, x in own.items()}
+            for key in ("declared", "suffix"):                       # P(value | language), smoothed towards P(value)
+                share = np.maximum(among[key] / max(totals.sum() - 1.0, 1.0), 1e-9)
+                seen = (own[key] + STRENGTH * share) / (totals + STRENGTH)
+                total = total + np.where(among[key] > 0, np.log(seen), 0.0)
+            domain = (own["domain"] + STRENGTH * overall) / (among["domain"] + STRENGTH)
+            host = (own["host"] + STRENGTH * domain) / (among["host"] + STRENGTH)
+            total = total + np.log(host)
+            best = total.argmax(1)
+            sure = 1.0 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+            none = batch.column("grams").to_numpy() == 0
+            rejected = none | (best == kinds - 1) | (sure < min_posterior)
+            text = np.where(none, kinds, post.argmax(1))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in kept], pa.array(labels[text], pa.string()), pa.array(labels[np.where(none, kinds, best)], pa.string()),
+                 pa.array(np.where(none, 0.0, sure)), pa.array(rejected)], names=[*kept, "text_language", "language", "posterior", "rejected"])
+    return fuse_batch
+
+
 def fuse(scored: DataFrame, languages=LANGUAGES, min_posterior: float = 0.5) -> DataFrame:
-    """Adds language, posterior, text_language and rejected to the scored rows (see ``identify``)."""
+    """Adds text_language, language, posterior and rejected to the scored rows (see ``identify``)."""
     names = [*languages, "other"]
     kinds = len(names)
-    totals = scored.agg(*[F.coalesce(F.sum(F.col("post")[k]), F.lit(0.0)) for k in range(kinds)]).first()
-    every = sum(totals)
-    overall = [(x + (1.0 - OTHER_PRIOR) / (kinds - 1) if k < kinds - 1 else x + OTHER_PRIOR) / (every + 1.0) for k, x in enumerate(totals)]
+    totals = np.array(scored.agg(*[F.coalesce(F.sum(F.col("post")[k]), F.lit(0.0)) for k in range(kinds)]).first(), np.float64)
     out = scored
-    for key in ("declared", "suffix", "domain", "host"):
+    for key in KEYS:
         out = out.join(broadcast_if_small(cut(_sums(scored, key, kinds)), MAX_BROADCAST_KEYS), key, "left")
-
-    def own(key: str, k: int) -> Column:
-        """Posteriors of the key's other pages."""
-        return F.greatest(F.coalesce(F.col(f"{key}_n")[k] - F.col("post")[k], F.lit(0.0)), F.lit(0.0))
-
-    def among(key: str) -> Column:
-        return F.greatest(sum((own(key, k) for k in range(1, kinds)), own(key, 0)), F.lit(0.0))
-
-    logs = []
-    for k in range(kinds):
-        total = F.col("fit")[k]
-        for key in ("declared", "suffix"):       # P(value | language), smoothed towards P(value)
-            share = among(key) / F.lit(max(every - 1.0, 1.0))
-            seen = (own(key, k) + F.lit(STRENGTH) * F.greatest(share, F.lit(1e-9))) / F.lit(totals[k] + STRENGTH)
-            total = total + F.when(F.col(f"{key}_n").isNull() | (among(key) <= 0), F.lit(0.0)).otherwise(F.log(seen))
-        domain = (own("domain", k) + STRENGTH * overall[k]) / (among("domain") + STRENGTH)
-        host = (own("host", k) + STRENGTH * domain) / (among("host") + STRENGTH)
-        logs.append(total + F.log(host))
-    out = out.withColumns({f"l{k}": x for k, x in enumerate(logs)})
-    best = F.greatest(*[f"l{k}" for k in range(kinds)])
-    norm = sum((F.exp(F.col(f"l{k}") - F.col("best")) for k in range(1, kinds)), F.exp(F.col("l0") - F.col("best")))
-    pick = F.coalesce(*[F.when(F.col(f"l{k}") == F.col("best"), F.lit(x)) for k, x in enumerate(names)])
-    text = F.coalesce(*[F.when(F.col("post")[k] == F.array_max("post"), F.lit(x)) for k, x in enumerate(names)])
-    out = out.withColumn("best", best).withColumn("posterior", 1.0 / norm).withColumn("language", pick)
-    none = F.col("grams") == 0
-    rejected = none | (F.col("language") == "other") | (F.col("posterior") < min_posterior)
-    return out.select(*[c for c in scored.columns if c not in ("fit", "post")], F.when(none, F.lit("und")).otherwise(text).alias("text_language"),
-                      F.when(none, F.lit("und")).otherwise(F.col("language")).alias("language"),
-                      F.when(none, F.lit(0.0)).otherwise(F.col("posterior")).alias("posterior"), rejected.alias("rejected"))
+    kept = [c for c in scored.columns if c not in ("fit", "post")]
+    schema = ", ".join([f"`{c}` {t}" for c, t in scored.dtypes if c in kept] + ["text_language string", "language string", "posterior double", "rejected boolean"])
+    return out.select(*scored.columns, *[f"{key}_n" for key in KEYS]).mapInArrow(_fuser(names, totals, min_posterior, kept), schema)
 
 
 def identify(rows: DataFrame, model: np.ndarray, languages=LANGUAGES, min_posterior: float = 0.5) -> DataFrame:
