@@ -30,7 +30,7 @@ MAX_BROADCAST_LEAVES = 200_000
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, pos, tokens for each line that is not blank."""
-    masked = F.regexp_replace(F.col("line"), r"\S*\d\S*", FIELD)
+    masked = F.when(F.col("line").rlike(r"\d"), F.regexp_replace("line", r"[^\s\d]*\d\S*", FIELD)).otherwise(F.col("line"))
     split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("text_key"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("pos", "line"))
     return once(split, tokens=F.array_remove(F.split(masked, r"\s+"), "")).drop("line")
 
@@ -38,9 +38,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 def _parsed(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     """Lines with their leaf and the two hashes of their token sequence."""
     rows = _lines(docs).where(F.size("tokens") >= min_tokens)
-    rows, whole = once(rows, whole=F.array_join("tokens", " ")), F.col("whole")
     return rows.select("doc_id", "text_key", "pos", "tokens", F.size("tokens").alias("n"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"),
-                       F.xxhash64(whole).alias("a"), F.xxhash64(F.reverse(whole), F.lit(1)).alias("b"))
+                       F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(1), "tokens").alias("b"))
 
 
 def _agree(other: str, skip: int) -> Column:
