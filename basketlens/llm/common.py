@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,15 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", one).select(*df.columns, *[F.col(f"__once.{k}").alias(k) for k in columns])
 
 
+def numpy_columns(df: DataFrame) -> dict:
+    """Columns of a frame of proven bounded size, on the driver, as numpy arrays (list columns: their flattened values)."""
+    out = {}
+    for name, column in zip(df.columns, df.toArrow().combine_chunks().columns):
+        column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+        out[name] = (column.flatten() if pa.types.is_list(column.type) else column).to_numpy(zero_copy_only=False)
+    return out
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark ``df`` for broadcast only if a count shows at most ``max_rows`` rows; else the planner's shuffle join stays."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm import tokens as T
-from basketlens.llm.common import broadcast_if_small, cut
+from basketlens.llm.common import broadcast_if_small, cut, numpy_columns
 
 LANGUAGES = ("de", "en", "es", "fr")
 BUCKETS = 1 << 16
@@ -90,9 +90,10 @@ def train(docs: DataFrame, languages=LANGUAGES) -> np.ndarray:
     whose lang is one of ``languages``. The result's size is fixed, whatever the table's."""
     cells = (docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
              .where(F.col("lang").isin(list(languages)))
-             .mapInArrow(_counter(languages), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas())
+             .mapInArrow(_counter(languages), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")))
+    cells = numpy_columns(cells)
     counts = np.zeros(len(languages) * BUCKETS)
-    counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    counts[cells["cell"]] = cells["n"]
     counts = counts.reshape(len(languages), BUCKETS) + SMOOTHING
     table = np.log(counts / counts.sum(1, keepdims=True))
     return np.vstack([table, np.full((1, BUCKETS), -np.log(BUCKETS))]).astype(np.float32)

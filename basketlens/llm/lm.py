@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm import tokens as T
-from basketlens.llm.common import cut
+from basketlens.llm.common import cut, numpy_columns
 
 CLASSES = 64             # classes of the less frequent tokens
 STATES = 1024            # all states: end, classes, single tokens
@@ -207,9 +207,19 @@ def score_texts(docs: DataFrame, dims: int = 24, seed: int = 4) -> DataFrame:
     train = rows.where(~F.col("held_out")).select("text")
     counts = cut(train.mapInArrow(_count, "h long, cls int, n long").groupBy("h").agg(F.sum("n").alias("n"), F.min("cls").alias("cls")))
     n_all, v_all = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    head = counts.orderBy(F.desc("n"), "h").limit(HEAD).toPandas()          # HEAD rows at most
-    words = head[head["h"] != int(END.view(np.int64))]
-    single = words["h"].to_numpy().view(np.uint64)[:SINGLE]
+    # the tokens above a frequency that at most HEAD tokens reach, from a histogram of frequencies
+    level = F.floor(F.log2("n") * 16).cast("int")
+    histogram = sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True)         # 64 * 16 rows at most
+    least, held = 1 << 20, 0
+    for x, n in histogram:
+        held += n
+        if held > HEAD:
+            break
+        least = x
+    head = numpy_columns(counts.where(level >= least).select("h", "n", "cls"))
+    frequent = np.lexsort((head["h"], -head["n"]))
+    frequent = frequent[head["h"][frequent] != int(END)]
+    single = head["h"][frequent[:SINGLE]].view(np.uint64)
     states = States(single)
 
     in_class = counts.join(F.broadcast(docs.sparkSession.createDataFrame([(int(x),) for x in single.view(np.int64)] or [(0,)], "h long")), "h", "left_anti").where(f"h != {int(END)}")
@@ -217,23 +227,24 @@ def score_texts(docs: DataFrame, dims: int = 24, seed: int = 4) -> DataFrame:
     class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
     for cls, n, v in per_class:
         class_n[cls], class_v[cls] = n, v
-    cells = train.mapInArrow(_pairs(states), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()    # STATES * STATES rows at most
+    cells = train.mapInArrow(_pairs(states), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    cells = numpy_columns(cells)                                              # STATES * STATES rows at most
     pairs = np.zeros(STATES * STATES)
-    pairs[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    pairs[cells["cell"]] = cells["n"]
     table = log_table(*train_nce(pairs.reshape(STATES, STATES), dims=dims, seed=seed))
 
     total = n_all + SMOOTH * (v_all + 1)
     class_total = class_n + SMOOTH * (class_v + 1)
-    order = np.argsort(head["h"].to_numpy().view(np.uint64), kind="stable")
-    known, n = head["h"].to_numpy().view(np.uint64)[order], head["n"].to_numpy(np.float64)[order]
-    cls = head["cls"].to_numpy(np.int64)[order]
+    order = np.argsort(head["h"].view(np.uint64), kind="stable")
+    known, n = head["h"].view(np.uint64)[order], head["n"].astype(np.float64)[order]
+    cls = head["cls"].astype(np.int64)[order]
     one = np.isin(known, states.single) | (known == END)
     inner = np.where(one, 0.0, np.log10((n + SMOOTH) / class_total[np.maximum(cls, 0)]))
     scored = cut(rows.mapInArrow(_scorer(states, table, known, n, np.log10((n + SMOOTH) / total), inner),
                                  "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<long>, cls array<int>"))
 
     rare = scored.select("row", F.explode(F.arrays_zip(F.col("rare").alias("h"), F.col("cls").alias("cls"))).alias("x")).select("row", "x.h", "x.cls").groupBy("row", "h", "cls").agg(F.count(F.lit(1)).alias("k"))
-    found = rare.join(counts.select("h", "n").where(f"n <= {int(head['n'].min()) if len(head) else 0}"), "h", "left")
+    found = rare.join(counts.where(level < least).select("h", "n"), "h", "left")
     by_class = F.array(*[F.lit(float(x)) for x in class_total])
     c = F.coalesce(F.col("n"), F.lit(0))
     tail = found.groupBy("row").agg(

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm import tokens as T
-from basketlens.llm.common import broadcast_if_small, cut, text_key
+from basketlens.llm.common import broadcast_if_small, cut, numpy_columns, text_key
 
 DOMAINS = ("good", "low", "toxic")
 TARGETS = {"good": 0.9, "low": 0.1, "toxic": 0.0}
@@ -140,8 +140,9 @@ def train(docs: DataFrame, labels: DataFrame, most_features: int = MOST_FEATURES
     known = cut(known)
     base = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("text"))
     cells = (base.join(broadcast_if_small(known, MAX_BROADCAST_LABELS), "__id").select("text", "domain")
-             .mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("cell < 0 or n >= 2").toPandas())     # a fixed number of cells
-    cell, n = cells["cell"].to_numpy(), cells["n"].to_numpy(np.float64)
+             .mapInArrow(_count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("cell < 0 or n >= 2"))
+    cells = numpy_columns(cells)               # a fixed number of cells
+    cell, n = cells["cell"], cells["n"].astype(np.float64)
     classes = np.zeros(len(DOMAINS))
     classes[-1 - cell[cell < 0]] = n[cell < 0]
     counts = np.zeros(len(DOMAINS) * FEATURES)
@@ -150,10 +151,10 @@ def train(docs: DataFrame, labels: DataFrame, most_features: int = MOST_FEATURES
     if not len(table):
         return table, np.hstack([np.zeros((len(DOMAINS), 0)), np.log((classes + 0.5) / (classes.sum() + 0.5 * len(DOMAINS)))[:, None]])
     some = known.join(base.select("__id").distinct(), "__id", "left_semi").orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
-    drawn = base.join(F.broadcast(cut(some)), "__id").select("text", "domain").mapInArrow(_chosen(table), "domain long, x array<int>").toPandas()
-    rows = np.repeat(np.arange(len(drawn)), [len(x) for x in drawn["x"]])
-    at = np.concatenate([np.asarray(x, np.int64) for x in drawn["x"]]) if len(rows) else np.zeros(0, np.int64)
-    return table, regress(drawn["domain"].to_numpy(np.int64), rows, at, len(table))
+    drawn = base.join(F.broadcast(cut(some)), "__id").select("text", "domain").mapInArrow(_chosen(table), "domain long, x array<int>")
+    drawn = numpy_columns(drawn.select("domain", F.size("x").alias("n"), "x"))      # sample_rows rows at most
+    rows = np.repeat(np.arange(len(drawn["n"])), drawn["n"])
+    return table, regress(drawn["domain"].astype(np.int64), rows, drawn["x"].astype(np.int64), len(table))
 
 
 def _classifier(table: np.ndarray, weights: np.ndarray):

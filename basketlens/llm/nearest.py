@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from basketlens.llm.common import cut
+from basketlens.llm.common import cut, numpy_columns
 
 SAMPLE = 16_384       # projections that the cells are fitted on; every row is indexed
 CELLS = 1024          # most cells
@@ -199,11 +199,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, directions: int = 10, con
         for b in batches:
             yield pa.RecordBatch.from_arrays([lists(project(flat(b), b.column("norm").to_numpy()))], names=["p"])
 
-    some = rows.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(SAMPLE).select("v", "norm").mapInArrow(sampled, "p array<double>").toPandas()
+    some = rows.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(SAMPLE).select("v", "norm").mapInArrow(sampled, "p array<double>")
     leaves = 1
     while leaves < CELLS and leaves * ROWS < n:
         leaves *= 2
-    tree = split_tree(_matrix(some["p"], directions), leaves)
+    tree = split_tree(numpy_columns(some)["p"].reshape(-1, directions), leaves)          # SAMPLE rows at most
 
     def indexed(batches):
         for b in batches:
