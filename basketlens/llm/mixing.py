@@ -208,7 +208,8 @@ def _totals(memberships: DataFrame, steps: list[np.ndarray], max_rate: float, k:
 def fit(memberships: DataFrame, targets: dict[str, float], total: float | None = None, max_rate: float = 1.0,
         steps: int = 25, tolerance: float = 1e-6) -> tuple[list[np.ndarray], dict]:
     """(steps, report): the gradient steps from which every document's rate is replayed; wanted, reached and natural
-    tokens by domain. ``total`` defaults to the most tokens that meet the weights without repeating a domain."""
+    tokens by domain. ``total`` defaults to the tokens at which the domain of the largest weight is kept whole. No domain
+    is asked for more than its tokens at ``max_rate``: a scarce one falls short, and the others are not cut for it."""
     names = list(targets)
     k = len(names)
     weight = np.array([targets[x] for x in names], np.float64)
@@ -219,8 +220,8 @@ def fit(memberships: DataFrame, targets: dict[str, float], total: float | None =
     now, moments = _totals(memberships, done, max_rate, k)
     natural = now.copy()
     if total is None:
-        total = float(np.min(natural[weight > 0] / weight[weight > 0]))
-    wanted = weight * total
+        total = float(natural[weight.argmax()] / weight.max())
+    wanted = np.minimum(weight * total, natural * max(max_rate, 1.0))
     scale = np.linalg.pinv(moments + np.eye(k) * 1e-9 * max(np.trace(moments), 1e-12))
     best = (np.inf, done)
     for _ in range(steps):
@@ -254,14 +255,16 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     copies is the rate rounded up or down by a seeded hash of the row, so that
     its expectation is the rate; a rate of 0 gives none. Null and empty texts
     have no tokens and the prior's posteriors. Rows that repeat are decided
-    alike. An empty table stays empty; without labels all domains are alike.
+    alike. An empty table stays empty. Where the labels tell no domains apart
+    (or there are none) and no ``total`` is given, every row is kept.
     """
     targets = TARGETS if targets is None else targets
     if set(targets) != set(DOMAINS):
         raise ValueError(f"targets must name {DOMAINS}")
     targets = {x: targets[x] for x in DOMAINS}
-    rows = memberships(docs, *train(docs, labels))
-    steps, _ = fit(rows, targets, total, max_rate)
+    features, weights = train(docs, labels)
+    rows = memberships(docs, features, weights)
+    steps = fit(rows, targets, total, max_rate)[0] if len(features) or total is not None else []
 
     def rated(batches):
         for batch in batches:

@@ -68,3 +68,25 @@ def test_nulls_repeats_empty_tables_and_bad_targets(spark):
     assert {r.copies for r in mix(documents(spark, rows[:5]), table.limit(0)).collect()} <= {0, 1}
     with pytest.raises(ValueError):
         mix(docs, table, {"good": 1.0})
+
+
+@pytest.mark.parametrize("n_low", [20, 4, 0])
+def test_scarce_low_quality_does_not_cut_clean_documents(spark, n_low):
+    """Low at 5, 1 and 0 percent, toxic at 5: what is clean stays, what is toxic goes."""
+    rng = np.random.default_rng(17)
+    kinds = [1] * n_low + [2] * 20 + [0] * (380 - n_low)
+    texts = [prose(rng, int(rng.integers(30, 120))) for _ in kinds]
+    rows = [(i, t if k == 0 else t.upper() + "!!" if k == 1 else t + " idiot scum") for i, (k, t) in enumerate(zip(kinds, texts))]
+    labels = [(i, int(k != 1), int(k == 2), "x", "y", 1) for i, k in enumerate(kinds)]
+    docs, table = documents(spark, rows), spark.createDataFrame(labels, LABELS)
+    rates = {r.doc_id: r.rate for r in mix(docs, table).collect()}
+    assert np.mean([rates[i] for i, k in enumerate(kinds) if k == 0]) > 0.97
+    assert np.mean([rates[i] for i, k in enumerate(kinds) if k == 2]) < 0.1
+    kept = {r.doc_id for r in sample(docs, table).select("doc_id").collect()}
+    assert sum(i in kept for i, k in enumerate(kinds) if k == 0) > 0.95 * kinds.count(0)
+
+
+def test_without_labels_every_document_stays(spark):
+    rows, labels, _ = corpus()
+    docs, none = documents(spark, rows), spark.createDataFrame(labels, LABELS).limit(0)
+    assert {r.copies for r in mix(docs, none).collect()} == {1} and sample(docs, none).count() == len(rows)
