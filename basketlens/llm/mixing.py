@@ -129,7 +129,8 @@ def regress(domain: np.ndarray, rows: np.ndarray, at: np.ndarray, width: int, st
 
 def train(docs: DataFrame, labels: DataFrame, most_features: int = MOST_FEATURES, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """(features, weights) learnt from ``labels``. Features are chosen by counts over every labelled row of ``docs``; the
-    weights are fitted on at most ``sample_rows`` labelled rows, the first in the order of a hash of doc_id.
+    weights are fitted on at most ``sample_rows`` labelled rows, the first in the order of a hash of doc_id, with one row (the smallest
+    text_key) for an id that repeats.
 
     A label without quality or toxic counts for nothing; of several for one
     document the worst holds. Without labels all domains are alike.
@@ -151,7 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, most_features: int = MOST_FEATURES
     if not len(table):
         return table, np.hstack([np.zeros((len(DOMAINS), 0)), np.log((classes + 0.5) / (classes.sum() + 0.5 * len(DOMAINS)))[:, None]])
     some = known.join(base.select("__id").distinct(), "__id", "left_semi").orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
-    drawn = base.join(F.broadcast(cut(some)), "__id").select("text", "domain").mapInArrow(_chosen(table), "domain long, x array<int>")
+    drawn = base.join(F.broadcast(cut(some)), "__id").groupBy("__id").agg(F.min_by("text", text_key(F.col("text"))).alias("text"), F.any_value("domain").alias("domain"))
+    drawn = drawn.select("text", "domain").mapInArrow(_chosen(table), "domain long, x array<int>")
     drawn = numpy_columns(drawn.select("domain", F.size("x").alias("n"), "x"))      # sample_rows rows at most
     rows = np.repeat(np.arange(len(drawn["n"])), drawn["n"])
     return table, regress(drawn["domain"].astype(np.int64), rows, drawn["x"].astype(np.int64), len(table))

@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from basketlens.llm import mixing
 from basketlens.llm.mixing import DOMAINS, memberships, mix, replay, sample, train
 from helpers import documents, prose
 
@@ -90,3 +91,13 @@ def test_without_labels_every_document_stays(spark):
     rows, labels, _ = corpus()
     docs, none = documents(spark, rows), spark.createDataFrame(labels, LABELS).limit(0)
     assert {r.copies for r in mix(docs, none).collect()} == {1} and sample(docs, none).count() == len(rows)
+
+
+def test_fitted_sample_has_one_row_per_repeated_id(spark, monkeypatch):
+    rows, labels, _ = corpus()
+    rows += [(i, f"{rows[i][1]} copy {j}") for i in (1, 3, 5) for j in range(150)]
+    seen, real = [], mixing.regress
+    monkeypatch.setattr(mixing, "regress", lambda domain, *rest: seen.append(len(domain)) or real(domain, *rest))
+    labels = labels[:6]
+    train(documents(spark, rows), spark.createDataFrame([(i, int(i != 3), int(i == 5), "x", "y", 1) for i, *_ in labels], LABELS), sample_rows=6)
+    assert seen == [6]
