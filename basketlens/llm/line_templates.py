@@ -1,15 +1,15 @@
 """Line dedup with a log-template tree (operator 2), DataFrame functions only.
 
 Every line of ``min_tokens`` tokens or more is parsed down a tree of fixed
-depth: its token count, then its first ``depth`` tokens. Tokens with digits
-are fields (``<*>``) from the start. Lines that reach one leaf with the same
-tokens are one template. In leaves of longer lines (``field_tokens``) with
-several token sequences, variable fields are generalised: the sequence that
-holds most of the positions' most frequent tokens is taken for typical, and
-every sequence that agrees with it in ``similarity`` of the positions behind
-the leading ones belongs to its template; what is left gets a template in the next of ``rounds`` rounds, and the rest
-are templates by themselves. A template that occurs in two documents or more
-recurs, and all its lines are dropped; other lines stay as they are.
+depth: its token count, then its first ``depth`` tokens. Tokens with
+digits are fields (``<*>``) from the start. Lines that reach one leaf with the
+same tokens are one template. From ``field_tokens`` tokens on, two sequences of
+a leaf that agree in ``similarity`` of the positions behind the leading ones
+belong to one template, too. Two such sequences share a segment of tokens, so
+each is compared with those that share one; no leaf has a limit of templates.
+A sequence recurs that occurs in two documents, or agrees with one of another
+document, or with a sequence that recurs so; all its lines are dropped, and
+other lines stay as they are.
 
 Leaves and lines are shuffled as 64-bit hashes and combined before the
 shuffle, so a line that a third of all documents hold is a few rows. Only
@@ -19,7 +19,7 @@ shuffled once, to meet the places of its dropped lines.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlens.llm.common import broadcast_if_small, cut, once, text_key
@@ -35,49 +35,77 @@ def _lines(docs: DataFrame) -> DataFrame:
     return once(split, tokens=F.array_remove(F.split(masked, r"\s+"), "")).drop("line")
 
 
-def _parsed(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """Lines with their leaf and the two hashes of their token sequence."""
-    rows = _lines(docs).where(F.size("tokens") >= min_tokens)
-    return rows.select("doc_id", "text_key", "pos", "tokens", F.size("tokens").alias("n"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"),
+def _parsed(docs: DataFrame, depth: int, min_tokens: int, field_tokens: int) -> DataFrame:
+    """Lines with their number of leading tokens, their leaf and the two hashes of their token sequence."""
+    rows = _lines(docs).where(F.size("tokens") >= max(min_tokens, 1)).withColumn("n", F.size("tokens"))
+    lead = F.least(F.lit(depth), F.col("n"))
+    return rows.select("doc_id", "text_key", "pos", "tokens", "n", lead.alias("lead"), F.xxhash64("n", F.slice("tokens", F.lit(1), lead)).alias("leaf"),
                        F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(1), "tokens").alias("b"))
 
 
-def _agree(other: str, skip: int) -> Column:
-    """Positions, the first ``skip`` aside, at which ``tokens`` and another array of the leaf hold the same token."""
-    pairs = F.arrays_zip(F.slice("tokens", skip + 1, F.size("tokens")).alias("x"), F.slice(other, skip + 1, F.size(other)).alias("y"))
-    return F.size(F.filter(pairs, lambda z: z["x"] == z["y"]))
+def _segments(similarity: float) -> Column:
+    """Hashes of the segments of ``tokens`` behind the leading ones: one segment more than two sequences of a template may
+    differ in positions, so any two that agree well enough share a segment."""
+    m = F.col("n") - F.col("lead")
+    parts = (F.floor(m * (1 - similarity) + 1e-9) + 1).cast("int")
+    start = lambda j: F.floor(j * m / parts).cast("int")
+    return F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.xxhash64("leaf", j, F.slice("tokens", F.col("lead") + 1 + start(j), start(j + 1) - start(j))))
 
 
-def templates(docs: DataFrame, depth: int = 3, min_tokens: int = 5, field_tokens: int = 8, similarity: float = 0.75, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def _links(live: DataFrame, info: DataFrame, seeds: DataFrame, similarity: float) -> DataFrame:
+    """sa, sb, a, b, spans: the sequences that agree with each seed (itself among them), of all that share a segment with
+    it; spans tells whether the two occur in two documents."""
+    keys = live.join(seeds, ["a", "b"], "left_semi").select("key", F.col("a").alias("sa"), F.col("b").alias("sb"))
+    pairs = live.select("key", "a", "b").join(keys, "key").select("sa", "sb", "a", "b").distinct()
+    other = info.select(F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("tokens").alias("seed"), F.col("low").alias("slow"), F.col("high").alias("shigh"))
+    both = pairs.join(other, ["sa", "sb"]).join(info, ["a", "b"])
+    same = F.size(F.filter(F.arrays_zip(F.col("tokens").alias("x"), F.col("seed").alias("y")), lambda z: z["x"] == z["y"])) - F.col("lead")
+    return both.where(same + 1e-9 >= similarity * (F.col("n") - F.col("lead"))).select("sa", "sb", "a", "b", (F.least("low", "slow") < F.greatest("high", "shigh")).alias("spans"))
+
+
+def templates(docs: DataFrame, depth: int = 3, min_tokens: int = 5, field_tokens: int = 8, similarity: float = 0.75) -> tuple[DataFrame, DataFrame]:
     """(lines, found). lines: doc_id, text_key, pos, leaf, a, b of each parsed line. found: leaf, a, b, template (the
-    generalised tokens; null for a sequence that is a template by itself), round, recurs, a row per distinct sequence."""
-    lines = cut(_parsed(docs, depth, min_tokens).select("doc_id", "text_key", "pos", "n", "leaf", "a", "b"))
+    generalised tokens; null for a sequence that is a template by itself), recurs, a row per distinct sequence."""
+    lines = cut(_parsed(docs, depth, min_tokens, field_tokens).select("doc_id", "text_key", "pos", "n", "leaf", "a", "b"))
     who = F.xxhash64("doc_id", "text_key")
     exact = cut(lines.groupBy("leaf", "a", "b").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("times"), F.min(who).alias("low"), F.max(who).alias("high")))
-    leaves = (exact.where(F.col("n") >= field_tokens).groupBy("leaf").agg(F.count(F.lit(1)).alias("k"), F.min("low").alias("low"), F.max("high").alias("high"))
+    leaves = (exact.where((F.col("n") >= field_tokens) & (F.col("n") > 4)).groupBy("leaf").agg(F.count(F.lit(1)).alias("k"), F.min("low").alias("low"), F.max("high").alias("high"))
               .where("k > 1 and low < high").select("leaf"))
     leaves = broadcast_if_small(cut(leaves), MAX_BROADCAST_LEAVES)
-    several = _parsed(docs, depth, min_tokens).select("leaf", "a", "b", "tokens").join(leaves, "leaf", "left_semi").groupBy("leaf", "a", "b").agg(F.any_value("tokens").alias("tokens"))
-    left = cut(several.join(exact, ["leaf", "a", "b"]))
-    found = []
-    for k in range(rounds):
-        tokens = left.select("leaf", "times", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.sum("times").alias("times"))
-        mode = tokens.groupBy("leaf", "at").agg(F.max(F.struct("times", "token")).alias("m"))
-        mode = mode.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "m.token"))), lambda x: x["token"]).alias("mode"))
-        typical = left.join(mode, "leaf").groupBy("leaf").agg(F.max_by("tokens", F.struct(_agree("mode", 0), "times", "a", "b")).alias("seed"))
-        tried = cut(left.join(typical, "leaf").withColumn("fits", _agree("seed", depth) >= similarity * (F.size("tokens") - depth)).drop("seed"))
-        mine = tried.where("fits")
-        common = mine.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at").agg(F.min("token").alias("p"), F.max("token").alias("q"))
-        common = common.groupBy("leaf").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "p", "q"))), lambda x: F.when(x["p"] == x["q"], x["p"]).otherwise(FIELD)).alias("template"))
-        spread = mine.groupBy("leaf").agg((F.min("low") < F.max("high")).alias("recurs"))
-        found.append(mine.select("leaf", "a", "b").join(common.join(spread, "leaf"), "leaf").select("leaf", "a", "b", "template", F.lit(k).alias("round"), "recurs"))
-        left = tried.where("not fits").drop("fits")
-    general = found[0]
-    for f in found[1:]:
-        general = general.unionByName(f)
-    general = cut(general)
-    alone = exact.join(general, ["leaf", "a", "b"], "left_anti").select("leaf", "a", "b", F.lit(None).cast("array<string>").alias("template"), F.lit(-1).alias("round"), (F.col("low") < F.col("high")).alias("recurs"))
-    return lines, general.unionByName(alone)
+    several = _parsed(docs, depth, min_tokens, field_tokens).select("leaf", "a", "b", "tokens", "lead").join(leaves, "leaf", "left_semi").groupBy("leaf", "a", "b").agg(F.any_value("tokens").alias("tokens"), F.any_value("lead").alias("lead"))
+    several = cut(several.join(exact, ["leaf", "a", "b"]))
+    segments = several.select("a", "b", "times", "low", "high", F.explode(_segments(similarity)).alias("key"))
+    shared = segments.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("low").alias("l"), F.max("high").alias("h"), F.max(F.struct("times", "a", "b")).alias("head")).where("k > 1 and l < h")
+    live = cut(segments.join(shared.select("key", "head"), "key"))
+    info = cut(several.join(live.select("a", "b").distinct(), ["a", "b"], "left_semi"))
+    seeds = cut(live.select("head.a", "head.b").distinct())
+    links = tried = None
+    most = 8                  # seeds a segment and round; eight times as many in each next round, so rounds grow with the logarithm
+    while seeds.limit(1).count():
+        new = cut(_links(live, info, seeds, similarity))
+        links = new if links is None else cut(links.unionByName(new))
+        tried = seeds if tried is None else cut(tried.unionByName(seeds))
+        met = links.where("spans")
+        done = met.select("a", "b").unionByName(met.select(F.col("sa").alias("a"), F.col("sb").alias("b"))).unionByName(tried).distinct()
+        rest = live.where("low = high").join(done, ["a", "b"], "left_anti")
+        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("times"), "a", "b"))
+        seeds = cut(rest.withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b").distinct())
+        most *= 8
+    alone = exact.select("leaf", "a", "b", (F.col("low") < F.col("high")).alias("own"))
+    if links is None:
+        return lines, alone.select("leaf", "a", "b", F.lit(None).cast("array<string>").alias("template"), F.col("own").alias("recurs"))
+    both = links.where("not (sa = a and sb = b)")
+    both = cut(both.unionByName(both.select(F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("sa").alias("a"), F.col("sb").alias("b"), "spans")).distinct())
+    direct = both.where("spans").select("a", "b").unionByName(alone.where("own").select("a", "b")).distinct()
+    recurring = cut(direct.unionByName(both.join(direct.select(F.col("a").alias("sa"), F.col("b").alias("sb")), ["sa", "sb"], "left_semi").select("a", "b")).distinct())
+    # A template's seed is the one that most sequences of its links agree with; its tokens are those that all of them share.
+    size = links.groupBy("sa", "sb").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    mine = links.join(size, ["sa", "sb"]).groupBy("a", "b").agg(F.max(F.struct("k", "sa", "sb")).alias("s")).select("a", "b", "s.sa", "s.sb")
+    common = mine.join(info.select("a", "b", "tokens"), ["a", "b"]).select("sa", "sb", F.posexplode("tokens").alias("at", "token")).groupBy("sa", "sb", "at").agg(F.min("token").alias("p"), F.max("token").alias("q"))
+    common = common.groupBy("sa", "sb").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "p", "q"))), lambda x: F.when(x["p"] == x["q"], x["p"]).otherwise(FIELD)).alias("template"))
+    named = mine.join(common, ["sa", "sb"]).select("a", "b", "template")
+    found = alone.join(named, ["a", "b"], "left").join(recurring.withColumn("linked", F.lit(True)), ["a", "b"], "left")
+    return lines, found.select("leaf", "a", "b", "template", F.coalesce("linked", "own").alias("recurs"))
 
 
 def drop_recurring(docs: DataFrame, **options) -> DataFrame:

@@ -62,3 +62,11 @@ def test_several_templates_in_a_leaf(spark):
     rows = [(i, (words_a if i % 2 else words_b).format(chr(97 + i) * 3)) for i in range(10)]
     assert all(r.n_dropped == 1 for r in drop_recurring(documents(spark, rows)).collect())
     assert prose(np.random.default_rng(1), 3)
+
+
+def test_five_templates_in_a_leaf(spark):
+    ends = [" ".join(letters(np.random.default_rng(k), 1) for _ in range(5)) for k in range(5)]
+    rows = [(i, f"click here to {letters(np.random.default_rng(50 + i), 1)} {ends[i % 5]}") for i in range(10)]
+    rows += [(20 + i, f"click here to {letters(np.random.default_rng(80 + i), 6)}") for i in range(4)]
+    got = {r.doc_id: r.n_dropped for r in drop_recurring(documents(spark, rows)).collect()}
+    assert got == {i: int(i < 10) for i, _ in rows}
