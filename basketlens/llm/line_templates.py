@@ -1,7 +1,8 @@
 """Line dedup with a log-template tree (operator 2), DataFrame functions only.
 
 Every line of ``min_tokens`` tokens or more is parsed down a tree of fixed
-depth: its token count, then its first ``depth`` tokens. Tokens with
+depth: its token count, then its first ``depth`` tokens (fewer in lines of
+``field_tokens`` to six tokens, so that four are left behind them). Tokens with
 digits are fields (``<*>``) from the start. Lines that reach one leaf with the
 same tokens are one template. From ``field_tokens`` tokens on, two sequences of
 a leaf that agree in ``similarity`` of the positions behind the leading ones
@@ -38,7 +39,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 def _parsed(docs: DataFrame, depth: int, min_tokens: int, field_tokens: int) -> DataFrame:
     """Lines with their number of leading tokens, their leaf and the two hashes of their token sequence."""
     rows = _lines(docs).where(F.size("tokens") >= max(min_tokens, 1)).withColumn("n", F.size("tokens"))
-    lead = F.least(F.lit(depth), F.col("n"))
+    lead = F.when(F.col("n") >= field_tokens, F.least(F.lit(depth), F.greatest(F.col("n") - 4, F.lit(1)))).otherwise(F.least(F.lit(depth), F.col("n")))
     return rows.select("doc_id", "text_key", "pos", "tokens", "n", lead.alias("lead"), F.xxhash64("n", F.slice("tokens", F.lit(1), lead)).alias("leaf"),
                        F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(1), "tokens").alias("b"))
 
@@ -63,7 +64,7 @@ def _links(live: DataFrame, info: DataFrame, seeds: DataFrame, similarity: float
     return both.where(same + 1e-9 >= similarity * (F.col("n") - F.col("lead"))).select("sa", "sb", "a", "b", (F.least("low", "slow") < F.greatest("high", "shigh")).alias("spans"))
 
 
-def templates(docs: DataFrame, depth: int = 3, min_tokens: int = 5, field_tokens: int = 8, similarity: float = 0.75) -> tuple[DataFrame, DataFrame]:
+def templates(docs: DataFrame, depth: int = 3, min_tokens: int = 5, field_tokens: int = 5, similarity: float = 0.75) -> tuple[DataFrame, DataFrame]:
     """(lines, found). lines: doc_id, text_key, pos, leaf, a, b of each parsed line. found: leaf, a, b, template (the
     generalised tokens; null for a sequence that is a template by itself), recurs, a row per distinct sequence."""
     lines = cut(_parsed(docs, depth, min_tokens, field_tokens).select("doc_id", "text_key", "pos", "n", "leaf", "a", "b"))

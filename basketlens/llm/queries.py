@@ -16,7 +16,7 @@ def op1_nearest(spark, sf_dir):
 
 
 def op2_line_templates(spark, sf_dir):
-    return line_templates.drop_recurring(table(spark, sf_dir, "documents"))
+    return line_templates.drop_recurring(table(spark, sf_dir, "documents"), min_tokens=1)
 
 
 def op3_decontaminate(spark, sf_dir):

@@ -64,6 +64,36 @@ def test_several_templates_in_a_leaf(spark):
     assert prose(np.random.default_rng(1), 3)
 
 
+def brute_links(rows, depth=3, field=5, similarity=0.75):
+    """Number of dropped lines of each row, all lines compared with all others."""
+    where = defaultdict(set)
+    for row in rows:
+        for line in row[1].split("\n"):
+            if line.split():
+                where[tuple("<*>" if any(c.isdigit() for c in x) else x for x in line.split())].add(row)
+
+    def agree(x, y):
+        n = len(x)
+        lead = min(depth, n - 4) if n > 4 else n
+        return n == len(y) and n >= field and x[:lead] == y[:lead] and sum(p == q for p, q in zip(x[lead:], y[lead:])) >= similarity * (n - lead)
+
+    near = {x: [y for y in where if x == y or agree(x, y)] for x in where}
+    direct = {x for x in where if any(len(where[x] | where[y]) > 1 for y in near[x])}
+    recurs = {x for x in where if any(y in direct for y in near[x])}
+    return sorted(sum(tuple("<*>" if any(c.isdigit() for c in x) else x for x in line.split()) in recurs for line in t.split("\n")) for _, t in rows)
+
+
+def test_short_and_long_lines_same_as_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(40):
+        lines = ["All rights reserved.", f"Posted by {letters(rng, 1)} in category music", letters(rng, 2), "Home"][: int(rng.integers(0, 5))]
+        lines += [" ".join(["see the list"] + [str(x) for x in rng.choice(["red", "green", "blue"], int(rng.integers(1, 9)), p=[0.8, 0.1, 0.1])]) for _ in range(4)]
+        rows.append((i, "\n".join(lines)))
+    got = sorted(r.n_dropped for r in drop_recurring(documents(spark, rows), min_tokens=1).collect())
+    assert got == brute_links(rows)
+
+
 def test_five_templates_in_a_leaf(spark):
     ends = [" ".join(letters(np.random.default_rng(k), 1) for _ in range(5)) for k in range(5)]
     rows = [(i, f"click here to {letters(np.random.default_rng(50 + i), 1)} {ends[i % 5]}") for i in range(10)]
