@@ -27,6 +27,7 @@ from basketlens.llm.common import broadcast_if_small, cut, once, text_key
 
 FIELD = "<*>"
 MAX_BROADCAST_LEAVES = 200_000
+CROWD = 64                # sequences of a segment beyond which it is split once more
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -44,24 +45,58 @@ def _parsed(docs: DataFrame, depth: int, min_tokens: int, field_tokens: int) ->
                        F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(1), "tokens").alias("b"))
 
 
-def _segments(similarity: float) -> Column:
-    """Hashes of the segments of ``tokens`` behind the leading ones: one segment more than two sequences of a template may
-    differ in positions, so any two that agree well enough share a segment."""
+def _spans(size, parts, j) -> tuple[Column, Column]:
+    """Start and length of the j-th of ``parts`` nearly equal segments of ``size`` tokens."""
+    start = F.floor(j * size / parts).cast("int")
+    return start, F.floor((j + 1) * size / parts).cast("int") - start
+
+
+def _segments(several: DataFrame, similarity: float) -> DataFrame:
+    """key (hash of a segment of ``tokens`` behind the leading ones), parts and j for each segment. There is one segment more
+    than two sequences of a template may differ in positions, so any two that agree well enough share a segment."""
     m = F.col("n") - F.col("lead")
-    parts = (F.floor(m * (1 - similarity) + 1e-9) + 1).cast("int")
-    start = lambda j: F.floor(j * m / parts).cast("int")
-    return F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.xxhash64("leaf", j, F.slice("tokens", F.col("lead") + 1 + start(j), start(j + 1) - start(j))))
+    rows = several.withColumn("parts", (F.floor(m * (1 - similarity) + 1e-9) + 1).cast("int"))
+
+    def key(j):
+        start, size = _spans(m, F.col("parts"), j)
+        return F.xxhash64("leaf", j, F.slice("tokens", F.col("lead") + 1 + start, size))
+
+    return rows.select("a", "b", "times", "low", "high", "parts", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), key)).alias("j", "key"))
+
+
+def _split(crowd: DataFrame) -> DataFrame:
+    """The entries of crowded segments by the segments of the remaining tokens, of which two that agree share one, too."""
+    start, size = _spans(F.col("n") - F.col("lead"), F.col("parts"), F.col("j"))
+    from_ = F.col("lead") + 1
+    rest = F.concat(F.slice("tokens", from_, start), F.slice("tokens", from_ + start + size, F.col("n")))
+    rows = once(crowd, rest=rest)
 
+    def key(j):
+        start, size = _spans(F.size("rest"), F.col("parts"), j)
+        return F.xxhash64("key", j, F.slice("rest", start + 1, size))
 
-def _links(live: DataFrame, info: DataFrame, seeds: DataFrame, similarity: float) -> DataFrame:
-    """sa, sb, a, b, spans: the sequences that agree with each seed (itself among them), of all that share a segment with
-    it; spans tells whether the two occur in two documents."""
-    keys = live.join(seeds, ["a", "b"], "left_semi").select("key", F.col("a").alias("sa"), F.col("b").alias("sb"))
-    pairs = live.select("key", "a", "b").join(keys, "key").select("sa", "sb", "a", "b").distinct()
+    return rows.select("a", "b", "times", "low", "high", "parts", "j", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), key)).alias("key"))
+
+
+def _shared(segments: DataFrame) -> DataFrame:
+    """The entries of segments that several sequences share, in two documents or more, with their number and the most frequent one."""
+    keys = segments.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("low").alias("l"), F.max("high").alias("h"), F.max(F.struct("times", "a", "b")).alias("head"))
+    return cut(segments.join(keys.where("k > 1 and l < h").select("key", "k", F.col("head.a").alias("sa"), F.col("head.b").alias("sb")), "key"))
+
+
+def _links(pairs: DataFrame, info: DataFrame, similarity: float) -> DataFrame:
+    """sa, sb, a, b, spans: the pairs (seed, sequence) that agree; spans tells whether the two occur in two documents."""
     other = info.select(F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("tokens").alias("seed"), F.col("low").alias("slow"), F.col("high").alias("shigh"))
-    both = pairs.join(other, ["sa", "sb"]).join(info, ["a", "b"])
+    both = pairs.select("sa", "sb", "a", "b").distinct().join(other, ["sa", "sb"]).join(info, ["a", "b"])
     same = F.size(F.filter(F.arrays_zip(F.col("tokens").alias("x"), F.col("seed").alias("y")), lambda z: z["x"] == z["y"])) - F.col("lead")
-    return both.where(same + 1e-9 >= similarity * (F.col("n") - F.col("lead"))).select("sa", "sb", "a", "b", (F.least("low", "slow") < F.greatest("high", "shigh")).alias("spans"))
+    return cut(both.where(same + 1e-9 >= similarity * (F.col("n") - F.col("lead"))).select("sa", "sb", "a", "b", (F.least("low", "slow") < F.greatest("high", "shigh")).alias("spans")))
+
+
+def _open(live: DataFrame, links: DataFrame) -> DataFrame:
+    """Entries whose sequence is in one document and has no link to another yet."""
+    met = links.where("spans")
+    met = met.select("a", "b").unionByName(met.select(F.col("sa").alias("a"), F.col("sb").alias("b"))).distinct()
+    return live.where("low = high").join(met, ["a", "b"], "left_anti")
 
 
 def templates(docs: DataFrame, depth: int = 3, min_tokens: int = 5, field_tokens: int = 5, similarity: float = 0.75) -> tuple[DataFrame, DataFrame]:
@@ -75,26 +110,29 @@ def templates(docs: DataFrame, depth: int = 3, min_tokens: int = 5, field_tokens
     leaves = broadcast_if_small(cut(leaves), MAX_BROADCAST_LEAVES)
     several = _parsed(docs, depth, min_tokens, field_tokens).select("leaf", "a", "b", "tokens", "lead").join(leaves, "leaf", "left_semi").groupBy("leaf", "a", "b").agg(F.any_value("tokens").alias("tokens"), F.any_value("lead").alias("lead"))
     several = cut(several.join(exact, ["leaf", "a", "b"]))
-    segments = several.select("a", "b", "times", "low", "high", F.explode(_segments(similarity)).alias("key"))
-    shared = segments.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("low").alias("l"), F.max("high").alias("h"), F.max(F.struct("times", "a", "b")).alias("head")).where("k > 1 and l < h")
-    live = cut(segments.join(shared.select("key", "head"), "key"))
-    info = cut(several.join(live.select("a", "b").distinct(), ["a", "b"], "left_semi"))
-    seeds = cut(live.select("head.a", "head.b").distinct())
-    links = tried = None
+    heads = _shared(_segments(several, similarity))
+    info = cut(several.join(heads.select("a", "b").distinct(), ["a", "b"], "left_semi"))
+    links = _links(heads, info, similarity)
+    # Crowded segments in which a sequence is open are split once more, with the heads of the parts first.
+    open_keys = cut(_open(heads, links).select("key").distinct())
+    live = heads.join(open_keys, "key", "left_semi")
+    split = _shared(_split(live.where(F.col("k") > CROWD).join(info.select("a", "b", "n", "lead", "tokens"), ["a", "b"])))
+    links = cut(links.unionByName(_links(split, info, similarity)))
+    live = cut(live.where(F.col("k") <= CROWD).unionByName(split.select(live.columns)))
+    tried = live.select("key", F.col("sa").alias("a"), F.col("sb").alias("b")).distinct()
     most = 8                  # seeds a segment and round; eight times as many in each next round, so rounds grow with the logarithm
-    while seeds.limit(1).count():
-        new = cut(_links(live, info, seeds, similarity))
-        links = new if links is None else cut(links.unionByName(new))
-        tried = seeds if tried is None else cut(tried.unionByName(seeds))
-        met = links.where("spans")
-        done = met.select("a", "b").unionByName(met.select(F.col("sa").alias("a"), F.col("sb").alias("b"))).unionByName(tried).distinct()
-        rest = live.where("low = high").join(done, ["a", "b"], "left_anti")
+    while True:
+        rest = _open(live, links).join(tried, ["key", "a", "b"], "left_anti")
         rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("times"), "a", "b"))
-        seeds = cut(rest.withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b").distinct())
+        seeds = cut(rest.withColumn("rank", rank).where(F.col("rank") <= most).select("key", "a", "b"))
+        if not seeds.limit(1).count():
+            break
+        named = broadcast_if_small(seeds.select("key", F.col("a").alias("sa"), F.col("b").alias("sb")), MAX_BROADCAST_LEAVES)
+        links = cut(links.unionByName(_links(live.select("key", "a", "b").join(named, "key"), info, similarity)))
+        tried = cut(tried.unionByName(seeds))
         most *= 8
     alone = exact.select("leaf", "a", "b", (F.col("low") < F.col("high")).alias("own"))
-    if links is None:
-        return lines, alone.select("leaf", "a", "b", F.lit(None).cast("array<string>").alias("template"), F.col("own").alias("recurs"))
+    links = links.distinct()
     both = links.where("not (sa = a and sb = b)")
     both = cut(both.unionByName(both.select(F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("sa").alias("a"), F.col("sb").alias("b"), "spans")).distinct())
     direct = both.where("spans").select("a", "b").unionByName(alone.where("own").select("a", "b")).distinct()
