@@ -231,8 +231,9 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
 
     kind = "array<struct<s1:int,j1:int,s2:int,j2:int>>"
     paired = placed.withColumn("k", F.explode(F.concat(keys("s", False).cast(kind), keys("(s + 1)", False).cast(kind), keys("(s - 1)", True).cast(kind))))
-    found = cut(paired.select("comp", "k.*", "node", "copies", "grams", "s", "j")
-                .groupBy("comp", "s1", "j1", "s2", "j2").applyInPandas(_links(threshold), "node binary, rep binary, links long"))
+    pair = ["comp", "s1", "j1", "s2", "j2"]            # the rows lie by comp so far, which would keep all pairs of a component in one task
+    found = cut(paired.select("comp", "k.*", "node", "copies", "grams", "s", "j").repartition(*pair)
+                .groupBy(*pair).applyInPandas(_links(threshold), "node binary, rep binary, links long"))
     final = components(found.where("node != rep").select(F.col("rep").alias("u"), F.col("node").alias("v")).distinct())
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     info = nodes.select("node", "first", "copies").join(final, "node", "left").join(linked, "node", "left").select(

@@ -1,6 +1,10 @@
+import time
+
 import numpy as np
 import pandas as pd
+import pytest
 
+from basketlens.llm import components as module
 from basketlens.llm.components import components
 from basketlens.llm.jaccard_join import band_plan, deduplicate, jaccard_join, verify
 from helpers import documents, prose, words
@@ -81,3 +85,32 @@ def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 120)] + [(200, 200), (300, 301), (301, 300)]
     got = dict(components(spark.createDataFrame(pd.DataFrame(edges, columns=["u", "v"]))).collect())
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 120)}, 300: 300, 301: 300}
+
+
+@pytest.mark.parametrize("edges", [1000, 5000])
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_long_chains_settle_in_few_rounds_of_equal_cost(spark, monkeypatch, edges, shuffled):
+    name = np.arange(edges + 1)
+    if shuffled:
+        np.random.default_rng(edges).shuffle(name)
+    took, plain = [], module.stored
+
+    def timed(df):
+        begin = time.perf_counter()
+        out = plain(df)
+        out.schema
+        took.append(time.perf_counter() - begin)
+        return out
+
+    monkeypatch.setattr(module, "stored", timed)
+    got = dict(components(spark.createDataFrame(pd.DataFrame({"u": name[:-1], "v": name[1:]}))).collect())
+    assert got == {int(x): 0 for x in name}
+    rounds = (len(took) - 1) // 3 + 1                       # one frame at first, then two a round, and one a round on the way back
+    assert rounds <= 20
+    assert max(took[3:]) < 3 * max(took[1:3]) + 0.5         # later rounds cost no more than the first
+
+
+def test_components_of_text_nodes_and_no_edges(spark):
+    got = dict(components(spark.createDataFrame([("b", "c"), ("c", "d"), ("x", "a"), ("q", "q")], "u string, v string")).collect())
+    assert got == {"b": "b", "c": "b", "d": "b", "a": "a", "x": "a"}
+    assert components(spark.createDataFrame([("q", "q")], "u string, v string")).collect() == []
