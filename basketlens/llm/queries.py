@@ -8,6 +8,7 @@ from basketlens.llm import chat, language, line_templates, lm, mixing, nearest,
 from basketlens.llm.common import table, text_key
 from basketlens.llm.decontaminate import mark_contamination
 from basketlens.llm.jaccard_join import jaccard_join
+from basketlens.llm.range_join import near_vectors
 from basketlens.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, _WORD, block_words, need, scan
 
 
@@ -56,8 +57,12 @@ def op10_language(spark, sf_dir):
     return language.identify(language.page_evidence(table(spark, sf_dir, "pages")), model)
 
 
+def op12_range_join(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (op1_nearest, op2_line_templates, op3_decontaminate, op4_lm_scores, op5_licenses, op6_chat_windows,
-                                   op7_shards, op8_jaccard_join, op9_mixture, op10_language)}
+                                   op7_shards, op8_jaccard_join, op9_mixture, op10_language, op12_range_join)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
@@ -105,4 +110,15 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN be
 """
 
 
-ORACLES: dict[str, str] = {"op3_decontaminate": _OP3, "op5_licenses": _op5()}
+_OP12 = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT r, vec_id, label, e FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.r, b.r AS other, b.vec_id FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reached(r, other) AS (SELECT r, other FROM links UNION SELECT reached.r, links.other FROM reached JOIN links ON reached.other = links.r),
+low AS (SELECT r, min(vec_id) AS least FROM reached JOIN (SELECT r AS other, vec_id FROM v) USING (other) GROUP BY r),
+n AS (SELECT r, count(*) AS n_links FROM links GROUP BY r)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id IS NOT DISTINCT FROM least(vec_id, coalesce(least, vec_id)) AS kept
+FROM v LEFT JOIN low USING (r) LEFT JOIN n USING (r)
+"""
+
+ORACLES: dict[str, str] = {"op3_decontaminate": _OP3, "op5_licenses": _op5(), "op12_range_join": _OP12}
