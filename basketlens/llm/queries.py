@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from basketlens.llm import chat, language, line_templates, lm, mixing, nearest, shards
 from basketlens.llm.common import table, text_key
+from basketlens.llm.divergence import audit
 from basketlens.llm.decontaminate import mark_contamination
 from basketlens.llm.jaccard_join import jaccard_join
 from basketlens.llm.range_join import near_vectors
@@ -61,8 +62,12 @@ def op12_range_join(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op13_divergence(spark, sf_dir):
+    return audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_nearest, op2_line_templates, op3_decontaminate, op4_lm_scores, op5_licenses, op6_chat_windows,
-                                   op7_shards, op8_jaccard_join, op9_mixture, op10_language, op12_range_join)}
+                                   op7_shards, op8_jaccard_join, op9_mixture, op10_language, op12_range_join, op13_divergence)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
@@ -121,4 +126,22 @@ SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, least(vec_id, co
 FROM v LEFT JOIN low USING (r) LEFT JOIN n USING (r)
 """
 
-ORACLES: dict[str, str] = {"op3_decontaminate": _OP3, "op5_licenses": _op5(), "op12_range_join": _OP12}
+_OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({LOWER}, '[a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+w AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS c FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT lang, source, CAST(coalesce(n, 0) AS HUGEINT) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY lang, source) USING (lang, source)),
+p AS (SELECT lang, source, term, coalesce(c, 0) AS c, CAST(1 + 1000000000::HUGEINT * (coalesce(c, 0) + 5) // (g.n + 5 * v) AS BIGINT) AS p
+  FROM g JOIN langs USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, CAST(1 + 1000000000::HUGEINT * (total + 5) // (n + 5 * v) AS BIGINT) AS q FROM kept JOIN langs USING (lang)),
+far AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLES: dict[str, str] = {"op3_decontaminate": _OP3, "op5_licenses": _op5(), "op12_range_join": _OP12, "op13_divergence": _OP13}
