@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from basketlens.llm import chat, language, line_templates, lm, mixing, nearest, shards
 from basketlens.llm.common import table, text_key
+from basketlens.llm.align import align_counts
 from basketlens.llm.divergence import audit
 from basketlens.llm.decontaminate import mark_contamination
 from basketlens.llm.jaccard_join import jaccard_join
@@ -58,6 +59,10 @@ def op10_language(spark, sf_dir):
     return language.identify(language.page_evidence(table(spark, sf_dir, "pages")), model)
 
 
+def op11_alignment(spark, sf_dir):
+    return align_counts(table(spark, sf_dir, "documents"))
+
+
 def op12_range_join(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -67,7 +72,7 @@ def op13_divergence(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_nearest, op2_line_templates, op3_decontaminate, op4_lm_scores, op5_licenses, op6_chat_windows,
-                                   op7_shards, op8_jaccard_join, op9_mixture, op10_language, op12_range_join, op13_divergence)}
+                                   op7_shards, op8_jaccard_join, op9_mixture, op10_language, op11_alignment, op12_range_join, op13_divergence)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
