@@ -37,6 +37,10 @@ ROWS = 512               # texts whose results are handed on together
 HEAD = 1 << 20           # pairs whose counts go with the tasks
 
 
+#: Fixed value: how byte-level BPE files of this kind cut a text into words before any merge.
+WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 def byte_alphabet() -> dict[str, int]:
     """Character -> byte of byte-level vocabularies: printable bytes stand for themselves, the others for U+0100 and on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -55,7 +59,8 @@ class Tokenizers:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         alphabet = byte_alphabet()
-        vocabulary = json.loads(a_json)["model"]["vocab"]
+        described = json.loads(a_json)
+        vocabulary = described["model"]["vocab"]
         self.n_a, self.n_b = max(vocabulary.values()) + 1, self.b.get_piece_size()
         a_bytes, b_bytes = [b""] * self.n_a, []
         for token, i in vocabulary.items():
@@ -64,8 +69,29 @@ class Tokenizers:
             piece = self.b.id_to_piece(i)
             b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.a_bytes, self.b_bytes = Flat(a_bytes), Flat(b_bytes)
+        self.ranked = self._ranked(described, alphabet)
         self.a_text, self.b_text = (Flat([b"%d" % i for i in range(n)]) for n in (self.n_a, self.n_b))
 
+    @staticmethod
+    def _ranked(described: dict, alphabet: dict[str, int]):
+        """The same vocabulary as merge ranks for ``tiktoken``, which gives the same ids in a third of the time; None for a
+        file of another kind: plain byte-level words, no normalisation, and ids in the order of the merges are needed."""
+        form, model = described.get("pre_tokenizer") or {}, described["model"]
+        if described.get("normalizer") or form.get("type") != "ByteLevel" or form.get("add_prefix_space") or not form.get("use_regex", True) or model["type"] != "BPE":
+            return None
+        special = {x["content"] for x in described.get("added_tokens", [])}
+        ranks = {bytes(alphabet[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+        merged = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        if merged != sorted(merged) or len(ranks) != 256 + len(merged):
+            return None
+        import tiktoken
+        return tiktoken.Encoding("a", pat_str=WORD, mergeable_ranks=ranks, special_tokens={})
+
+    def a_ids(self, texts: list[str]) -> list[np.ndarray]:
+        if self.ranked is not None:
+            return [self.ranked.encode_to_numpy(x).astype(np.int64) for x in texts]
+        return [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+
 
 class Flat:
     """Byte strings by number, so that many of them join without a Python object each."""
@@ -226,7 +252,7 @@ def _fit(t: Tokenizers, raw: bytes, ids: np.ndarray, flat: Flat) -> bool:
 
 def align_pieces(t: Tokenizers, texts: list[str]) -> list[tuple | None]:
     """(n_a, n_b, groups, written groups, pairs, times) of each piece, None if its tokens' bytes are not blank + text."""
-    a_ids = [np.array(e.ids, np.int64) for e in t.a.encode_batch_fast([" " + x for x in texts], add_special_tokens=False)]
+    a_ids = t.a_ids([" " + x for x in texts])
     b_ids = [np.array(x, np.int64) for x in t.b.encode(texts, num_threads=1)]
     good = [i for i, x in enumerate(texts) for raw in [(" " + x).encode()] if _fit(t, raw, a_ids[i], t.a_bytes) and _fit(t, raw, b_ids[i], t.b_bytes)]
     out: list[tuple | None] = [None] * len(texts)

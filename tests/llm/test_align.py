@@ -118,3 +118,17 @@ def test_repeated_rows_null_ids_and_empty_tables(spark, tokenizers):
     assert out.columns == ["doc_id", *FIELDS]
     assert sorted(tuple(r[f] for f in FIELDS) for r in out.collect()) == sorted(brute(tokenizers, texts))
     assert align_counts(documents(spark, [])).count() == 0
+
+
+def test_ranks_give_the_ids_of_the_file(tokenizers):
+    rng = np.random.default_rng(9)
+    marks = [" {c}", "a{c}b{c}{c} {c}1", "{c}'s{c}\n{c}  {c}"]
+    texts = corpus()[:60] + [marks[k % 3].format(c=chr(c)) for k, c in enumerate(rng.integers(0x80, 0x30000, 6000)) if not 0xD800 <= c <= 0xDFFF]
+    texts = [x for x in texts if x]
+    assert tokenizers.ranked is not None
+    fast, tokenizers.ranked = tokenizers.a_ids(texts), None
+    try:
+        slow = tokenizers.a_ids(texts)
+    finally:
+        tokenizers.__init__(*read_files())
+    assert all((x == y).all() for x, y in zip(fast, slow, strict=True))
