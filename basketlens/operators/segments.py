@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from basketlens.functions.columns import as_double, days_between, sum0, timestamp_literal
 from basketlens.functions.materialise import reliable
+from basketlens.operators import kmeans
 from basketlens.schema import (
     SEGMENT_INACTIVE, SEGMENT_LOYAL, SEGMENT_NEW, SEGMENT_OCCASIONAL, SEGMENT_VIP, Params,
 )
@@ -49,20 +49,6 @@ def customer_features(lines: DataFrame, params: Params = Params(), variant: str
     return out
 
 
-def spark_tolerance(rel_tol: float, n_varying: int, n_features: int, k: int) -> float:
-    """Map a scikit-learn style k-means tolerance to Spark's.
-
-    scikit-learn stops when the *sum* of squared centre shifts is at most
-    ``tol * mean feature variance``; Spark stops when *every* centre moved
-    at most ``tol``. With per-centre shift <= sqrt(tol * var / k) the sum is
-    bounded by the scikit-learn threshold, so Spark never stops earlier.
-    Standardised features have variance 1 (0 when constant).
-    """
-    if n_features == 0 or k == 0:
-        return 0.0
-    return math.sqrt(rel_tol * (n_varying / n_features) / k)
-
-
 def scale_features(features: DataFrame, cols: list[str], suffix: str = "_z") -> DataFrame:
     """M1: (x - mean) / population std per column; constant (or single) -> 0.
 
@@ -114,7 +100,7 @@ class Segmentation:
     dropped: int               # customers left out for null features
     k: int
     coverage: DataFrame        # one row: customers, left_out, k
-    centres: list[list[float]]          # of the standardised features; none for fewer than two clusters
+    fit: kmeans.Fit | None = None       # centres and inertia in millionths of a deviation
     cached: list[DataFrame] = field(default_factory=list)
 
     def release(self) -> None:
@@ -123,50 +109,41 @@ class Segmentation:
 
 
 def segment(features: DataFrame, cols: list[str], params: Params = Params()) -> Segmentation:
-    """M1 + M2 + A23 + M3: standardise, k-means (k-means||, fixed seed), summarise, name.
-
-    Fitting runs Spark jobs (the one place an operator acts). Rows with a
-    null feature are dropped and counted; k shrinks to the customer count.
-    Labels are arbitrary ids; the summary names each cluster from its means.
+    """M1 + M2 + A23 + M3: standardise, k-means, summarise, name.
+
+    Fitting runs Spark jobs (the one place an operator acts). Rows with a null
+    feature are dropped and counted; k shrinks to the customer count. The fit
+    (``kmeans.fit``) does not depend on how rows are dealt; clusters are
+    numbered in the order of their centres, and the summary names each from
+    its means. ``params.tol`` is scikit-learn's: squared centre shifts may add
+    up to ``tol`` times the mean variance of the standardised features.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
     complete_flag = F.lit(True)
     for c in cols:
         complete_flag = complete_flag & F.col(c).isNotNull()
-    # One materialisation of the features (the only pass over the lines);
-    # fixed partitioning and order so a rerun gives the same k-means start.
-    base = reliable(features.withColumn("_complete", complete_flag)
-                     .repartition("email").sortWithinPartitions("email"))
+    base = reliable(features.withColumn("_complete", complete_flag))      # the only pass over the lines
     done = F.col("_complete")
     counts = base.agg(F.count_if(done).alias("n"), F.count_if(~done).alias("dropped"),
                       *[F.stddev_pop(F.when(done, F.col(c).cast("double"))).alias(c) for c in cols]).first()
     n, dropped = counts["n"], counts["dropped"]
-    n_varying = sum(1 for c in cols if (counts[c] or 0) > 0)
     complete = base.filter(F.col("_complete")).drop("_complete")
-    zcols = [c + "_z" for c in cols]
-    vec = VectorAssembler(inputCols=zcols, outputCol="features").transform(scale_features(complete, cols))
     k = min(params.k, n)
     coverage = base.agg(F.count(F.lit(1)).alias("customers"), F.count_if(~done).alias("left_out"), F.lit(k).alias("k"))
-    centres: list[list[float]] = []
     if k < 1:
         empty = features.sparkSession.createDataFrame([], _summary_schema(cols))
-        return Segmentation(complete.withColumn("cluster", F.lit(None).cast("int")), empty, dropped, 0, coverage, centres, [base])
-    if k == 1:
-        assigned = vec.withColumn("cluster", F.lit(0))
-    else:
-        tol = spark_tolerance(params.tol, n_varying, len(cols), k)
-        cached = vec.persist(StorageLevel.MEMORY_AND_DISK)   # every iteration re-reads it
-        try:
-            model = KMeans(k=k, seed=params.seed, maxIter=params.max_iter, tol=tol,
-                           featuresCol="features", predictionCol="cluster").fit(cached)
-        finally:
-            cached.unpersist()
-        assigned = model.transform(vec)
-        centres = [[float(x) for x in c] for c in model.clusterCenters()]
-    assigned = assigned.drop("features", *zcols)
-    return Segmentation(assigned, cluster_summary(assigned, cols, params), dropped, k, coverage, centres, [base])
+        return Segmentation(complete.withColumn("cluster", F.lit(None).cast("int")), empty, dropped, 0, coverage, cached=[base])
+    scaled = scale_features(complete, cols)
+    ucols = [c + "_u" for c in cols]
+    points = scaled.select(*complete.columns, *[kmeans.units(F.col(c + "_z")).alias(u) for c, u in zip(cols, ucols)])
+    varying = sum(1 for c in cols if (counts[c] or 0) > 0)
+    tol = params.tol * varying / len(cols) * kmeans.UNIT * kmeans.UNIT
+    held = points.select("email", *ucols).persist(StorageLevel.MEMORY_AND_DISK)    # every step reads it
+    try:
+        fit = kmeans.fit(held, "email", ucols, k, params.seed, params.starts, params.max_iter, tol)
+    finally:
+        held.unpersist()
+    assigned = points.withColumn("cluster", kmeans.nearest(ucols, fit.centres)).drop(*ucols)
+    return Segmentation(assigned, cluster_summary(assigned, cols, params), dropped, k, coverage, fit, [base])
 
 
 def _summary_schema(cols: list[str]) -> str:
@@ -181,16 +158,12 @@ def cluster_summary(assigned: DataFrame, cols: list[str], params: Params = Param
                                                        F.col("recency_days"), params))
 
 
-def segment_check(seg: Segmentation, cols: list[str]) -> DataFrame:
-    """One row on a segmentation: customers, left_out, k, clustered (Σ cluster sizes), not_nearest (customers whose
-    cluster's centre is not the nearest one)."""
-    z = scale_features(seg.assignments, cols)
-    far = F.lit(False)
-    if seg.centres:
-        to = [sum((F.pow(F.col(f"{c}_z") - F.lit(x), 2) for c, x in zip(cols, centre)), F.lit(0.0)) for centre in seg.centres]
-        far = F.element_at(F.array(*to), F.col("cluster") + 1) > F.array_min(F.array(*to)) + 1e-9
-    sizes = z.agg(F.count("cluster").alias("clustered"), F.count_if(far).alias("not_nearest"))
-    return seg.coverage.crossJoin(F.broadcast(sizes)).select("customers", "left_out", F.col("k").cast("int").alias("k"), "clustered", "not_nearest")   # one row each
+def segment_check(seg: Segmentation) -> DataFrame:
+    """One row on a segmentation: customers, left_out, k, clustered (Σ cluster sizes) and inertia (Σ whole squared
+    distances to the nearest centre, in squared millionths of a deviation)."""
+    sizes = seg.assignments.agg(F.count("cluster").alias("clustered"))
+    return seg.coverage.crossJoin(F.broadcast(sizes)).select(      # one row each
+        "customers", "left_out", F.col("k").cast("int").alias("k"), "clustered", F.lit(float(seg.fit.inertia) if seg.fit else 0.0).alias("inertia"))
 
 
 def rule_summary(activity: DataFrame) -> DataFrame:

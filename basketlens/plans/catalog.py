@@ -231,12 +231,19 @@ def _segmentation(spark, d, variant):
     return segments.segment(_features(spark, d, variant), cols, P)
 
 
+def _summary(spark, d, variant):
+    """A23 with means to four decimals (half-even)."""
+    summary = _segmentation(spark, d, variant).summary
+    cols = segments.ACTIVE_FEATURES if variant == "active" else segments.ALL_FEATURES
+    return summary.withColumns({c: F.bround(c, 4) for c in cols})
+
+
 def q_segment_summary_active(spark, d):
-    return _segmentation(spark, d, "active").summary
+    return _summary(spark, d, "active")
 
 
 def q_segment_summary_all(spark, d):
-    return _segmentation(spark, d, "all").summary
+    return _summary(spark, d, "all")
 
 
 def q_segment_assignments(spark, d):
@@ -245,8 +252,8 @@ def q_segment_assignments(spark, d):
 
 def q_segment_check(spark, d):
     parts = []
-    for variant, cols in (("active", segments.ACTIVE_FEATURES), ("all", segments.ALL_FEATURES)):
-        check = segments.segment_check(_segmentation(spark, d, variant), cols)
+    for variant in ("active", "all"):
+        check = segments.segment_check(_segmentation(spark, d, variant))
         parts.append(check.select(F.lit(variant).alias("variant"), "*"))
     return parts[0].unionByName(parts[1])
 

@@ -8,7 +8,7 @@ thresholds) so it checks the Spark plans without sharing their strategy.
 
 from __future__ import annotations
 
-from basketlens.operators import segments
+from basketlens.operators import kmeans, segments
 from basketlens.sources import tables
 
 AS_OF = "TIMESTAMP '2001-08-01 00:00:00'"
@@ -220,6 +220,52 @@ def _complete(features: str) -> str:
     return " AND ".join(f"{c} IS NOT NULL" for c in getattr(segments, features))
 
 
+def _kmeans(features: str, feat: str = "feat", x: str = "") -> tuple[str, ...]:
+    """CTEs of the reproducible k-means over ``feat``: best (centres, inertia), assigned (cluster per complete row).
+
+    The recursion carries each start's centres as one list; a step averages the whole-number points of each centre.
+    ``x`` is put behind the names, so that two of them fit into one statement.
+    """
+    p, cols = tables.test_params(), getattr(segments, features)
+    unit = float(kmeans.UNIT)
+    z = ", ".join(f"CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) OVER () > 0 THEN round((CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER ()) "
+                  f"/ stddev_pop(CAST({c} AS DOUBLE)) OVER () * {unit}) ELSE 0.0 END" for c in cols)
+    varying = " + ".join(f"(CASE WHEN stddev_pop(CAST({c} AS DOUBLE)) > 0 THEN 1 ELSE 0 END)" for c in cols)
+
+    def far(a: str, b: str) -> str:
+        return "(" + " + ".join(f"({a}[{i}] - {b}[{i}]) * ({a}[{i}] - {b}[{i}])" for i in range(1, len(cols) + 1)) + ")"
+
+    def u(step: int) -> str:
+        return f"((CAST('0x' || substr(md5('{p.seed}:' || s || ':{step}:' || email), 1, 13) AS BIGINT) + 1)::DOUBLE / 4503599627370496::DOUBLE)"
+
+    to = f"list_transform(c, lambda q: {far('z', 'q')})"
+    draws = [f"c0{x} AS (SELECT s, [arg_min(z, {u(0)})] AS c FROM pts{x}, (SELECT unnest(range(0, {p.starts})) AS s) GROUP BY s)"]
+    for step in range(1, p.k):
+        draws.append(f"""c{step}{x} AS (SELECT s, list_append(c, coalesce(arg_min(z, w), c[1])) AS c FROM (
+  SELECT s, c, z, CASE WHEN d > 0 THEN -ln({u(step)}) / d END AS w FROM (SELECT *, list_min({to}) AS d FROM pts{x}, c{step - 1}{x})) GROUP BY s, c)""")
+    means = ", ".join(f"sum(z[{i}]) / count(*)" for i in range(1, len(cols) + 1))
+    return (f"pts{x} AS (SELECT *, [{z}]::DOUBLE[] AS z FROM {feat} WHERE {_complete(features)})",
+            f"tol{x} AS (SELECT {p.tol}::DOUBLE * ({varying}) / {len(cols)} * {unit}::DOUBLE * {unit}::DOUBLE AS tol FROM pts{x})", *draws,
+            f"""km{x}(s, i, c, shift) AS (SELECT s, 0, c, CAST('inf' AS DOUBLE) FROM c{p.k - 1}{x} UNION ALL
+  SELECT s, i + 1, n, list_sum(list_transform(range(1, {p.k + 1}), lambda j: {far('c[j]', 'n[j]')})) FROM (
+    SELECT s, i, c, list_transform(range(1, {p.k + 1}), lambda j: coalesce(m[j], c[j])) AS n FROM (
+      SELECT s, i, c, map_from_entries(list((near, mean))) AS m FROM (
+        SELECT s, i, c, near, [{means}] AS mean FROM (
+          SELECT s, i, c, z, list_position({to}, list_min({to})) AS near FROM pts{x}, (SELECT s, i, c FROM km{x}, tol{x} WHERE shift > tol AND i < {p.max_iter})) GROUP BY s, i, c, near)
+      GROUP BY s, i, c)))""",
+            f"last{x} AS (SELECT s, arg_max(c, i) AS c FROM km{x} GROUP BY s)",
+            f"""best{x} AS (SELECT s, list_sort(c) AS c, inertia FROM (
+  SELECT s, c, sum(CAST(floor(list_min({to})) AS HUGEINT)) AS inertia FROM pts{x}, last{x} GROUP BY s, c) ORDER BY inertia, s LIMIT 1)""",
+            f"assigned{x} AS (SELECT pts{x}.* EXCLUDE (z), CAST(list_position({to}, list_min({to})) - 1 AS INTEGER) AS cluster FROM pts{x}, best{x})")
+
+
+def _summary(features: str) -> str:
+    cols = getattr(segments, features)
+    return (_with(*L, FEATURES_ACTIVE if features == "ACTIVE_FEATURES" else FEATURES_ALL, *_kmeans(features)).replace("WITH ", "WITH RECURSIVE ", 1)
+            + "SELECT cluster, " + ", ".join(f"round_even({c}, 4) AS {c}" for c in cols) + f", customers, {SEGMENT_CASE} AS segment FROM (SELECT cluster, "
+            + ", ".join(f"avg({c}) AS {c}" for c in cols) + ", count(email) AS customers FROM assigned GROUP BY cluster)")
+
+
 MATRIX_YEARS = range(1995, 2002)      # years of the completed orders of the test tables
 
 
@@ -417,12 +463,20 @@ named AS (SELECT *, {SEGMENT_CASE} AS segment FROM rec)""")
     + """SELECT segment, round_even(avg(total_orders), 4) AS total_orders, round_even(avg(recency_days), 4) AS recency_days,
     count(*) AS customers FROM named GROUP BY segment""",
 
-    "segment_check": _with(*L, FEATURES_ACTIVE.replace("feat AS", "feat_active AS", 1), FEATURES_ALL.replace("feat AS", "feat_all AS", 1), """both_sets AS (
-  SELECT 'active' AS variant, """ + _complete("ACTIVE_FEATURES") + """ AS complete FROM feat_active
-  UNION ALL SELECT 'all' AS variant, """ + _complete("ALL_FEATURES") + """ AS complete FROM feat_all)""")
+    "segment_summary_active": _summary("ACTIVE_FEATURES"),
+
+    "segment_summary_all": _summary("ALL_FEATURES"),
+
+    "segment_assignments": _with(*L, FEATURES_ACTIVE, *_kmeans("ACTIVE_FEATURES")).replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT email, total_spent, order_frequency, cluster FROM assigned",
+
+    "segment_check": _with(*L, FEATURES_ACTIVE.replace("feat AS", "feat_active AS", 1), FEATURES_ALL.replace("feat AS", "feat_all AS", 1),
+                           *_kmeans("ACTIVE_FEATURES", "feat_active", "_a"), *_kmeans("ALL_FEATURES", "feat_all", "_b"), """both_sets AS (
+  SELECT 'active' AS variant, (SELECT inertia FROM best_a) AS inertia, """ + _complete("ACTIVE_FEATURES") + """ AS complete FROM feat_active
+  UNION ALL SELECT 'all' AS variant, (SELECT inertia FROM best_b) AS inertia, """ + _complete("ALL_FEATURES") + """ AS complete FROM feat_all)""").replace("WITH ", "WITH RECURSIVE ", 1)
     + """SELECT variant, count(*) AS customers, count(*) FILTER (NOT complete) AS left_out,
     CAST(least(4, count(*) FILTER (complete)) AS INTEGER) AS k, count(*) FILTER (complete) AS clustered,
-    CAST(0 AS BIGINT) AS not_nearest FROM both_sets GROUP BY variant""",
+    CAST(any_value(inertia) AS DOUBLE) AS inertia FROM both_sets GROUP BY variant""",
 
     "bundle_top_categories": _with(*L, RECENT, f"""cat AS (
   SELECT year, last_category, sum(line_revenue) AS revenue

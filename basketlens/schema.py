@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 # --- fixed values: export column names and their canonical names ----------
 # The webshop export uses these header names; the left side must stay exactly
@@ -139,7 +139,8 @@ class Params:
     k: int = 4
     seed: int = 42
     max_iter: int = 300
-    tol: float = 1e-4                   # scikit-learn style (relative), see segments.spark_tolerance
+    tol: float = 1e-4                   # scikit-learn style (relative), see segments.segment
+    starts: int = 4                     # starts of k-means, of which the one of least inertia is kept
     loyal_min_orders: float = 5
     loyal_min_spent: float = 50_000
     vip_min_spent: float = 100_000
@@ -149,7 +150,6 @@ class Params:
     # anonymiser
     mask_digits: int = 10
     mask_salt: str = ""
-    extra: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         positive = {"recent_years": self.recent_years, "top_categories": self.top_categories,

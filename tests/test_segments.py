@@ -90,3 +90,57 @@ def test_customer_features_variants(spark):
     assert full["a@x"]["total_spent"] == 2000.0 and full["b@x"]["lifetime_days"] == 366
     dedup = {r["email"]: r for r in segments.customer_features(df, p.with_(dedupe_customer_totals=True), "all").collect()}
     assert dedup["a@x"]["total_orders"] == 3
+
+
+def test_same_segments_whatever_the_partitioning(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"c{i}@x", int(rng.integers(1, 9)), float(rng.lognormal(9, 1.5)), int(rng.integers(0, 400)), float(rng.random())) for i in range(700)]
+    df = spark.createDataFrame(rows, "email string, total_orders long, total_spent double, recency_days long, order_frequency double")
+    found = []
+    for n in (3, 50):
+        seg = segments.segment(df.repartition(n, F.rand(n)), segments.ACTIVE_FEATURES, Params())
+        found.append((seg.fit.centres, seg.fit.inertia, sorted(map(tuple, seg.assignments.select("email", "cluster").collect()))))
+        seg.release()
+    assert found[0] == found[1]
+
+
+def test_fit_follows_the_rule_of_its_start(spark):
+    """The same k-means in plain Python, with its own hashes."""
+    import hashlib
+    import math
+
+    from basketlens.operators import kmeans
+    rng = np.random.default_rng(8)
+    points = {f"k{i}": [int(x) for x in rng.normal(i % 3 * 4, 1, 2) * 1e6] for i in range(90)}
+    points |= {"same": points["k0"], "far": [90_000_000, 0]}
+    df = spark.createDataFrame([(k, *v) for k, v in points.items()], "id string, x long, y long")
+    fit = kmeans.fit(df, "id", ["x", "y"], 3, seed=5, starts=2, max_iter=50, tol=0.0)
+
+    def u(start, step, key):
+        return (int(hashlib.md5(f"5:{start}:{step}:{key}".encode()).hexdigest()[:13], 16) + 1) / 2 ** 52
+
+    def far(p, centres):
+        return [(p[0] - c[0]) ** 2 + (p[1] - c[1]) ** 2 for c in centres]
+
+    results = []
+    for s in range(2):
+        centres = [points[min(points, key=lambda k: u(s, 0, k))]]
+        for step in (1, 2):
+            centres.append(points[min((k for k in points if min(far(points[k], centres)) > 0), key=lambda k: -math.log(u(s, step, k)) / min(far(points[k], centres)))])
+        for _ in range(50):
+            groups = [[] for _ in centres]
+            for p in points.values():
+                groups[int(np.argmin(far(p, centres)))].append(p)
+            new = [[sum(p[i] for p in g) / len(g) for i in (0, 1)] if g else c for g, c in zip(groups, centres)]
+            if new == centres:
+                break
+            centres = new
+        results.append((sum(math.floor(min(far(p, centres))) for p in points.values()), s, sorted(centres)))
+    assert (fit.inertia, fit.centres) == (min(results)[0], min(results)[2])
+
+
+def test_fewer_different_points_than_clusters(spark):
+    from basketlens.operators import kmeans
+    df = spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("c", 5, 5)], "id string, x long, y long")
+    fit = kmeans.fit(df, "id", ["x", "y"], 3, seed=1, starts=2, max_iter=20, tol=0.0)
+    assert fit.inertia == 0 and {tuple(c) for c in fit.centres} == {(1.0, 1.0), (5.0, 5.0)}
