@@ -23,6 +23,11 @@ def regional_revenue(lines: DataFrame, cities: DataFrame, params: Params = Param
     recent = in_latest_years(lines, params.recent_years, source=lines.filter(F.col("order_number").isNotNull()))
     by_city = (recent.filter(F.col("city").isNotNull())
                .groupBy("year", "city").agg(sum0("line_revenue").alias("revenue")))
+    return located(by_city, cities)
+
+
+def located(by_city: DataFrame, cities: DataFrame) -> DataFrame:
+    """J1 on revenue per (year, city): the county of each city, once per row of the map."""
     lookup = cities.select("city", "county").filter(F.col("city").isNotNull() & F.col("county").isNotNull())
     return (by_city.join(lookup, "city")
             .groupBy("year", "county", "city").agg(F.sum("revenue").alias("revenue")))

@@ -130,6 +130,10 @@ def product_revenue(lines: DataFrame, params: Params = Params()) -> DataFrame:
 
 def top_products(lines: DataFrame, params: Params = Params()) -> DataFrame:
     """Top products per year ranked on the rounded revenue; ties -> smaller item id."""
-    prod = product_revenue(lines, params)
-    top = top_n_per_group(prod, ["year"], [F.desc("revenue"), F.asc("item_id")], params.top_products)
+    return top_of_products(product_revenue(lines, params), params)
+
+
+def top_of_products(products: DataFrame, params: Params = Params()) -> DataFrame:
+    """K3 on revenue per (year, item)."""
+    top = top_n_per_group(products, ["year"], [F.desc("revenue"), F.asc("item_id")], params.top_products)
     return top.select("year", "rank", "item_id", "item_name", "revenue")

@@ -37,6 +37,11 @@ def customer_features(lines: DataFrame, params: Params = Params(), variant: str
         as_double(spent).alias("total_spent"),
         F.min("customer_first_order").alias("first_order"),
         F.max("customer_last_order").alias("last_order")))
+    return with_recency(agg, params, variant)
+
+
+def with_recency(agg: DataFrame, params: Params, variant: str) -> DataFrame:
+    """F4 and P15-P17 on totals and order dates per e-mail."""
     as_of = timestamp_literal(params.as_of)
     if variant == "active":
         agg = agg.filter(F.col("last_order") >= as_of - F.make_dt_interval(F.lit(params.trailing_days)))

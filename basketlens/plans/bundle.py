@@ -1,9 +1,8 @@
 """The report bundle, every summary table over the cleaned order lines.
 
-Lines are never persisted: each table reads only the columns it needs. What
-several tables share is aggregated first: one frame of sums and counts by
-month for the revenue and average tables, one of item sales for thresholds
-and flags. Those are persisted and freed by ``release``.
+The lines are read once: ``grains`` aggregates them at all the grains that the
+tables start from, and every table reads its slice of that frame. It is
+persisted and freed by ``release``.
 """
 
 from __future__ import annotations
@@ -12,44 +11,56 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.operators import clean, inventory, region, revenue, segments
+from basketlens.functions.materialise import reliable
+from basketlens.operators import inventory, region, revenue, segments
 from basketlens.operators.ranking import top_n_per_group
+from basketlens.plans import grains
 from basketlens.schema import Params
 
 
+def _top_categories(categories: DataFrame, params: Params) -> DataFrame:
+    top = top_n_per_group(categories, ["year"], [F.desc("revenue"), F.asc("last_category")], params.top_categories)
+    return top.select("year", "rank", "last_category", "revenue")
+
+
+def _held(g: DataFrame) -> DataFrame:
+    return g.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def bundle_top_categories(lines: DataFrame, params: Params = Params()) -> DataFrame:
     """The top categories of each year with their exact revenue (no share, no rest row)."""
-    top = top_n_per_group(revenue.category_revenue(lines, params), ["year"], [F.desc("revenue"), F.asc("last_category")], params.top_categories)
-    return top.select("year", "rank", "last_category", "revenue")
+    return _top_categories(grains.category_revenue(reliable(grains.grains(lines, params, (grains.CATEGORY,))), params), params)
 
 
 def bundle_top_products(lines: DataFrame, params: Params = Params()) -> DataFrame:
     """The top products of each year: item name and rounded revenue."""
-    return revenue.top_products(lines, params).select("year", "rank", "item_name", "revenue")
+    g = reliable(grains.grains(lines, params, (grains.ITEM,)))
+    return revenue.top_of_products(grains.product_revenue(g, params), params).select("year", "rank", "item_name", "revenue")
 
 
 def report_bundle(lines: DataFrame, cities: DataFrame, params: Params = Params(),
                   with_segments: bool = True) -> dict[str, DataFrame]:
     """Monthly matrix, AOV matrix, top products, top categories, county totals,
     stock-risk counts and (optionally) the cluster summary, as DataFrames."""
-    months = revenue.monthly_orders(clean.order_totals(lines)).persist(StorageLevel.MEMORY_AND_DISK)
+    kinds = (grains.ORDER, grains.ITEM, grains.CATEGORY, grains.CITY, *((grains.CUSTOMER,) if with_segments else ()))
+    g = _held(grains.grains(lines, params, kinds))
+    months = _held(revenue.monthly_orders(grains.orders(g)))
     monthly, aov = months.select("year", "month", "net_revenue"), revenue.average_of(months)
     years = revenue.years_of(months)
-    items = inventory.item_sales(lines, params).persist(StorageLevel.MEMORY_AND_DISK)
     matrix = revenue.revenue_matrix(monthly, years)
-    held = [months, items]
+    held = [g, months]
     out = {
         "revenue_matrix": matrix,
         "revenue_matrix_text": revenue.formatted(matrix, [str(y) for y in years]),
         "yearly_totals": revenue.yearly_totals(monthly),
         "aov_matrix": revenue.aov_matrix(aov, years),
-        "top_products": bundle_top_products(lines, params),
-        "top_categories": bundle_top_categories(lines, params),
-        "county_totals": region.county_totals(region.regional_revenue(lines, cities, params)),
-        "stock_risk_counts": inventory.stock_risk_counts(inventory.stock_flags(items, params)),
+        "top_products": revenue.top_of_products(grains.product_revenue(g, params), params).select("year", "rank", "item_name", "revenue"),
+        "top_categories": _top_categories(grains.category_revenue(g, params), params),
+        "county_totals": region.county_totals(grains.regional_revenue(g, cities, params)),
+        "stock_risk_counts": inventory.stock_risk_counts(inventory.stock_flags(grains.item_sales(g, params), params)),
     }
     if with_segments:
-        seg = segments.segment(segments.customer_features(lines, params, "all"), segments.ALL_FEATURES, params)
+        seg = segments.segment(grains.customer_features(g, params, "all"), segments.ALL_FEATURES, params)
         out["cluster_summary"] = seg.summary
         held += seg.cached
     out["_persisted"] = held

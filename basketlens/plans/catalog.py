@@ -20,7 +20,7 @@ from basketlens.functions.names import normalise_name
 from basketlens.operators import (
     audience, clean, discounts, inventory, privacy, region, revenue, segments, timing,
 )
-from basketlens.plans import bundle
+from basketlens.plans import bundle, grains
 from basketlens.schema import LINE_ORDINAL, REQUIRED_COLUMNS
 from basketlens.sources import tables
 from basketlens.sources.readers import name_list
@@ -270,6 +270,42 @@ def q_bundle_top_products(spark, d):
     return bundle.bundle_top_products(lines(spark, d, "item_id", "item_name"), P)
 
 
+#: Columns of the order lines that the report bundle reads beside the base ones.
+BUNDLE_COLUMNS = ["city", "category_path", "item_id", "item_name", "quantity", "stock_quantity", *_FEATURE_COLS]
+
+
+def _grains(spark, d):
+    """The bundle's one frame, at all grains."""
+    return reliable(grains.grains(lines(spark, d, *BUNDLE_COLUMNS), P))
+
+
+def q_grain_orders(spark, d):
+    """A1, A2, A4, A5 by month from the one scan."""
+    months = revenue.monthly_orders(grains.orders(_grains(spark, d)))
+    return finalize(months.withColumn("avg_order_value", F.try_divide(F.col("net_revenue").cast("double"), F.col("orders"))))
+
+
+def q_grain_categories(spark, d):
+    return finalize(grains.category_revenue(_grains(spark, d), P))
+
+
+def q_grain_top_products(spark, d):
+    return revenue.top_of_products(grains.product_revenue(_grains(spark, d), P), P)
+
+
+def q_grain_item_sales(spark, d):
+    return grains.item_sales(_grains(spark, d), P)
+
+
+def q_grain_regions(spark, d):
+    return finalize(grains.regional_revenue(_grains(spark, d), tables.city_county_table(spark, d), P))
+
+
+def q_grain_customers(spark, d):
+    """A22 from the one scan."""
+    return grains.customer_features(_grains(spark, d), P, "all")
+
+
 def q_masked_emails(spark, d):
     cust = tables.customer_table(spark, d)
     return privacy.mask_emails(cust.select("customer_id", "email", F.col("email").alias("masked_email")),

@@ -511,3 +511,11 @@ named AS (SELECT *, {SEGMENT_CASE} AS segment FROM rec)""")
 
 # The bundle's product table is the product report without the item id.
 ORACLES["bundle_top_products"] = f"SELECT year, rank, item_name, revenue FROM ({ORACLES['top_products']})"
+
+# The slices of the one-scan frame equal the queries that read the lines for themselves.
+ORACLES |= {
+    "grain_orders": _with(*L, ORDERS) + """SELECT year, month, CAST(coalesce(sum(net_revenue), 0) AS DOUBLE) AS net_revenue, count(net_revenue) AS orders,
+    CAST(sum(net_revenue) AS DOUBLE) / count(net_revenue) AS avg_order_value
+  FROM order_totals WHERE year IS NOT NULL AND month IS NOT NULL GROUP BY year, month""",
+    "grain_categories": ORACLES["category_revenue"], "grain_top_products": ORACLES["top_products"], "grain_item_sales": ORACLES["item_sales"],
+    "grain_regions": ORACLES["regional_revenue"], "grain_customers": ORACLES["customer_features_all"]}
