@@ -79,7 +79,24 @@ def money(c: str | Column) -> Column:
     return F.coalesce(exact_amount(c), F.lit(0).cast(MONEY_TYPE))
 
 
-def to_timestamp_ntz(df: DataFrame, name: str, fmt: str | None = None) -> Column:
+#: Patterns that ``infer_date_format`` tries, in the order that decides between equally good ones (month before day, as
+#: pandas reads ambiguous text).
+DATE_FORMATS = tuple(day + time for day in ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd", "MM/dd/yyyy", "dd/MM/yyyy", "dd.MM.yyyy", "dd-MM-yyyy", "yyyyMMdd")
+                     for time in (" HH:mm:ss", " HH:mm", ""))
+
+
+def infer_date_format(df: DataFrame, name: str, formats: tuple[str, ...] = DATE_FORMATS) -> str | None:
+    """The pattern that parses most texts of a column, from one pass that counts them all; None if the column is no text,
+    or ISO-like text (parsed without a pattern) does as well as any pattern."""
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return None
+    c = strip_ws(F.col(name))
+    counts = df.agg(F.count(c.try_cast("timestamp_ntz")), *[F.count(F.try_to_timestamp(c, F.lit(f))) for f in formats]).first()
+    iso, best = counts[0], max(counts[1:])
+    return None if iso >= best else formats[counts[1:].index(best)]
+
+
+def to_timestamp_ntz(df: DataFrame, name: str, fmt: str | None = None, strip: bool = False) -> Column:
     """Parse a date column to ``timestamp_ntz``; bad values become null.
 
     Text is parsed with ``fmt`` (a Spark datetime pattern) when given, else as
@@ -88,6 +105,7 @@ def to_timestamp_ntz(df: DataFrame, name: str, fmt: str | None = None) -> Column
     dtype = df.schema[name].dataType
     c = F.col(name)
     if isinstance(dtype, T.StringType):
+        c = strip_ws(c) if strip else c
         if fmt:
             return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
         return c.try_cast("timestamp_ntz")

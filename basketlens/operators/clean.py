@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketlens.functions.columns import exact_amount, first_non_null, money, sum0, to_timestamp_ntz
+from basketlens.functions.columns import exact_amount, first_non_null, infer_date_format, money, sum0, to_timestamp_ntz
 from basketlens.schema import KEEP_COLUMNS, LINE_ORDINAL, MONEY_COLUMNS, REQUIRED_COLUMNS, Params
 
 
@@ -41,21 +41,29 @@ def _numeric(df: DataFrame, name: str, to: str) -> F.Column:
     return c.try_cast(to)
 
 
+def parsed_date(df: DataFrame, name: str, params: Params) -> F.Column:
+    """P4 with the stated, inferred or ISO-like format; text around which there is white space counts without it if inferred."""
+    if params.date_format != "infer":
+        return to_timestamp_ntz(df, name, params.date_format)
+    return to_timestamp_ntz(df, name, infer_date_format(df, name), strip=True)
+
+
 def order_lines(raw: DataFrame, params: Params = Params()) -> DataFrame:
     """Cleaned completed order lines with year, month and line revenue.
 
     P1 keep list, F1 status filter, P3 money coercion, P4 date parsing,
-    P5 year/month, P6 line revenue. Lazy: no job runs here. The status
-    filter sits directly on the raw column, so it reaches the scan.
+    P5 year/month, P6 line revenue. Lazy: no job runs here but for an inferred format. The status
+    filter sits directly on the raw column, so it reaches the scan. With
+    ``params.date_format = "infer"`` the pattern of each text date column is
+    found first, in one pass that counts the texts each pattern parses.
     """
     _require(raw, REQUIRED_COLUMNS)
     df = keep_known_columns(raw)
     df = df.filter(F.col("order_status") == F.lit(params.completed_status))
     casts = {c: money(c) for c in MONEY_COLUMNS}
-    casts["order_date"] = to_timestamp_ntz(df, "order_date", params.date_format)
-    for c in ("customer_first_order", "customer_last_order"):
+    for c in ("order_date", "customer_first_order", "customer_last_order"):
         if c in df.columns:
-            casts[c] = to_timestamp_ntz(df, c, params.date_format)
+            casts[c] = parsed_date(df, c, params)
     for c in ("quantity", "stock_quantity"):
         if c in df.columns:
             casts[c] = _numeric(df, c, "double")

@@ -9,6 +9,7 @@ at the boundary.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 from basketlens.functions.materialise import reliable
 from basketlens.functions.names import normalise_name
 from basketlens.operators import (
-    audience, clean, discounts, inventory, privacy, region, revenue, segments, timing,
+    audience, clean, daily, discounts, inventory, privacy, region, revenue, segments, timing,
 )
 from basketlens.plans import bundle, grains
 from basketlens.schema import LINE_ORDINAL, REQUIRED_COLUMNS
@@ -59,6 +60,14 @@ def q_order_lines_clean(spark, d):
     return finalize(df.drop(LINE_ORDINAL))
 
 
+def q_text_dates(spark, d):
+    """P4 on text: the orders' dates written in two formats, whose patterns are inferred."""
+    df = tables.read_table(spark, d, "orders").select(F.col("o_orderkey").alias("order_number"), F.date_format("o_orderdate", "yyyy.MM.dd HH:mm").alias("order_date"),
+                                                      F.date_format("o_orderdate", "dd/MM/yyyy").alias("day_first"))
+    infer = P.with_(date_format="infer")
+    return df.select("order_number", *[clean.parsed_date(df, c, infer).alias(c) for c in ("order_date", "day_first")])
+
+
 def q_order_totals(spark, d):
     return finalize(orders(spark, d))
 
@@ -143,6 +152,17 @@ def q_item_sales(spark, d):
     return _items(spark, d)
 
 
+#: Clocks at which the trailing item sales are taken from the daily partials.
+CLOCKS = (dt.datetime(2001, 8, 1), dt.datetime(1999, 3, 15), dt.datetime(1996, 1, 1))
+
+
+def q_item_sales_by_clock(spark, d):
+    """F3 + A12 at three clocks from one frame of daily partials."""
+    days = reliable(daily.item_days(lines(spark, d, "item_id", "item_name", "quantity", "stock_quantity")))
+    parts = [daily.item_sales(days, P.with_(as_of=clock)).select(F.lit(clock.date().isoformat()).alias("as_of"), "*") for clock in CLOCKS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def q_stock_thresholds(spark, d):
     return inventory.stock_thresholds(_items(spark, d), P)
 

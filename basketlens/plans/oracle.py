@@ -519,3 +519,10 @@ ORACLES |= {
   FROM order_totals WHERE year IS NOT NULL AND month IS NOT NULL GROUP BY year, month""",
     "grain_categories": ORACLES["category_revenue"], "grain_top_products": ORACLES["top_products"], "grain_item_sales": ORACLES["item_sales"],
     "grain_regions": ORACLES["regional_revenue"], "grain_customers": ORACLES["customer_features_all"]}
+
+ORACLES["item_sales_by_clock"] = _with(*L) + " UNION ALL ".join(f"""SELECT '{day}' AS as_of, item_id, item_name, coalesce(sum(quantity), 0) AS quantity, arg_min(stock_quantity, line_no) AS stock_quantity,
+    coalesce(sum(quantity), 0) / 365.0 AS daily_avg
+  FROM lines WHERE order_date >= TIMESTAMP '{day} 00:00:00' - INTERVAL 365 DAY AND item_id IS NOT NULL AND item_name IS NOT NULL GROUP BY item_id, item_name
+""" for day in ("2001-08-01", "1999-03-15", "1996-01-01"))
+
+ORACLES["text_dates"] = "SELECT o_orderkey AS order_number, o_orderdate AS order_date, CAST(o_orderdate AS TIMESTAMP) AS day_first FROM orders"

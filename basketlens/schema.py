@@ -115,7 +115,8 @@ class Params:
 
     completed_status: str = COMPLETED_STATUS
     # Pattern for text dates (Spark datetime pattern, e.g. "yyyy.MM.dd HH:mm");
-    # None parses ISO-like text. Text that does not match becomes null.
+    # None parses ISO-like text, "infer" finds each column's best pattern first.
+    # Text that does not match becomes null.
     date_format: str | None = None
     # Reference clock. None means "now" (current_timestamp at query time).
     as_of: dt.datetime | None = None
