@@ -2,19 +2,19 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of documents. ``run`` writes each result as Parquet in
-the folder named by spark.checkpoint.dir and reads it back for the next stage.
+the folder named by spark.checkpoint.dir and reads it back for the next stage
+(a cluster that names none is refused: its machines share no other folder).
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketlens.llm import decontaminate, jaccard_join, language, mixing, shards
-from basketlens.llm.common import table, text_key
+from basketlens.llm.common import shared_folder, table, text_key
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -64,8 +64,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents of ``sf_dir``; documents' columns with shard and slot."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-")
-    folder = f"{shared.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}_{name}"
