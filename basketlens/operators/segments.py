@@ -15,6 +15,8 @@ from basketlens.schema import (
     SEGMENT_INACTIVE, SEGMENT_LOYAL, SEGMENT_NEW, SEGMENT_OCCASIONAL, SEGMENT_VIP, Params,
 )
 
+ROWS_PER_TASK = 100_000      # customers that a task of a k-means step has at least, where there are so many
+
 ACTIVE_FEATURES = ["total_orders", "total_spent", "recency_days", "order_frequency"]
 ALL_FEATURES = [*ACTIVE_FEATURES, "lifetime_days"]
 
@@ -142,7 +144,8 @@ def segment(features: DataFrame, cols: list[str], params: Params = Params()) ->
     points = scaled.select(*complete.columns, *[kmeans.units(F.col(c + "_z")).alias(u) for c, u in zip(cols, ucols)])
     varying = sum(1 for c in cols if (counts[c] or 0) > 0)
     tol = params.tol * varying / len(cols) * kmeans.UNIT * kmeans.UNIT
-    held = points.select("email", *ucols).persist(StorageLevel.MEMORY_AND_DISK)    # every step reads it
+    # Every step reads the points, a task per partition: few customers are put into few partitions.
+    held = points.select("email", *ucols).coalesce(n // ROWS_PER_TASK + 1).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fit = kmeans.fit(held, "email", ucols, k, params.seed, params.starts, params.max_iter, tol)
     finally:

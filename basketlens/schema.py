@@ -141,7 +141,7 @@ class Params:
     seed: int = 42
     max_iter: int = 300
     tol: float = 1e-4                   # scikit-learn style (relative), see segments.segment
-    starts: int = 4                     # starts of k-means, of which the one of least inertia is kept
+    starts: int = 2                     # starts of k-means, of which the one of least inertia is kept
     loyal_min_orders: float = 5
     loyal_min_spent: float = 50_000
     vip_min_spent: float = 100_000
