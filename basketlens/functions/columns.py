@@ -147,6 +147,11 @@ def format_amount(c: str | Column, suffix: str = "") -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def format_share(c: str | Column) -> Column:
+    """``f"{x:.2f}%"`` of a share in per cent; null -> ''."""
+    return F.coalesce(F.concat(F.format_number(col(c).cast("double"), 2), F.lit("%")), F.lit(""))
+
+
 def mask_email(c: str | Column, digits: int = 10, salt: str = "") -> Column:
     """First ``digits`` hex digits of SHA-256 + '@masked.com'; null stays null."""
     x = col(c)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlens.functions.columns import as_double
+from basketlens.functions.columns import as_double, format_share
 from basketlens.operators.periods import from_year
 from basketlens.operators.ranking import fold_small_shares, value_shares
 from basketlens.schema import Params
@@ -35,4 +35,13 @@ def origin_folded(lines: DataFrame, params: Params = Params()) -> DataFrame:
     return fold_small_shares(origin_share(lines, params), "origin", params.share_threshold, params.other_label)
 
 
-__all__ = ["gender_share", "gender_summary", "origin_folded", "origin_share"]
+def shares_text(shares: DataFrame, key: str) -> DataFrame:
+    """P12 + K9: rank, key and share as printed ("12.34%"), most frequent first, ties by the key.
+
+    The window orders one row per distinct value, as the printed list does.
+    """
+    order = Window.orderBy(F.desc("n"), F.asc(key))
+    return shares.select(F.row_number().over(order).alias("rank"), key, format_share("share").alias("share"))
+
+
+__all__ = ["gender_share", "gender_summary", "origin_folded", "origin_share", "shares_text"]

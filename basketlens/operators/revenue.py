@@ -65,6 +65,11 @@ def revenue_formatted(monthly: DataFrame) -> DataFrame:
     return monthly.select("year", "month", format_amount("net_revenue").alias("net_revenue"))
 
 
+def yearly_totals_text(totals: DataFrame) -> DataFrame:
+    """P12 of A4: the yearly totals as text with two decimals."""
+    return formatted(totals, ["net_revenue"])
+
+
 def average_order_value(orders: DataFrame) -> DataFrame:
     """A5: mean net revenue per order for each (year, month): the exact sum, divided in double precision."""
     return average_of(monthly_orders(orders))

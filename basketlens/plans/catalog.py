@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from basketlens.functions.materialise import reliable
 from basketlens.functions.names import normalise_name
 from basketlens.operators import (
-    audience, clean, daily, discounts, inventory, privacy, region, revenue, segments, timing,
+    audience, clean, daily, discounts, inventory, privacy, region, revenue, segments, sketches, timing,
 )
 from basketlens.plans import bundle, grains
 from basketlens.schema import LINE_ORDINAL, REQUIRED_COLUMNS
@@ -84,6 +84,10 @@ def q_yearly_totals(spark, d):
     return finalize(revenue.yearly_totals(revenue.monthly_revenue(orders(spark, d))))
 
 
+def q_yearly_totals_text(spark, d):
+    return revenue.yearly_totals_text(revenue.yearly_totals(revenue.monthly_revenue(orders(spark, d))))
+
+
 def q_revenue_formatted(spark, d):
     return revenue.revenue_formatted(revenue.monthly_revenue(orders(spark, d)))
 
@@ -207,6 +211,26 @@ def q_gender_summary(spark, d):
     return audience.gender_summary(lines(spark, d, "gender"))
 
 
+def q_gender_share_text(spark, d):
+    return audience.shares_text(audience.gender_share(lines(spark, d, "gender")), "gender")
+
+
+def q_discount_summary_sketch(spark, d):
+    """A14 from monthly sketches, beside the exact rows."""
+    every = lines(spark, d, "gender")
+    return sketches.against_exact(sketches.discount_summary(sketches.monthly_partials(every)), discounts.discount_summary(every), "year", "discounted_orders")
+
+
+def q_gender_summary_sketch(spark, d):
+    """A18 from monthly sketches, beside the exact rows."""
+    every = lines(spark, d, "gender")
+    return sketches.against_exact(sketches.gender_summary(sketches.monthly_partials(every)), audience.gender_summary(every), "gender", "orders")
+
+
+def q_origin_share_text(spark, d):
+    return audience.shares_text(audience.origin_share(event_lines(spark, d), P), "origin")
+
+
 def q_origin_share(spark, d):
     return audience.origin_share(event_lines(spark, d), P)
 

@@ -526,3 +526,11 @@ ORACLES["item_sales_by_clock"] = _with(*L) + " UNION ALL ".join(f"""SELECT '{day
 """ for day in ("2001-08-01", "1999-03-15", "1996-01-01"))
 
 ORACLES["text_dates"] = "SELECT o_orderkey AS order_number, o_orderdate AS order_date, CAST(o_orderdate AS TIMESTAMP) AS day_first FROM orders"
+
+ORACLES["yearly_totals_text"] = f"SELECT year, format('{{:,.2f}}', CAST(net_revenue AS DOUBLE)) AS net_revenue FROM ({ORACLES['yearly_totals']})"
+
+ORACLES |= {f"{key}_share_text": f"SELECT CAST(row_number() OVER (ORDER BY n DESC, {key}) AS INTEGER) AS rank, {key}, printf('%.2f%%', share) AS share FROM ({ORACLES[f'{key}_share']})"
+            for key in ("gender", "origin")}
+
+# the exact rows; a sketched count must lie within its stated error
+ORACLES |= {f"{name}_sketch": f"SELECT *, true AS within FROM ({ORACLES[name]})" for name in ("discount_summary", "gender_summary")}
