@@ -25,6 +25,7 @@ from basketlens.plans import bundle, grains
 from basketlens.schema import LINE_ORDINAL, REQUIRED_COLUMNS
 from basketlens.sources import tables
 from basketlens.sources.readers import name_list
+from basketlens.sources.reconcile import column_votes, reconcile
 
 P = tables.test_params()
 BASE = [*REQUIRED_COLUMNS, LINE_ORDINAL]
@@ -68,6 +69,32 @@ def q_text_dates(spark, d):
     return df.select("order_number", *[clean.parsed_date(df, c, infer).alias(c) for c in ("order_date", "day_first")])
 
 
+def _exports(spark, d):
+    """All orders as three exports by status, whose headers, types and columns differ."""
+    df = tables.read_table(spark, d, "orders")
+    status, price = F.coalesce("o_orderstatus", F.lit("")), F.col("o_totalprice").cast("decimal(18,2)")
+    return {
+        "open": df.where(status == "O").select(
+            F.col("o_orderkey").cast("string").alias("order number"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("ORDER DATE"),
+            F.col("o_orderstatus").alias("Order status"), F.concat(F.lit(" "), price.cast("string")).alias("Order Line Total (Include Tax)"), F.col("o_orderpriority").alias("origin")),
+        "finished": df.where(status == "F").select(
+            F.col("o_orderkey").alias("Order Number"), F.col("o_orderdate").alias("Order Date"), F.col("o_orderstatus").alias("Order Status"),
+            price.alias("Order Line Total (include tax)")),
+        "rest": df.where(~status.isin("O", "F")).select(
+            price.alias("line_total"), F.col("o_orderkey").alias("order_number"), F.to_date("o_orderdate").alias("order_date"), F.col("o_orderstatus").alias("order_status")),
+    }
+
+
+def q_reconciled_exports(spark, d):
+    """S1 over three unlike exports."""
+    return finalize(reconcile(spark, _exports(spark, d))[0])
+
+
+def q_export_votes(spark, d):
+    """How many values of each column of each export read as which kind."""
+    return column_votes(spark, _exports(spark, d)).drop("header", "declared")
+
+
 def q_order_totals(spark, d):
     return finalize(orders(spark, d))
 

@@ -534,3 +534,20 @@ ORACLES |= {f"{key}_share_text": f"SELECT CAST(row_number() OVER (ORDER BY n DES
 
 # the exact rows; a sketched count must lie within its stated error
 ORACLES |= {f"{name}_sketch": f"SELECT *, true AS within FROM ({ORACLES[name]})" for name in ("discount_summary", "gender_summary")}
+
+EXPORTS = """exports AS (
+  SELECT CASE coalesce(o_orderstatus, '') WHEN 'O' THEN 'open' WHEN 'F' THEN 'finished' ELSE 'rest' END AS export, o_orderkey AS order_number,
+         CAST(o_orderdate AS TIMESTAMP) AS order_date, o_orderstatus AS order_status, CAST(o_totalprice AS DECIMAL(18,2)) AS line_total,
+         CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS origin
+  FROM orders)"""
+
+ORACLES["reconciled_exports"] = f"WITH {EXPORTS} SELECT export, order_number, order_date, order_status, CAST(line_total AS DOUBLE) AS line_total, origin FROM exports"
+
+# whole numbers of at most 15 digits read as every number; the typed exports' prices are wider than a double holds
+ORACLES["export_votes"] = f"""WITH {EXPORTS}
+  SELECT export, 'order_number' AS "column", count(order_number) AS n, count(order_number) AS n_long, count(order_number) AS n_number, count(order_number) AS n_double, 0 AS n_time
+  FROM exports GROUP BY export
+  UNION ALL SELECT export, 'order_date', count(order_date), 0, 0, 0, count(order_date) FROM exports GROUP BY export
+  UNION ALL SELECT export, 'order_status', count(nullif(order_status, '')), 0, 0, 0, 0 FROM exports GROUP BY export
+  UNION ALL SELECT export, 'line_total', count(line_total), 0, count(line_total), CASE WHEN export = 'open' THEN count(line_total) ELSE 0 END, 0 FROM exports GROUP BY export
+  UNION ALL SELECT 'open', 'origin', count(origin), 0, 0, 0, 0 FROM exports"""

@@ -22,8 +22,8 @@ from basketlens.schema import LINE_ORDINAL, SOURCE_TO_CANONICAL
 
 #: Types a column can get, narrowest first; text if none fits all values.
 NUMBER = "decimal(38,10)"
-KINDS = {"long": "bigint", "number": NUMBER, "time": "timestamp_ntz"}
-VOTES = "export string, column string, header string, declared string, n long, n_long long, n_number long, n_time long"
+KINDS = {"long": "bigint", "number": NUMBER, "double": "double", "time": "timestamp_ntz"}
+VOTES = "export string, column string, header string, declared string, n long, n_long long, n_number long, n_double long, n_time long"
 
 
 def plain_header(header: str) -> str:
@@ -54,10 +54,15 @@ def _reads(df: DataFrame, header: str) -> dict[str, Column]:
         c = F.nullif(strip_ws(c), F.lit(""))
         whole = c.rlike(r"^[+-]?\d{1,18}$") & ~c.rlike(r"^[+-]?0\d")       # a leading zero is part of a code
         number = c.rlike(r"^[+-]?\d{1,28}(\.\d{0,10})?$") & ~c.rlike(r"^[+-]?0\d")
-        return {"value": c, "long": whole, "number": number, "time": c.try_cast("timestamp_ntz").isNotNull() & c.contains("-")}
+        short = number & (F.length(F.regexp_replace(c, r"\D", "")) <= 15)      # a double gives back up to 15 digits
+        return {"value": c, "long": whole, "number": number, "double": short, "time": c.try_cast("timestamp_ntz").isNotNull() & c.contains("-")}
     yes, no = c.isNotNull(), F.lit(False)
     number = isinstance(dtype, T.IntegralType) or isinstance(dtype, T.DecimalType) and dtype.scale <= 10 and dtype.precision - dtype.scale <= 28
-    return {"value": c, "long": yes if isinstance(dtype, T.IntegralType) else no, "number": yes if number else no,
+    if isinstance(dtype, T.LongType):
+        double = F.abs(c) <= 1 << 53
+    else:
+        double = yes if isinstance(dtype, (T.IntegralType, T.FractionalType)) and getattr(dtype, "precision", 0) <= 15 else no
+    return {"value": c, "long": yes if isinstance(dtype, T.IntegralType) else no, "number": yes if number else no, "double": double,
             "time": yes if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)) else no}
 
 

@@ -52,6 +52,15 @@ def test_type_of_one_text(spark, text, kind):
     assert dict(frame.dtypes)["v"] == kind and str(frame.first().v) != "None"
 
 
+def test_doubles_stay_doubles_where_nothing_is_lost(spark):
+    one = spark.createDataFrame([(0.1, 1.5)], "a double, b double")
+    two = spark.createDataFrame([("12.25", 2 ** 60)], "a string, b long")
+    frame, odd = reconcile(spark, {"one": one, "two": two})
+    assert dict(frame.dtypes)["a"] == "double" and dict(frame.dtypes)["b"] == "string"
+    assert sorted((r.a, r.b) for r in frame.collect()) == [(0.1, "1.5"), (12.25, str(2 ** 60))]
+    assert {r.column: r.n_text for r in odd.collect()} == {"a": 0, "b": 1}
+
+
 def test_plain_headers():
     assert plain_header(" Order_Number ") == plain_header("order  number") == "ordernumber"
 
