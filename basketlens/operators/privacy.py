@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from basketlens.functions.columns import mask_email
 from basketlens.functions.names import normalise_columns
+from basketlens.operators.hot_keys import hot_keys, split_lookup
 from basketlens.schema import (
     FEMALE_NAME_MARK, GENDER_FEMALE, GENDER_MALE, GENDER_UNKNOWN, PII_COLUMNS, Params,
 )
@@ -45,19 +46,26 @@ def _gender(n1, m1, f1, n2, m2, f2) -> F.Column:
 
 
 def infer_gender(raw: DataFrame, flags: DataFrame, first: str = "first_name", last: str = "last_name",
-                 out: str = "gender") -> DataFrame:
+                 out: str = "gender", split_parts: int | None = None) -> DataFrame:
     """Gender from the first, then the last name; '-né' marks a woman; else unknown.
 
     One lazy pass for batch and streams: names are normalised in Arrow
     batches (distinct values of a batch only) and joined with the name lists.
     The lists are broadcast while their size is under the planner's byte
-    threshold; beyond it AQE splits common names of the shuffle join.
+    threshold; beyond it AQE splits common names of the shuffle join. For a
+    batch whose lists are that long, ``split_parts`` (the number of tasks)
+    counts the names first and deals those that are common over several tasks.
     """
     df = normalised_names(raw, first, last)
     f1 = flags.select(F.col("name").alias("_n1"), F.col("is_male").alias("_m1"), F.col("is_female").alias("_f1"))
     f2 = flags.select(F.col("name").alias("_n2"), F.col("is_male").alias("_m2"), F.col("is_female").alias("_f2"))
-    df = (df.join(f1, F.col("first_name_norm") == F.col("_n1"), "left")
-            .join(f2, F.col("last_name_norm") == F.col("_n2"), "left"))
+    if split_parts:
+        common = {c: hot_keys(df, F.col(c), split_parts) for c in ("first_name_norm", "last_name_norm")}
+        df = split_lookup(df, f1, "first_name_norm", "_n1", common["first_name_norm"])
+        df = split_lookup(df, f2, "last_name_norm", "_n2", common["last_name_norm"])
+    else:
+        df = (df.join(f1, F.col("first_name_norm") == F.col("_n1"), "left")
+                .join(f2, F.col("last_name_norm") == F.col("_n2"), "left"))
     gender = _gender(F.col("first_name_norm"), F.col("_m1"), F.col("_f1"),
                      F.col("last_name_norm"), F.col("_m2"), F.col("_f2"))
     return df.withColumn(out, gender).drop("_n1", "_m1", "_f1", "_n2", "_m2", "_f2",
@@ -76,10 +84,11 @@ def mask_emails(df: DataFrame, params: Params = Params(), col: str = "email") ->
     return df.withColumn(col, mask_email(col, params.mask_digits, params.mask_salt))
 
 
-def anonymise(raw: DataFrame, male: DataFrame, female: DataFrame, params: Params = Params()) -> DataFrame:
+def anonymise(raw: DataFrame, male: DataFrame, female: DataFrame, params: Params = Params(), split_parts: int | None = None) -> DataFrame:
     """Q1: gender first (it needs the names), then drop personal columns, then mask e-mail.
 
-    ``male``/``female`` are N2 name lists (column ``name``). No action inside.
+    ``male``/``female`` are N2 name lists (column ``name``). No action inside,
+    but for the counts of names with ``split_parts`` (see ``infer_gender``).
     """
-    with_gender = infer_gender(raw, name_flags(male, female))
+    with_gender = infer_gender(raw, name_flags(male, female), split_parts=split_parts)
     return mask_emails(drop_pii(with_gender), params)

@@ -405,6 +405,13 @@ def q_anonymised_customers(spark, d):
     return privacy.anonymise(tables.customer_table(spark, d), male, female, P)
 
 
+def q_split_customer_names(spark, d):
+    """J2 by split hot names; the same rows as the plain join's."""
+    male, female = name_lookups(spark)
+    cust = tables.customer_table(spark, d).select("customer_id", "first_name", "last_name")
+    return privacy.infer_gender(cust, privacy.name_flags(male, female), split_parts=8)
+
+
 ANON_LINE_COLUMNS = ["order_number", LINE_ORDINAL, "order_date", "order_status", "city", "email",
                      "line_total", "refund_amount", "discount_amount", "item_id", "item_name",
                      "quantity", "category_path", "gender", "origin", *tables.NAME_COLUMNS]

@@ -551,3 +551,5 @@ ORACLES["export_votes"] = f"""WITH {EXPORTS}
   UNION ALL SELECT export, 'order_status', count(nullif(order_status, '')), 0, 0, 0, 0 FROM exports GROUP BY export
   UNION ALL SELECT export, 'line_total', count(line_total), 0, count(line_total), CASE WHEN export = 'open' THEN count(line_total) ELSE 0 END, 0 FROM exports GROUP BY export
   UNION ALL SELECT 'open', 'origin', count(origin), 0, 0, 0, 0 FROM exports"""
+
+ORACLES["split_customer_names"] = ORACLES["inferred_gender"]

@@ -1,0 +1,74 @@
+"""Hot keys of a lookup join are dealt over tasks without changing its rows."""
+
+import contextlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from basketlens.operators import privacy
+from basketlens.operators.hot_keys import hot_keys, split_lookup
+
+PARTS = 16
+
+
+@contextlib.contextmanager
+def settings(spark, **conf):
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+SHUFFLE_JOIN = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": str(PARTS)}
+
+
+def lines(spark):
+    """A third of the rows hold one city, an eighth none."""
+    city = F.when(F.col("id") % 3 == 0, F.lit("Budapest")).when(F.col("id") % 8 != 1, F.concat(F.lit("c"), (F.col("id") % 5000).cast("string")))
+    return spark.range(0, 48_000, 1, 6).select(F.col("id").alias("order_number"), city.alias("city"), F.lit(1.5).alias("total"))
+
+
+def cities(spark):
+    return spark.range(4900).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("name"), (F.col("id") % 19).alias("county")).union(
+        spark.createDataFrame([("Budapest", 99), ("Budapest", 98), (None, 97)], "name string, county long"))
+
+
+def sizes(df):
+    return sorted(r[1] for r in df.groupBy(F.spark_partition_id()).count().collect())
+
+
+def test_no_task_far_above_the_median_and_the_same_rows(spark):
+    with settings(spark, **SHUFFLE_JOIN):
+        rows, lookup = lines(spark), cities(spark)
+        hot = hot_keys(rows, F.col("city"), PARTS)
+        assert list(hot) == ["Budapest"] and hot["Budapest"] > PARTS // 3
+        plain = rows.join(lookup, rows["city"] == lookup["name"], "left")
+        split = split_lookup(rows, lookup, "city", "name", hot)
+        assert split.columns == plain.columns
+        assert split.exceptAll(plain).count() == 0 and plain.exceptAll(split).count() == 0
+        a, b = sizes(split.dropDuplicates(["order_number"]).select("order_number")), sizes(split)
+        assert sum(a) == 48_000 and b[-1] <= 3 * b[len(b) // 2] and len(b) == PARTS
+        assert sizes(plain)[-1] > 3 * sizes(plain)[PARTS // 2]
+
+
+@pytest.mark.parametrize("n", [0, 5])
+def test_few_rows_and_no_hot_keys(spark, n):
+    rows = lines(spark).limit(n)
+    hot = hot_keys(rows, F.col("city"), PARTS)
+    plain = rows.join(cities(spark), F.col("city") == F.col("name"), "left")
+    for keys in (hot, {}, {"nobody": 3}):
+        split = split_lookup(rows, cities(spark), "city", "name", keys)
+        assert split.exceptAll(plain).count() == 0 and plain.exceptAll(split).count() == 0
+
+
+def test_gender_of_common_names(spark):
+    with settings(spark, **SHUFFLE_JOIN):
+        raw = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.lit("Éva")).otherwise(F.concat(F.lit("x"), F.col("id").cast("string"))).alias("first_name"),
+                                       F.when(F.col("id") % 2 > 0, F.lit("Péter")).alias("last_name"))
+        flags = privacy.name_flags(spark.createDataFrame([("peter",)], "name string"), spark.createDataFrame([("eva",)], "name string"))
+        plain, split = privacy.infer_gender(raw, flags), privacy.infer_gender(raw, flags, split_parts=8)
+        assert plain.columns == split.columns and sorted(plain.collect()) == sorted(split.collect())
