@@ -72,18 +72,30 @@ def parse(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def pack(tokens: list[int], fixed: int, budget: int) -> list[tuple[int, int]]:
-    """Greedy runs [a, b) of turns whose tokens fit into budget - fixed; a turn that doesn't fit alone is a run by itself."""
+def pack(tokens: list[int], fixed: int, budget: int, repeated=None) -> list[tuple[int, int]]:
+    """Greedy runs [a, b) of turns whose tokens fit into budget - fixed, less ``repeated(a)`` for a run that begins at a;
+    a turn that doesn't fit alone is a run by itself."""
     ends = np.cumsum(tokens)
     out, a = [], 0
     while a < len(tokens):
         start = int(ends[a - 1]) if a else 0
-        b = max(a + 1, int(np.searchsorted(ends, start + budget - fixed, "right")))
+        room = budget - fixed - (repeated(a) if repeated else 0)
+        b = max(a + 1, int(np.searchsorted(ends, start + room, "right")))
         out.append((a, b))
         a = b
     return out
 
 
+def history_from(tokens: list[int], a: int, floor: int, history: int, room: int) -> tuple[int, int]:
+    """(first, tokens) of the turns before ``a`` that a window repeats: the last ones, ``history`` at most, not before
+    ``floor``, as many as ``room`` tokens hold."""
+    first, spent = a, 0
+    while first > floor and a - first < history and spent + tokens[first - 1] <= room:
+        first -= 1
+        spent += tokens[first]
+    return first, spent
+
+
 def _windows(budget: int, history: int, history_budget: int):
     def windows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["kind", "no"], kind="stable")
@@ -96,14 +108,20 @@ def _windows(budget: int, history: int, history_budget: int):
         own_system = not system and bool(rest) and n_before == 0 and numbers[0] == 0 and rest[0][0] == "system"
         lead = system or ([rest[0]] if own_system else [])
         fixed = sum(n for _, _, n in lead)
+        sizes = [n for _, _, n in rest]
+        most = history_budget - max(0, fixed - budget // 2)          # a long system turn takes from the history first
+
+        def back(a: int) -> tuple[int, int]:
+            return history_from(sizes, a, int(own_system), history, min(most, budget - fixed - sizes[a]))
+
+        def repeated(a: int) -> int:
+            a += n_before
+            return 0 if own_system and a == 0 else fixed + back(a)[1]
+
         out = []
-        for w, (a, b) in enumerate(pack([n for _, _, n in rest[n_before:]], fixed + history_budget, budget)):
+        for w, (a, b) in enumerate(pack(sizes[n_before:], 0, budget, repeated)):
             a, b = a + n_before, b + n_before
-            first = a
-            spent = 0
-            while first > 0 and a - first < history and spent + rest[first - 1][2] <= history_budget and not (own_system and first - 1 == 0):
-                first -= 1
-                spent += rest[first][2]
+            first = back(a)[0]
             repeat = [] if own_system and a == 0 else list(lead)
             text, spans = "", []
             shown = repeat + rest[first:b]
@@ -131,8 +149,11 @@ def format_windows(turns: DataFrame, budget: int = 2048, history: int = 4, histo
 
     Turns stand in the order of turn, then role, then text; equal rows are
     turns of their own. Null roles and texts are empty, a null turn comes
-    first, and rows without conv_id form one conversation. A turn over the
-    budget has a window of its own, whole. Tokens: words and single other
+    first, and rows without conv_id form one conversation. History takes room
+    only where it is repeated, and never what the first new turn needs; what
+    the system turn takes over half of the budget is taken from the history's.
+    A turn that doesn't fit beside the system turn has a window of its own,
+    whole, and n_tokens above the budget tells it. Tokens: words and single other
     signs, and a fixed overhead a turn. An empty table gives an empty result;
     other columns are not read.
     """

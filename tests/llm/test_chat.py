@@ -66,5 +66,52 @@ def test_escape_is_reversible_and_pack_is_greedy():
     assert pack([5, 5, 5, 30, 5, 5], 0, 12) == [(0, 2), (2, 3), (3, 4), (4, 6)]
 
 
+def plain_windows(turns, budget, history, history_budget):
+    """[(first shown, first new, end)] of one conversation's (role, tokens), by stepping turn by turn."""
+    lead = turns[0][1] if turns and turns[0][0] == "system" else None
+    fixed = lead or 0
+    out, a = [], 0
+    while a < len(turns):
+        floor = 0 if lead is None else 1
+        head = 0 if lead is not None and a == 0 else fixed
+        room = min(history_budget - max(0, fixed - budget // 2), budget - fixed - turns[a][1])
+        first, size = a, head
+        for j in range(a - 1, max(floor, a - history) - 1, -1):
+            if size - head + turns[j][1] > room:
+                break
+            first, size = j, size + turns[j][1]
+        b = a
+        while b < len(turns) and (b == a or size + turns[b][1] <= budget):
+            size += turns[b][1]
+            b += 1
+        out.append((first, a, b, size))
+        a = b
+    return out
+
+
+def test_windows_by_stepping(spark):
+    rng = np.random.default_rng(19)
+    rows, want = [], {}
+    for conv in range(30):
+        turns = [("system" if k == 0 and conv % 3 == 0 else ["user", "assistant"][k % 2], int(rng.integers(0, [30, 300][conv % 2]))) for k in range(int(rng.integers(1, 40)))]
+        rows += [(conv, k, role, "w " * n) for k, (role, n) in enumerate(turns)]
+        want[conv] = plain_windows([(role, n + 5) for role, n in turns], 400, 3, 100)
+    got = {}
+    for w in sorted(format_windows(frame(spark, rows), 400, 3, 100).collect(), key=lambda r: (r.conv_id, r.span, r.window)):
+        head = w.first_turn > 0 and w.conv_id % 3 == 0
+        got.setdefault(w.conv_id, []).append((w.first_turn - w.n_repeated + head, w.first_turn, w.first_turn + w.n_new, w.n_tokens))
+    spans = {w.conv_id for w in format_windows(frame(spark, rows), 400, 3, 100).where("span > 0").collect()}
+    assert len(spans) < 30 and all(got[c] == want[c] for c in want if c not in spans)
+
+
+def test_a_long_system_turn_leaves_full_windows(spark):
+    rows = [(1, 0, "system", "s " * 1600), *[(1, k, ["user", "assistant"][k % 2], "w " * 15) for k in range(1, 201)]]
+    rows += [(2, k, ["user", "assistant"][k % 2], "w " * (10 + k % 90)) for k in range(6000)]
+    windows = format_windows(frame(spark, rows)).collect()
+    one, two = [w for w in windows if w.conv_id == 1], [w for w in windows if w.conv_id == 2]
+    assert len(one) <= 10 and all(w.n_tokens <= 2048 for w in windows)
+    assert np.mean([w.n_tokens for w in two]) > 0.9 * 2048 and all(w.n_repeated for w in two if w.first_turn)
+
+
 def test_empty_table(spark):
     assert digest(format_windows(frame(spark, []))).count() == 0
