@@ -34,13 +34,26 @@ BLOCK = 256          # members of a block: a task compares at most 2 * BLOCK set
 
 
 def band_plan(threshold: float, recall: float, max_hashes: int = 192) -> tuple[int, int]:
-    """(bands, rows) with the most rows a band such that a pair at ``threshold`` meets with probability ``recall``."""
-    best = (max_hashes, 1)
+    """(bands, rows) with the most rows a band such that a pair at ``threshold`` meets with probability ``recall``.
+
+    At threshold 1 one band is certain, whatever its rows. ValueError: a
+    threshold outside (0, 1], a recall outside [0, 1) below threshold 1 (no
+    number of bands is certain there), or one that ``max_hashes`` can't give.
+    """
+    if not 0 < threshold <= 1 or not 0 <= recall <= 1:
+        raise ValueError(f"no threshold in (0, 1] with a recall in [0, 1]: {threshold}, {recall}")
+    if threshold == 1:
+        return 1, min(max_hashes, 8)
+    if recall == 1:
+        raise ValueError("MinHash bands reach every recall below 1, not 1")
+    best = None
     for rows in range(1, max_hashes + 1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold ** rows))
+        bands = max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold ** rows)))
         if bands * rows > max_hashes:
             break
         best = (bands, rows)
+    if best is None:
+        raise ValueError(f"recall {recall} at threshold {threshold} takes more than {max_hashes} hashes")
     return best
 
 

@@ -114,3 +114,20 @@ def test_components_of_text_nodes_and_no_edges(spark):
     got = dict(components(spark.createDataFrame([("b", "c"), ("c", "d"), ("x", "a"), ("q", "q")], "u string, v string")).collect())
     assert got == {"b": "b", "c": "b", "d": "b", "a": "a", "x": "a"}
     assert components(spark.createDataFrame([("q", "q")], "u string, v string")).collect() == []
+
+
+def test_band_plans_at_the_ends():
+    assert band_plan(1.0, 1.0)[0] == band_plan(1.0, 0.9999)[0] == 1
+    for threshold, recall in ((0.8, 0.9999), (0.5, 0.95), (0.99, 0.0)):
+        bands, rows = band_plan(threshold, recall)
+        assert bands * rows <= 192 and 1 - (1 - threshold ** rows) ** bands >= recall
+    for threshold, recall in ((0.8, 1.0), (0.01, 0.9999), (0.0, 0.5), (1.1, 0.5), (0.8, -0.1)):
+        with pytest.raises(ValueError):
+            band_plan(threshold, recall)
+
+
+def test_threshold_one_links_equal_sets_only(spark):
+    text = "a b c d e f g h a b c d e"
+    rows = [(1, text), (2, text.upper()), (3, text + " f"), (4, text + " x"), (5, "short"), (6, None)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join(documents(spark, rows), threshold=1.0, recall=1.0).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 0), 5: (5, 0), 6: (6, 0)}
