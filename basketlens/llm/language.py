@@ -22,7 +22,9 @@ from pyspark.sql import functions as F
 from basketlens.llm import tokens as T
 from basketlens.llm.common import broadcast_if_small, cut, numpy_columns
 
-LANGUAGES = ("de", "en", "es", "fr")
+LANGUAGES = ("de", "en", "es", "fr")      # where none are counted; see ``labelled_languages``
+MIN_ROWS, MIN_SHARE = 10, 0.005           # labelled rows of a language that gets a model, at least
+NOT_LANGUAGES = ("mis", "mul", "und", "zxx")   # codes for unknown, several and no languages
 BUCKETS = 1 << 16
 OTHER_PRIOR = 1e-4
 SMOOTHING = 0.5          # added to each trigram count
@@ -31,6 +33,7 @@ STRENGTH = 5.0           # pages that a level's parent weighs
 MAX_BROADCAST_KEYS = 20_000
 PIECE = 1 << 20          # bytes scored at a time
 KEYS = ("declared", "suffix", "domain", "host")
+RESULTS = {"grams", "fit", "post", "text_language", "language", "posterior", "rejected", *(f"{key}_n" for key in KEYS)}
 
 
 def trigrams(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +73,20 @@ def _pieces(texts: pa.Array):
         a = b
 
 
+def labelled_languages(docs: DataFrame, min_rows: int = MIN_ROWS, min_share: float = MIN_SHARE) -> tuple[str, ...]:
+    """The languages that ``docs(lang)`` labels, sorted: two- or three-letter codes (in any case, blanks around) of
+    ``min_rows`` rows and of a share ``min_share`` of the labelled rows, at least; so 1 / min_share of them at most.
+
+    Counted over every row. Null, empty and other labels count for nothing; an empty table has none.
+    """
+    label = F.lower(F.trim(F.col("lang").cast("string")))
+    counts = docs.groupBy(label.alias("label")).count().where(F.col("label").rlike("^[a-z]{2,3}$") & ~F.col("label").isin(*NOT_LANGUAGES))
+    counts = cut(counts)
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    rows = counts.where(F.col("count") >= max(min_rows, min_share * total)).collect()
+    return tuple(sorted(r.label for r in rows))
+
+
 def _counter(languages):
     def count(batches):
         total = np.zeros(len(languages) * BUCKETS, np.int64)
@@ -87,8 +104,9 @@ def _counter(languages):
 
 def train(docs: DataFrame, languages=LANGUAGES) -> np.ndarray:
     """Log probability of each trigram bucket under each language and "other", from every row of ``docs(text, lang)``
-    whose lang is one of ``languages``. The result's size is fixed, whatever the table's."""
-    cells = (docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    whose lang, without case and blanks around, is one of ``languages``. The result's size is that of the languages,
+    whatever the table's."""
+    cells = (docs.select(F.col("text").cast("string").alias("text"), F.lower(F.trim(F.col("lang").cast("string"))).alias("lang"))
              .where(F.col("lang").isin(list(languages)))
              .mapInArrow(_counter(languages), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")))
     cells = numpy_columns(cells)
@@ -101,7 +119,7 @@ def train(docs: DataFrame, languages=LANGUAGES) -> np.ndarray:
 
 def _scorer(model: np.ndarray):
     kinds = len(model)
-    prior = np.full(kinds, np.log((1 - OTHER_PRIOR) / (kinds - 1)))
+    prior = np.full(kinds, np.log((1 - OTHER_PRIOR) / max(kinds - 1, 1)))
     prior[-1] = np.log(OTHER_PRIOR)
 
     def score(batches):
@@ -134,7 +152,7 @@ def _sums(df: DataFrame, key: str, kinds: int) -> DataFrame:
 
 def _fuser(names: list[str], totals: np.ndarray, min_posterior: float, kept: list[str]):
     kinds = len(names)
-    overall = (totals + np.append(np.full(kinds - 1, (1 - OTHER_PRIOR) / (kinds - 1)), OTHER_PRIOR)) / (totals.sum() + 1.0)
+    overall = (totals + np.append(np.full(kinds - 1, (1 - OTHER_PRIOR) / max(kinds - 1, 1)), OTHER_PRIOR)) / (totals.sum() + 1.0)
     labels = np.array([*names, "und"], dtype=object)
 
     def matrix(column: pa.Array) -> np.ndarray:
@@ -188,10 +206,14 @@ def identify(rows: DataFrame, model: np.ndarray, languages=LANGUAGES, min_poster
     ``min_posterior``, language "other", or a text without letters, whose
     language is "und" and posterior 0). Ties go to the language first in order.
     Nulls in any of the five columns are empty; an empty one is no evidence.
-    Rows that repeat are rows of their own. An empty table stays empty.
+    Rows that repeat are rows of their own. An empty table stays empty. Columns
+    of the rows that bear a result's name raise ValueError.
     """
     evidence = ("body", "declared", "suffix", "domain", "host")
     names = [c for c in rows.columns if c not in evidence]
+    clash = sorted({c.lower() for c in names} & RESULTS)
+    if clash:
+        raise ValueError(f"columns bear names of results: {clash}")
     rows = rows.select(*names, *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in evidence])
     schema = ", ".join([f"`{c}` {t}" for c, t in rows.dtypes if c != "body"] + ["grams long", "fit array<double>", "post array<double>"])
     scored = cut(rows.mapInArrow(_scorer(model), schema))

@@ -55,8 +55,9 @@ def op9_mixture(spark, sf_dir):
 
 
 def op10_language(spark, sf_dir):
-    model = language.train(table(spark, sf_dir, "documents"))
-    return language.identify(language.page_evidence(table(spark, sf_dir, "pages")), model)
+    docs = table(spark, sf_dir, "documents")
+    languages = language.labelled_languages(docs)
+    return language.identify(language.page_evidence(table(spark, sf_dir, "pages")), language.train(docs, languages), languages)
 
 
 def op11_alignment(spark, sf_dir):

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from basketlens.llm.language import document_evidence, identify, page_evidence, train
+from basketlens.llm.language import document_evidence, fuse, identify, labelled_languages, page_evidence, train
 from helpers import documents
 
 PARTS = {"de": "schicht und der die ungen heit keit", "en": "the ing and tion of er with", "es": "cion ado que los mente ez la", "fr": "eau que les ment tre oi est"}
@@ -69,3 +69,64 @@ def test_same_result_by_shuffle_joins(spark, model, monkeypatch):
     few = sorted((r.doc_id, r.language, round(r.posterior, 9)) for r in identify(document_evidence(docs, "doc_id"), model).collect())
     monkeypatch.setattr(L, "MAX_BROADCAST_KEYS", 0)
     assert few == sorted((r.doc_id, r.language, round(r.posterior, 9)) for r in identify(document_evidence(docs, "doc_id"), model).collect())
+
+
+def test_languages_of_the_labels(spark):
+    rows = [(i, "x", lang) for lang, n in (("it", 30), ("EN ", 12), ("en", 3), ("pt", 9), ("und", 50), ("", 50), ("english", 50), (None, 50)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert labelled_languages(docs) == ("en", "it") and labelled_languages(docs, 1) == ("en", "it", "pt") and labelled_languages(docs, 1, 0.25) == ("en", "it")
+    assert labelled_languages(docs.limit(0)) == ()
+    unlabelled = docs.where("lang is null").selectExpr("*", "'s' as source")
+    none = identify(document_evidence(unlabelled, "doc_id"), train(docs, ()), ()).collect()
+    assert len(none) == 50 and all(r.rejected for r in none)
+
+
+def test_clashing_names_are_refused(spark, model):
+    docs = documents(spark, [(1, "der die")])
+    for name in ("grams", "Post", "host_n", "language"):
+        with pytest.raises(ValueError, match=name.lower()):
+            identify(document_evidence(docs.withColumnRenamed("doc_id", name), name), model)
+
+
+def plain_fusion(rows, kinds, min_posterior):
+    """What ``fuse`` must give, a row at a time: (best or None without letters, posterior, rejected)."""
+    prior = [0.9999 / (kinds - 1)] * (kinds - 1) + [0.0001]
+    totals = [sum(r["post"][k] for r in rows) for k in range(kinds)]
+    overall = [(totals[k] + prior[k]) / (sum(totals) + 1) for k in range(kinds)]
+    out = {}
+    for r in rows:
+        def others(key):
+            same = [x for x in rows if x[key] == r[key] and r[key]]
+            return [max(sum(x["post"][k] for x in same) - r["post"][k], 0.0) if same else 0.0 for k in range(kinds)]
+        score = list(r["fit"])
+        for key in ("declared", "suffix"):
+            n = others(key)
+            share = max(sum(n) / max(sum(totals) - 1, 1), 1e-9)
+            if sum(n) > 0:
+                score = [score[k] + np.log((n[k] + 5 * share) / (totals[k] + 5)) for k in range(kinds)]
+        d, h = others("domain"), others("host")
+        domain = [(d[k] + 5 * overall[k]) / (sum(d) + 5) for k in range(kinds)]
+        score = [score[k] + np.log((h[k] + 5 * domain[k]) / (sum(h) + 5)) for k in range(kinds)]
+        best = int(np.argmax(score))
+        sure = 1 / sum(np.exp(x - max(score)) for x in score)
+        out[r["id"]] = ("und", 0.0, True) if not r["grams"] else (best, sure, best == kinds - 1 or sure < min_posterior)
+    return out
+
+
+def test_fusion_by_plain_python(spark):
+    rng = np.random.default_rng(18)
+    names, rows = ["aa", "bb", "cc"], []
+    for i in range(120):
+        post = rng.dirichlet([0.5] * 4)
+        host = ["", "h1", "h2", "h3", "h4"][int(rng.integers(0, 5))]
+        rows.append({"id": i, "declared": ["", "aa", "bb", "zz"][int(rng.integers(0, 4))], "suffix": ["", "com", f"only{i}"][int(rng.integers(0, 3))],
+                     "domain": {"h1": "d1", "h2": "d1", "h3": "d2"}.get(host, ""), "host": host, "grams": int(rng.integers(0, 4)),
+                     "fit": [float(x) for x in rng.normal(-20, 2, 4)], "post": [float(x) for x in post]})
+    schema = "id long, declared string, suffix string, domain string, host string, grams long, fit array<double>, post array<double>"
+    scored = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
+    want = plain_fusion(rows, 4, 0.5)
+    got = fuse(scored, names, 0.5).collect()
+    assert len(got) == 120 and {r.rejected for r in got} == {True, False}
+    for r in got:
+        best, sure, rejected = want[r.id]
+        assert (r.language, r.rejected) == (best if best == "und" else [*names, "other"][best], rejected) and abs(r.posterior - sure) < 1e-9

@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as P
@@ -67,3 +68,39 @@ def test_shards_hold_every_row_once(stages):
 def test_run_returns_the_last_stage(spark):
     out = P.run(spark, SF)
     assert tuple(out.columns) == (*P.COLUMNS, "shard", "slot") and out.count() > 100
+
+
+def test_a_fifth_language_stays(spark):
+    parts = {"en": "the ing and tion of er with", "it": "gli zione che della ato ezza sono", "de": "schicht und der die ungen heit keit"}
+    rng = np.random.default_rng(20)
+    rows = []
+    for i in range(150):
+        lang = list(parts)[i % 3]
+        p = parts[lang].split()
+        rows.append((i, " ".join("".join(p[int(k)] for k in rng.integers(0, len(p), 2)) for _ in range(50)), lang, "s", 1))
+    rows += [(200, None, "it", "s", None), (201, "12 34", "it", "s", 3), (202, "", None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    docs = spark.createDataFrame(rows, schema)
+    assert sorted(r.doc_id for r in P.language_id(spark, docs, SF).collect()) == list(range(150))
+
+
+NO_LABELS = "doc_id long, text string, lang string, source string, n_chars int"
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_stages_on_nulls_repeats_and_empty_tables(spark, k):
+    name, stage = P.STAGES[k]
+    rows = [(None, None, None, None, None), (1, None, None, None, None), (2, "", None, "s", 0), (3, "one two three", None, "s", 13), (3, "one two three", None, "s", 13)]
+    docs = spark.createDataFrame(rows, NO_LABELS)
+    kept = sorted((tuple(r) for r in stage(spark, docs.selectExpr("*", "1 as shard", "'x' as __text"), SF).collect()), key=repr)
+    want = {"near_duplicates": rows[:4]}.get(name, rows)            # without labels nobody is rejected or left out
+    assert kept == sorted(want, key=repr)
+    assert stage(spark, docs.limit(0), SF).count() == 0
+    assert stage(spark, docs.limit(0), SF).columns == list(P.COLUMNS)
+
+
+def test_sharding_of_nulls_repeats_and_empty_tables(spark):
+    docs = spark.createDataFrame([(None, None, None, None, None), (3, "x", None, "s", 1), (3, "x", None, "s", 1)], NO_LABELS)
+    out = P.sharding(spark, docs, SF).collect()
+    assert sorted((r.doc_id is None, r.doc_id) for r in out) == [(False, 3), (False, 3), (True, None)] and len({(r.shard, r.slot) for r in out}) == 3
+    assert P.sharding(spark, docs.limit(0), SF).count() == 0
