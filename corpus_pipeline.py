@@ -20,10 +20,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: documents whose language it rejects go (no letters, no known language, or too uncertain)."""
-    model = language.train(docs)
+    """Operator 10: documents whose language it rejects go (no letters, no labelled language, or too uncertain).
+
+    The languages are those that the documents' labels hold often enough; where they hold none, no document can be
+    judged and all stay.
+    """
+    languages = language.labelled_languages(docs)
+    if not languages:
+        return docs.select(*COLUMNS)
+    model = language.train(docs, languages)
     keyed = docs.withColumn("__key", text_key(F.col("text")))
-    marked = language.identify(language.document_evidence(keyed, F.col("doc_id").alias("__id"), "__key", F.col("lang").alias("__lang"), F.col("source").alias("__source")), model)
+    marked = language.identify(language.document_evidence(keyed, F.col("doc_id").alias("__id"), "__key", F.col("lang").alias("__lang"), F.col("source").alias("__source")), model, languages)
     rejected = marked.where("rejected").select("__id", F.col("__key").alias("__text"), "__lang", "__source").distinct()
     same = (keyed["doc_id"].eqNullSafe(rejected["__id"]) & (keyed["__key"] == rejected["__text"])
             & keyed["lang"].eqNullSafe(rejected["__lang"]) & keyed["source"].eqNullSafe(rejected["__source"]))
