@@ -4,30 +4,38 @@ Every line of ``min_tokens`` tokens or more is parsed down a tree of fixed
 depth: its token count, then its first ``depth`` tokens (fewer in lines of
 ``field_tokens`` to six tokens, so that four are left behind them). Tokens with
 digits are fields (``<*>``) from the start. Lines that reach one leaf with the
-same tokens are one template. From ``field_tokens`` tokens on, two sequences of
-a leaf that agree in ``similarity`` of the positions behind the leading ones
-belong to one template, too. Two such sequences share a segment of tokens, so
-each is compared with those that share one; no leaf has a limit of templates.
-A sequence recurs that occurs in two documents, or agrees with one of another
-document, or with a sequence that recurs so; all its lines are dropped, and
-other lines stay as they are.
+same tokens are one sequence. From ``field_tokens`` tokens on, the tokens
+behind the leading ones form eight nearly equal segments (fewer than eight
+tokens: one each). Sequences of a leaf that are equal but for two segments (one
+token, where there are fewer than eight) are one template, and what differs is
+its fields; a sequence may belong to several templates.
+
+A template recurs if enough documents hold it: two for lines of ``long_tokens``
+tokens or more, else ``min_docs`` and the share ``min_share`` of all documents,
+halved with each further token, because a short line meets its like by chance
+and the more so the larger the corpus is. Fields without digits also ask
+``min_members`` different sequences. All lines of recurring templates are
+dropped, and other lines stay as they are.
 
 Leaves and lines are shuffled as 64-bit hashes and combined before the
 shuffle, so a line that a third of all documents hold is a few rows. Only
-leaves with several sequences are read as tokens again. The text itself is
+leaves with several sequences are read as tokens again, and a sequence has at
+most 28 templates, so the work grows with the lines. The text itself is
 shuffled once, to meet the places of its dropped lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.common import broadcast_if_small, cut, once, text_key
 
 FIELD = "<*>"
 MAX_BROADCAST_LEAVES = 200_000
-CROWD = 64                # sequences of a segment beyond which it is split once more
+SEGMENTS = 8
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -45,109 +53,76 @@ def _parsed(docs: DataFrame, depth: int, min_tokens: int, field_tokens: int) ->
                        F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(1), "tokens").alias("b"))
 
 
-def _spans(size, parts, j) -> tuple[Column, Column]:
-    """Start and length of the j-th of ``parts`` nearly equal segments of ``size`` tokens."""
-    start = F.floor(j * size / parts).cast("int")
-    return start, F.floor((j + 1) * size / parts).cast("int") - start
-
-
-def _segments(several: DataFrame, similarity: float) -> DataFrame:
-    """key (hash of a segment of ``tokens`` behind the leading ones), parts and j for each segment. There is one segment more
-    than two sequences of a template may differ in positions, so any two that agree well enough share a segment."""
+def _masks(several: DataFrame) -> DataFrame:
+    """key (hash of all but the masked segments of a sequence), a, b, n, need, docs, own for every template of a sequence."""
     m = F.col("n") - F.col("lead")
-    rows = several.withColumn("parts", (F.floor(m * (1 - similarity) + 1e-9) + 1).cast("int"))
-
-    def key(j):
-        start, size = _spans(m, F.col("parts"), j)
-        return F.xxhash64("leaf", j, F.slice("tokens", F.col("lead") + 1 + start, size))
-
-    return rows.select("a", "b", "times", "low", "high", "parts", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), key)).alias("j", "key"))
-
-
-def _split(crowd: DataFrame) -> DataFrame:
-    """The entries of crowded segments by the segments of the remaining tokens, of which two that agree share one, too."""
-    start, size = _spans(F.col("n") - F.col("lead"), F.col("parts"), F.col("j"))
-    from_ = F.col("lead") + 1
-    rest = F.concat(F.slice("tokens", from_, start), F.slice("tokens", from_ + start + size, F.col("n")))
-    rows = once(crowd, rest=rest)
-
-    def key(j):
-        start, size = _spans(F.size("rest"), F.col("parts"), j)
-        return F.xxhash64("key", j, F.slice("rest", start + 1, size))
-
-    return rows.select("a", "b", "times", "low", "high", "parts", "j", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), key)).alias("key"))
-
-
-def _shared(segments: DataFrame) -> DataFrame:
-    """The entries of segments that several sequences share, in two documents or more, with their number and the most frequent one."""
-    keys = segments.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("low").alias("l"), F.max("high").alias("h"), F.max(F.struct("times", "a", "b")).alias("head"))
-    return cut(segments.join(keys.where("k > 1 and l < h").select("key", "k", F.col("head.a").alias("sa"), F.col("head.b").alias("sb")), "key"))
 
+    def segment(k: int) -> Column:
+        start = F.when(m >= SEGMENTS, F.floor(m * k / SEGMENTS)).otherwise(F.lit(k)).cast("int")
+        end = F.when(m >= SEGMENTS, F.floor(m * (k + 1) / SEGMENTS)).otherwise(F.lit(k + 1)).cast("int")
+        return F.when(m > k, F.xxhash64(F.slice("tokens", F.col("lead") + 1 + start, end - start)))
 
-def _links(pairs: DataFrame, info: DataFrame, similarity: float) -> DataFrame:
-    """sa, sb, a, b, spans: the pairs (seed, sequence) that agree; spans tells whether the two occur in two documents."""
-    other = info.select(F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("tokens").alias("seed"), F.col("low").alias("slow"), F.col("high").alias("shigh"))
-    both = pairs.select("sa", "sb", "a", "b").distinct().join(other, ["sa", "sb"]).join(info, ["a", "b"])
-    same = F.size(F.filter(F.arrays_zip(F.col("tokens").alias("x"), F.col("seed").alias("y")), lambda z: z["x"] == z["y"])) - F.col("lead")
-    return cut(both.where(same + 1e-9 >= similarity * (F.col("n") - F.col("lead"))).select("sa", "sb", "a", "b", (F.least("low", "slow") < F.greatest("high", "shigh")).alias("spans")))
+    rows = once(several, **{f"h{k}": segment(k) for k in range(SEGMENTS)})
 
+    def key(*masked: int) -> Column:
+        return F.xxhash64("leaf", *[F.lit(k) for k in masked], *[F.col(f"h{k}") for k in range(SEGMENTS) if k not in masked])
 
-def _open(live: DataFrame, links: DataFrame) -> DataFrame:
-    """Entries whose sequence is in one document and has no link to another yet."""
-    met = links.where("spans")
-    met = met.select("a", "b").unionByName(met.select(F.col("sa").alias("a"), F.col("sb").alias("b"))).distinct()
-    return live.where("low = high").join(met, ["a", "b"], "left_anti")
+    two = F.array(*[key(i, j) for i, j in combinations(range(SEGMENTS), 2)])
+    one = F.slice(F.array(*[key(k) for k in range(SEGMENTS - 1)]), F.lit(1), m)
+    return rows.select("a", "b", "n", "need", "docs", "own", F.explode(F.when(m >= SEGMENTS, two).otherwise(one)).alias("key"))
 
 
-def templates(docs: DataFrame, depth: int = 3, min_tokens: int = 5, field_tokens: int = 5, similarity: float = 0.75) -> tuple[DataFrame, DataFrame]:
-    """(lines, found). lines: doc_id, text_key, pos, leaf, a, b of each parsed line. found: leaf, a, b, template (the
-    generalised tokens; null for a sequence that is a template by itself), recurs, a row per distinct sequence."""
+def _recurring(docs: DataFrame, depth: int, min_tokens: int, field_tokens: int, min_docs: int, min_share: float, long_tokens: int, min_members: int):
+    """(lines, exact, several, entries, good): places of lines; sequences with their documents; those of leaves with several, with
+    their tokens; their places (key, a, b) in templates that may recur; the templates that do, with their number k of sequences."""
     lines = cut(_parsed(docs, depth, min_tokens, field_tokens).select("doc_id", "text_key", "pos", "n", "leaf", "a", "b"))
-    who = F.xxhash64("doc_id", "text_key")
-    exact = cut(lines.groupBy("leaf", "a", "b").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("times"), F.min(who).alias("low"), F.max(who).alias("high")))
-    leaves = (exact.where((F.col("n") >= field_tokens) & (F.col("n") > 4)).groupBy("leaf").agg(F.count(F.lit(1)).alias("k"), F.min("low").alias("low"), F.max("high").alias("high"))
-              .where("k > 1 and low < high").select("leaf"))
+    who = F.xxhash64("doc_id", "text_key").alias("who")
+    share = min_share * docs.count()
+    need = F.when(F.col("n") >= long_tokens, F.lit(2)).otherwise(F.greatest(F.lit(min_docs), F.ceil(F.lit(float(share)) * F.pow(F.lit(2.0), 1 - F.col("n"))))).cast("long")
+    held = lines.groupBy("leaf", "a", "b", who).agg(F.min("n").alias("n"))
+    exact = held.groupBy("leaf", "a", "b").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+    exact = cut(exact.withColumn("need", need).withColumn("own", F.col("docs") >= F.col("need")))
+    may = (F.col("k") >= min_members) & (F.col("total") >= F.col("need")) & F.col("weak")
+    some = [F.count(F.lit(1)).alias("k"), F.sum("docs").alias("total"), F.min("need").alias("need"), F.bool_or(~F.col("own")).alias("weak"), F.bool_or("own").alias("strong")]
+    leaves = exact.where((F.col("n") >= field_tokens) & (F.col("n") > 4)).groupBy("leaf").agg(*some).where(may).select("leaf")
     leaves = broadcast_if_small(cut(leaves), MAX_BROADCAST_LEAVES)
     several = _parsed(docs, depth, min_tokens, field_tokens).select("leaf", "a", "b", "tokens", "lead").join(leaves, "leaf", "left_semi").groupBy("leaf", "a", "b").agg(F.any_value("tokens").alias("tokens"), F.any_value("lead").alias("lead"))
     several = cut(several.join(exact, ["leaf", "a", "b"]))
-    heads = _shared(_segments(several, similarity))
-    info = cut(several.join(heads.select("a", "b").distinct(), ["a", "b"], "left_semi"))
-    links = _links(heads, info, similarity)
-    # Crowded segments in which a sequence is open are split once more, with the heads of the parts first.
-    open_keys = cut(_open(heads, links).select("key").distinct())
-    live = heads.join(open_keys, "key", "left_semi")
-    split = _shared(_split(live.where(F.col("k") > CROWD).join(info.select("a", "b", "n", "lead", "tokens"), ["a", "b"])))
-    links = cut(links.unionByName(_links(split, info, similarity)))
-    live = cut(live.where(F.col("k") <= CROWD).unionByName(split.select(live.columns)))
-    tried = live.select("key", F.col("sa").alias("a"), F.col("sb").alias("b")).distinct()
-    most = 8                  # seeds a segment and round; eight times as many in each next round, so rounds grow with the logarithm
-    while True:
-        rest = _open(live, links).join(tried, ["key", "a", "b"], "left_anti")
-        rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("times"), "a", "b"))
-        seeds = cut(rest.withColumn("rank", rank).where(F.col("rank") <= most).select("key", "a", "b"))
-        if not seeds.limit(1).count():
-            break
-        named = broadcast_if_small(seeds.select("key", F.col("a").alias("sa"), F.col("b").alias("sb")), MAX_BROADCAST_LEAVES)
-        links = cut(links.unionByName(_links(live.select("key", "a", "b").join(named, "key"), info, similarity)))
-        tried = cut(tried.unionByName(seeds))
-        most *= 8
-    alone = exact.select("leaf", "a", "b", (F.col("low") < F.col("high")).alias("own"))
-    links = links.distinct()
-    both = links.where("not (sa = a and sb = b)")
-    both = cut(both.unionByName(both.select(F.col("a").alias("sa"), F.col("b").alias("sb"), F.col("sa").alias("a"), F.col("sb").alias("b"), "spans")).distinct())
-    direct = both.where("spans").select("a", "b").unionByName(alone.where("own").select("a", "b")).distinct()
-    recurring = cut(direct.unionByName(both.join(direct.select(F.col("a").alias("sa"), F.col("b").alias("sb")), ["sa", "sb"], "left_semi").select("a", "b")).distinct())
-    # A template's seed is the one that most sequences of its links agree with; its tokens are those that all of them share.
-    size = links.groupBy("sa", "sb").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    mine = links.join(size, ["sa", "sb"]).groupBy("a", "b").agg(F.max(F.struct("k", "sa", "sb")).alias("s")).select("a", "b", "s.sa", "s.sb")
-    common = mine.join(info.select("a", "b", "tokens"), ["a", "b"]).select("sa", "sb", F.posexplode("tokens").alias("at", "token")).groupBy("sa", "sb", "at").agg(F.min("token").alias("p"), F.max("token").alias("q"))
-    common = common.groupBy("sa", "sb").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "p", "q"))), lambda x: F.when(x["p"] == x["q"], x["p"]).otherwise(FIELD)).alias("template"))
-    named = mine.join(common, ["sa", "sb"]).select("a", "b", "template")
-    found = alone.join(named, ["a", "b"], "left").join(recurring.withColumn("linked", F.lit(True)), ["a", "b"], "left")
+    masks = _masks(several)
+    keys = cut(masks.groupBy("key").agg(*some).where(may).select("key", "k", "strong"))
+    entries = cut(masks.join(broadcast_if_small(keys, MAX_BROADCAST_LEAVES), "key"))
+    # Where no sequence alone is in enough documents, each is in few, and the documents of all are counted.
+    unsure = entries.where("not strong").select("key", "k", "need", "a", "b")
+    counted = unsure.join(lines.select("a", "b", who).distinct(), ["a", "b"]).groupBy("key", "who").agg(F.min("k").alias("k"), F.min("need").alias("need"))
+    counted = counted.groupBy("key").agg(F.min("k").alias("k"), F.min("need").alias("need"), F.count(F.lit(1)).alias("docs")).where("docs >= need")
+    good = cut(keys.where("strong").select("key", "k").unionByName(counted.select("key", "k")))
+    return lines, exact, several, entries, good
+
+
+def _found(exact: DataFrame, entries: DataFrame, good: DataFrame) -> DataFrame:
+    """leaf, a, b, own, linked (null or true) for every distinct sequence."""
+    linked = entries.join(good.select("key"), "key", "left_semi").select("a", "b").distinct().withColumn("linked", F.lit(True))
+    return exact.select("leaf", "a", "b", "own").join(linked, ["a", "b"], "left")
+
+
+def templates(docs: DataFrame, depth: int = 3, min_tokens: int = 5, field_tokens: int = 5, min_docs: int = 5, min_share: float = 0.001, long_tokens: int = 20,
+              min_members: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(lines, found). lines: doc_id, text_key, pos, n, leaf, a, b of each parsed line. found: leaf, a, b, template (the
+    tokens that all sequences of its largest recurring template share, fields elsewhere; null for a sequence that has none),
+    recurs, a row per distinct sequence."""
+    lines, exact, several, entries, good = _recurring(docs, depth, min_tokens, field_tokens, min_docs, min_share, long_tokens, min_members)
+    members = entries.select("key", "a", "b").join(good, "key")
+    mine = members.groupBy("a", "b").agg(F.max(F.struct("k", "key")).alias("s")).select("a", "b", F.col("s.key").alias("key"))
+    common = members.join(mine.select("key").distinct(), "key", "left_semi").join(several.select("a", "b", "tokens"), ["a", "b"])
+    common = common.select("key", F.posexplode("tokens").alias("at", "token")).groupBy("key", "at").agg(F.min("token").alias("p"), F.max("token").alias("q"))
+    common = common.groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "p", "q"))), lambda x: F.when(x["p"] == x["q"], x["p"]).otherwise(FIELD)).alias("template"))
+    named = mine.join(common, "key").select("a", "b", "template")
+    found = _found(exact, entries, good).join(named, ["a", "b"], "left")
     return lines, found.select("leaf", "a", "b", "template", F.coalesce("linked", "own").alias("recurs"))
 
 
-def drop_recurring(docs: DataFrame, **options) -> DataFrame:
+def drop_recurring(docs: DataFrame, depth: int = 3, min_tokens: int = 5, field_tokens: int = 5, min_docs: int = 5, min_share: float = 0.001, long_tokens: int = 20,
+                   min_members: int = 3) -> DataFrame:
     """doc_id, text (without the lines of recurring templates), n_lines and n_dropped, a row per row of ``docs(doc_id, text)``.
 
     Lines are separated by line feeds and joined by them again; blank lines
@@ -157,8 +132,8 @@ def drop_recurring(docs: DataFrame, **options) -> DataFrame:
     results and make no template recur by themselves. A null doc_id is a value
     as any other; an empty table gives an empty result. Other columns are not read.
     """
-    lines, found = templates(docs, **options)
-    gone = found.where("recurs").select("leaf", "a", "b")
+    lines, exact, _, entries, good = _recurring(docs, depth, min_tokens, field_tokens, min_docs, min_share, long_tokens, min_members)
+    gone = _found(exact, entries, good).where("own or linked").select("leaf", "a", "b")
     places = lines.join(gone, ["leaf", "a", "b"], "left_semi").groupBy(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).agg(F.collect_set("pos").alias("gone"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key(F.col("text")).alias("text_key"))
     out = base.join(places, base["doc_id"].eqNullSafe(places["id"]) & (base["text_key"] == places["key"]), "left")
