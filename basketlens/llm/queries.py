@@ -11,7 +11,7 @@ from basketlens.llm.divergence import audit
 from basketlens.llm.decontaminate import mark_contamination
 from basketlens.llm.jaccard_join import jaccard_join
 from basketlens.llm.range_join import near_vectors
-from basketlens.llm.licenses import PHRASES, TEMPLATES, THRESHOLD, _WORD, block_words, need, scan
+from basketlens.llm.licenses import IN_ORDER, PHRASES, TEMPLATES, THRESHOLD, block_words, need, scan, template_words, word_pairs
 
 
 def op1_nearest(spark, sf_dir):
@@ -99,16 +99,16 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def _op5() -> str:
-    sets = [sorted(set(_WORD.findall(t))) for _, t in TEMPLATES]
-    rows = ", ".join(f"('{label}', {s}, {need(len(s), THRESHOLD)})" for (label, _), s in zip(TEMPLATES, sets))
-    size = block_words(TEMPLATES)
+    sequences = [template_words(t) for _, t in TEMPLATES]
+    rows = ", ".join(f"('{label}', {block_words(q)}, {sorted(set(q))}, {need(len(set(q)), THRESHOLD)}, {word_pairs(q)}, {need(len(word_pairs(q)), IN_ORDER)})" for (label, _), q in zip(TEMPLATES, sequences))
     phrases = ", ".join(f"('{label}', {p.split()})" for p, label in PHRASES)
     return f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
-t(label, s, need) AS (VALUES {rows}),
-blocks AS (SELECT doc_id, list_distinct(w[b * {size // 2} + 1 : b * {size // 2} + {size}]) AS s
-  FROM (SELECT doc_id, w, unnest(range(0, greatest(0, CAST(ceil((len(w) - {size}) / {size // 2}.0) AS BIGINT)) + 1)) AS b FROM d)),
-found AS (SELECT doc_id, label, len(list_intersect(blocks.s, t.s)) / len(t.s) AS c FROM blocks, t WHERE len(list_intersect(blocks.s, t.s)) >= need),
+t(label, size, s, need, pairs, chain) AS (VALUES {rows}),
+blocks AS (SELECT doc_id, size, w[b * size // 2 + 1 : b * size // 2 + size] AS w
+  FROM (SELECT doc_id, w, size, unnest(range(0, greatest(0, CAST(ceil((len(w) - size) / (size / 2)) AS BIGINT)) + 1)) AS b FROM d, (SELECT DISTINCT size FROM t))),
+near AS (SELECT doc_id, label, blocks.w, pairs, chain, len(list_intersect(list_distinct(blocks.w), t.s)) / len(t.s) AS c FROM blocks JOIN t USING (size) WHERE len(list_intersect(list_distinct(blocks.w), t.s)) >= need),
+found AS (SELECT doc_id, label, c FROM near WHERE len(list_intersect(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), pairs)) >= chain),
 p(label, words) AS (VALUES {phrases}),
 places AS (SELECT doc_id, label, i - 1 AS place FROM (SELECT doc_id, w, label, words, unnest(range(1, len(w) - len(words) + 2)) AS i FROM d, p WHERE len(w) >= len(words) AND list_has_all(w, words))
   WHERE w[i : i + len(words) - 1] = words),
