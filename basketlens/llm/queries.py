@@ -41,6 +41,11 @@ def op6_chat_windows(spark, sf_dir):
     return chat.digest(chat.format_windows(turns.unionByName(extra)))
 
 
+def chat_digests(spark, sf_dir):
+    """What op6 reads back, without the length of its output: these columns follow from the table."""
+    return op6_chat_windows(spark, sf_dir).drop("formatted_chars")
+
+
 def op7_shards(spark, sf_dir):
     return shards.assignment(table(spark, sf_dir, "documents"))
 
@@ -72,7 +77,7 @@ def op13_divergence(spark, sf_dir):
     return audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_line_templates, op3_decontaminate, op4_lm_scores, op5_licenses, op6_chat_windows,
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_line_templates, op3_decontaminate, op4_lm_scores, op5_licenses, op6_chat_windows, chat_digests,
                                    op7_shards, op8_jaccard_join, op9_mixture, op10_language, op11_alignment, op12_range_join, op13_divergence)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -121,6 +126,33 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN be
 """
 
 
+_CHAT = """
+WITH c AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256
+FROM c GROUP BY conv_id
+"""
+
+_OP8 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+n AS (SELECT min(r) AS node, w, count(*) AS copies, min(doc_id) AS first FROM d WHERE len(w) > 0 GROUP BY w),
+grams AS (SELECT DISTINCT node, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM n),
+sizes AS (SELECT node, count(*) AS size FROM grams GROUP BY node),
+common AS (SELECT a.node AS a, b.node AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.node < b.node GROUP BY a.node, b.node),
+half AS (SELECT a, b FROM common JOIN sizes x ON a = x.node JOIN sizes y ON b = y.node WHERE 5 * c >= 4 * (x.size + y.size - c)),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reached(a, b) AS (SELECT node, node FROM n UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
+heads AS (SELECT a AS node, min(first) AS head FROM reached JOIN n ON b = node GROUP BY a),
+others AS (SELECT a AS node, sum(copies) AS others FROM links JOIN n ON b = node GROUP BY a)
+SELECT doc_id, coalesce(head, doc_id) AS class_id, CAST(coalesce(coalesce(others, 0) + copies - 1, 0) AS BIGINT) AS n_links,
+  CAST(coalesce(copies, 1) AS BIGINT) AS n_copies, head IS NULL OR head = doc_id AS kept
+FROM d LEFT JOIN n ON d.w = n.w LEFT JOIN heads USING (node) LEFT JOIN others USING (node)
+"""
+
 _OP12 = """
 WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 ok AS (SELECT r, vec_id, label, e FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
@@ -150,4 +182,4 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORD
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
 """
 
-ORACLES: dict[str, str] = {"op3_decontaminate": _OP3, "op5_licenses": _op5(), "op12_range_join": _OP12, "op13_divergence": _OP13}
+ORACLES: dict[str, str] = {"op3_decontaminate": _OP3, "op5_licenses": _op5(), "op8_jaccard_join": _OP8, "chat_digests": _CHAT, "op12_range_join": _OP12, "op13_divergence": _OP13}
